@@ -2,155 +2,140 @@
 
 All rules are evaluated in ONE projection over the files and exploded once, so the content is read a
 single time however many rules there are. Facts are small; the long rule texts are attached at the end.
+Rules are SQL expressions over the columns ``path`` and ``content``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
 from plumbline import fixed_values as fv
-from plumbline.functions.paths import basename, is_example_file
-from plumbline.functions.text import any_of, contains_any, first_match_line, match_group, match_lines
+from plumbline.functions.text import (
+    any_of, contains_any, first_match_line, literal, match_group, match_lines, matches,
+)
 
 FACT = "struct<fact:string,check_no:int,phase:int,step:int,pos:int,line:int,arg:string>"
+BASE = "substring_index(path, '/', -1)"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``find`` maps (path, content) to ``array<FACT>``; ``guard`` decides cheaply whether it may match."""
+    """``find`` yields ``array<FACT>`` or null; ``guard`` decides cheaply whether the rule may match."""
 
     name: str
     scope: str
-    find: Callable[[Column, Column], Column]
-    guard: Callable[[Column, Column], Column] | None = None
+    find: str
+    guard: str = "true"
     texts: tuple[tuple[str, tuple], ...] = ()
 
 
-def fact(code: Column | str, check_no: int, step: int, pos: Column | int, line: Column | int, arg=None, phase=0):
-    as_int = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("int")
-    return F.struct(
-        (code if isinstance(code, Column) else F.lit(code)).alias("fact"),
-        as_int(check_no).alias("check_no"), as_int(phase).alias("phase"), as_int(step).alias("step"),
-        as_int(pos).alias("pos"), as_int(line).alias("line"),
-        (F.lit(None) if arg is None else arg if isinstance(arg, Column) else F.lit(arg)).cast("string").alias("arg"),
+def fact(code: str, check_no: int, step: int, pos: str, line: str, arg: str = "NULL", phase: int = 0) -> str:
+    """SQL of one fact; ``code`` and ``arg`` are SQL expressions."""
+    return (
+        f"named_struct('fact', {code}, 'check_no', {check_no}, 'phase', {phase}, 'step', {step}, "
+        f"'pos', CAST({pos} AS INT), 'line', CAST({line} AS INT), 'arg', CAST({arg} AS STRING))"
     )
 
 
-def every_match(code, check_no: int, pattern: str, group: int | None = None, step=0, phase=0, arg=None):
-    """One fact per match; ``arg`` maps the text of ``group`` to the fact's argument."""
-
-    def find(path: Column, content: Column) -> Column:
-        lines = match_lines(content, pattern)
-        if group is None:
-            return F.transform(lines, lambda line, i: fact(code, check_no, step, i, line, None, phase))
-        pairs = F.arrays_zip(lines.alias("line"), match_group(content, pattern, group).alias("g"))
-        shape = arg or (lambda g: g)
-        return F.transform(pairs, lambda m, i: fact(code, check_no, step, i, m["line"], shape(m["g"]), phase))
-
-    return find
-
-
-def first_match(code: str, check_no: int, pattern: str, step=0, arg=None):
-    def find(path: Column, content: Column) -> Column:
-        one = F.array(fact(code, check_no, step, 0, first_match_line(content, pattern), arg))
-        return F.when(content.rlike(pattern), one)
+def every_match(
+    code: str, check_no: int, pattern: str, group: int | None = None, step: int = 0, phase: int = 0, arg: str = "m.g"
+) -> str:
+    """One fact per match; ``arg`` is an expression over ``m.g``, the text of ``group``."""
+    if group is None:
+        one = fact(literal(code), check_no, step, "i", "line", phase=phase)
+        return f"transform({match_lines(pattern)}, (line, i) -> {one})"
+    one = fact(literal(code), check_no, step, "i", "m.line", arg, phase)
+    return f"transform({_with_groups(pattern, g=group)}, (m, i) -> {one})"
 
-    return find
 
+def first_match(code: str, check_no: int, pattern: str, step: int = 0, arg: str = "NULL") -> str:
+    one = fact(literal(code), check_no, step, "0", first_match_line(pattern), arg)
+    return f"IF({matches('content', pattern)}, array({one}), NULL)"
 
-def _public_variables(path: Column, content: Column) -> Column:
-    pattern = fv.PUBLIC_VARIABLE
-    pairs = F.arrays_zip(match_lines(content, pattern).alias("line"), match_group(content, pattern, 1).alias("g"))
-    tier = lambda g: F.when(g.rlike(fv.TIER_ONE_NAME), "A1").when(g.rlike(fv.TIER_TWO_NAME), "A1B")
-    facts = F.transform(pairs, lambda m, i: fact(tier(m["g"]), 1, 0, i, m["line"], m["g"]))
-    return F.filter(facts, lambda f: f["fact"].isNotNull() & ~f["arg"].rlike(fv.PUBLIC_BY_DESIGN))
 
+def _with_groups(pattern: str, **groups: int) -> str:
+    columns = [match_lines(pattern), *(match_group(pattern, g) for g in groups.values())]
+    zipped = f"arrays_zip({', '.join(columns)})"
+    fields = ", ".join(f"'{n}', z.`{i}`" for i, n in enumerate(("line", *groups)))
+    return f"transform({zipped}, z -> named_struct({fields}))"
 
-def _client_service_role(path: Column, content: Column) -> Column:
-    hit = content.rlike(fv.USE_CLIENT) & contains_any(content, ["SERVICE_ROLE", "service_role"])
-    return F.when(hit, F.array(fact("A2", 1, 1, 0, first_match_line(content, fv.SERVICE_ROLE))))
 
-
-def _database_urls(path: Column, content: Column) -> Column:
-    pattern = fv.DATABASE_URL
-    found = F.arrays_zip(
-        match_lines(content, pattern).alias("line"),
-        match_group(content, pattern, 2).alias("password"),
-        match_group(content, pattern, 3).alias("host"),
-    )
-    numbered = F.transform(
-        found,
-        lambda m, i: F.struct(
-            fact("A3", 1, 2, i, m["line"]).alias("f"), m["password"].alias("password"), m["host"].alias("host")
-        ),
-    )
-    real = F.filter(
-        numbered,
-        lambda m: ~m["host"].rlike(fv.LOCAL_HOST)
-        & ~m["password"].rlike(fv.PLACEHOLDER_PASSWORD)
-        & ~m["password"].rlike(fv.BRACKETED_PASSWORD),
+def _public_variables() -> str:
+    tier = (
+        f"CASE WHEN {matches('m.g', fv.TIER_ONE_NAME)} THEN 'A1' WHEN {matches('m.g', fv.TIER_TWO_NAME)} THEN 'A1B' END"
     )
-    return F.transform(real, lambda m: m["f"])
+    facts = f"transform({_with_groups(fv.PUBLIC_VARIABLE, g=1)}, (m, i) -> {fact(tier, 1, 0, 'i', 'm.line', 'm.g')})"
+    return f"filter({facts}, f -> f.fact IS NOT NULL AND NOT {matches('f.arg', fv.PUBLIC_BY_DESIGN)})"
 
 
-def _entry_point_kind(path: Column, content: Column) -> Column:
-    route = basename(path).rlike(fv.ROUTE_FILE_NAME) & path.rlike(fv.APP_DIRECTORY)
-    action = content.contains("use server") & content.rlike(fv.USE_SERVER)
-    kinds = [F.lit(k) for k in fv.ENTRY_POINT_KINDS]
-    return F.when(route, kinds[0]).when(path.rlike(fv.PAGES_API_DIRECTORY), kinds[1]).when(action, kinds[2])
+def _client_service_role() -> str:
+    hit = f"{matches('content', fv.USE_CLIENT)} AND {contains_any(['SERVICE_ROLE', 'service_role'])}"
+    return f"IF({hit}, array({fact(literal('A2'), 1, 1, '0', first_match_line(fv.SERVICE_ROLE))}), NULL)"
 
 
-def has_auth_hint(content: Column) -> Column:
-    return content.rlike(any_of(fv.AUTH_HINTS))
+def _database_urls() -> str:
+    found = _with_groups(fv.DATABASE_URL, password=2, host=3)
+    one = fact(literal("A3"), 1, 2, "i", "m.line")
+    numbered = f"transform({found}, (m, i) -> named_struct('f', {one}, 'password', m.password, 'host', m.host))"
+    real = (
+        f"filter({numbered}, m -> NOT {matches('m.host', fv.LOCAL_HOST)}"
+        f" AND NOT {matches('m.password', fv.PLACEHOLDER_PASSWORD)}"
+        f" AND NOT {matches('m.password', fv.BRACKETED_PASSWORD)})"
+    )
+    return f"transform({real}, m -> m.f)"
 
 
-def has_data_hint(content: Column) -> Column:
-    return content.rlike(any_of(fv.DATA_HINTS))
+# A text without any of these words cannot match the hints; the byte search spares most files the regex.
+_AUTH_WORDS = ["getUser", "getSession", "getServerSession", "require", "urrentUser", "verify", "withApiAuth", "@clerk/"]
+_DATA_WORDS = [".from", "supabase", "prisma", "drizzle", "sql`", "pool.query", "db."]
+HAS_AUTH_HINT = f"({contains_any(_AUTH_WORDS)} AND {matches('content', any_of(fv.AUTH_HINTS))})"
+HAS_DATA_HINT = f"({contains_any(_DATA_WORDS)} AND {matches('content', any_of(fv.DATA_HINTS))})"
 
 
-def _open_entry_point(path: Column, content: Column) -> Column:
-    kind = _entry_point_kind(path, content)
-    return F.when(
-        kind.isNotNull() & has_data_hint(content) & ~has_auth_hint(content),
-        F.array(fact("C", 3, 0, 0, 1, kind)),
+def _open_entry_point() -> str:
+    route, api, action = (literal(k) for k in fv.ENTRY_POINT_KINDS)
+    kind = (
+        f"CASE WHEN {matches(BASE, fv.ROUTE_FILE_NAME)} AND {matches('path', fv.APP_DIRECTORY)} THEN {route}"
+        f" WHEN {matches('path', fv.PAGES_API_DIRECTORY)} THEN {api}"
+        f" WHEN contains(content, 'use server') AND {matches('content', fv.USE_SERVER)} THEN {action} END"
     )
+    hit = f"{kind} IS NOT NULL AND {HAS_DATA_HINT} AND NOT {HAS_AUTH_HINT}"
+    return f"IF({hit}, array({fact(literal('C'), 3, 0, '0', '1', kind)}), NULL)"
 
 
-def _middleware_guard(path: Column, content: Column) -> Column:
-    return F.when(has_auth_hint(content), F.array(fact("C.middleware", 3, 0, 0, 1)))
+def _header_config() -> str:
+    patterns = [fv.HEADERS_FUNCTION, fv.CONTENT_POLICY_HEADER, fv.TRANSPORT_HEADER]
+    configured = " OR ".join(matches("content", p) for p in patterns)
+    state = f"IF({configured}, 'set', 'missing')"
+    return f"array({fact(literal('D.config'), 4, 0, '0', '1', state)})"
 
 
-def _header_config(path: Column, content: Column) -> Column:
-    configured = (
-        content.rlike(fv.HEADERS_FUNCTION)
-        | content.rlike(fv.CONTENT_POLICY_HEADER)
-        | content.rlike(fv.TRANSPORT_HEADER)
-    )
-    return F.array(fact("D.config", 4, 0, 0, 1, F.when(configured, "set").otherwise("missing")))
-
-
-def _credentials(path: Column, content: Column) -> Column:
+def _credentials() -> str:
     words = [["AKIA"], ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], ["k_live_"], ["xox"]]
     found = [
-        F.when(contains_any(content, w), first_match("E1", 5, p, step, label)(path, content))
+        f"IF({contains_any(w)}, {first_match('E1', 5, p, step, literal(label))}, NULL)"
         for step, ((label, p), w) in enumerate(zip(fv.CREDENTIAL_FORMATS, words))
     ]
-    block = first_match("E2", 5, fv.PRIVATE_KEY_BLOCK, len(found))(path, content)
-    found.append(F.when(content.contains("-----BEGIN"), block))
-    return F.flatten(F.array_compact(F.array(*found)))
+    block = first_match("E2", 5, fv.PRIVATE_KEY_BLOCK, len(found))
+    found.append(f"IF({contains_any(['-----BEGIN'])}, {block}, NULL)")
+    return f"flatten(array_compact(array({', '.join(found)})))"
 
 
-def _raw_html(path: Column, content: Column) -> Column:
-    facts = every_match("H", 8, fv.RAW_HTML, 1)(path, content)
-    kept = F.filter(facts, lambda f: ~f["arg"].rlike(fv.STATIC_TEXT) & ~f["arg"].rlike(fv.SANITIZED_TEXT))
-    return F.transform(kept, lambda f: f.withField("arg", F.lit(None).cast("string")))
+def _raw_html() -> str:
+    found = _with_groups(fv.RAW_HTML, g=1)
+    one = fact(literal("H"), 8, 0, "i", "m.line")
+    numbered = f"transform({found}, (m, i) -> named_struct('f', {one}, 'g', m.g))"
+    kept = (
+        f"filter({numbered}, m -> NOT {matches('m.g', fv.STATIC_TEXT)} AND NOT {matches('m.g', fv.SANITIZED_TEXT)})"
+    )
+    return f"transform({kept}, m -> m.f)"
 
 
-def _words(*words: str):
-    return lambda path, content: contains_any(content, words)
+def _any_case(word: str) -> str:
+    return contains_any([word], "lower(content)")
 
 
 def _text(*codes: str):
@@ -158,37 +143,42 @@ def _text(*codes: str):
 
 
 DEFAULT_RULES: tuple[Rule, ...] = (
-    Rule("public_variable", "code", _public_variables, _words("process.env.NEXT_PUBLIC_"), _text("A1", "A1B")),
-    Rule("client_service_role", "code", _client_service_role, _words("use client"), _text("A2")),
-    Rule("database_url", "code", _database_urls, _words("postgres"), _text("A3")),
     Rule(
-        "created_table", "sql",
-        every_match("B.created", 2, fv.CREATE_TABLE, 1, phase=1, arg=F.lower), None, _text("B1"),
+        "public_variable", "code", _public_variables(), contains_any(["process.env.NEXT_PUBLIC_"]), _text("A1", "A1B")
+    ),
+    Rule("client_service_role", "code", _client_service_role(), contains_any(["use client"]), _text("A2")),
+    Rule("database_url", "code", _database_urls(), contains_any(["postgres"]), _text("A3")),
+    Rule(
+        "created_table", "sql", every_match("B.created", 2, fv.CREATE_TABLE, 1, phase=1, arg="lower(m.g)"),
+        _any_case("create"), _text("B1"),
     ),
-    Rule("row_security", "sql", every_match("B.secured", 2, fv.ENABLE_ROW_SECURITY, 1, arg=F.lower)),
-    Rule("permissive_policy", "sql", every_match("B2", 2, fv.PERMISSIVE_POLICY), None, _text("B2")),
-    Rule("open_entry_point", "code", _open_entry_point, None, _text("C")),
     Rule(
-        "middleware_guard", "code", _middleware_guard,
-        lambda path, content: basename(path).isin(fv.MIDDLEWARE_NAMES),
+        "row_security", "sql", every_match("B.secured", 2, fv.ENABLE_ROW_SECURITY, 1, arg="lower(m.g)"),
+        _any_case("security"),
     ),
+    Rule("permissive_policy", "sql", every_match("B2", 2, fv.PERMISSIVE_POLICY), _any_case("true"), _text("B2")),
+    Rule("open_entry_point", "code", _open_entry_point(), texts=_text("C")),
     Rule(
-        "header_config", "code", _header_config,
-        lambda path, content: path.contains("next.config.") & path.rlike(fv.HEADER_CONFIG_FILE), _text("D"),
+        "middleware_guard", "code", f"IF({HAS_AUTH_HINT}, array({fact(literal('C.middleware'), 3, 0, '0', '1')}), NULL)",
+        f"{BASE} IN ({', '.join(literal(n) for n in fv.MIDDLEWARE_NAMES)})",
     ),
-    Rule("credential", "code", _credentials, lambda path, content: ~is_example_file(path), _text("E1", "E2")),
+    Rule(
+        "header_config", "code", _header_config(),
+        f"contains(path, 'next.config.') AND {matches('path', fv.HEADER_CONFIG_FILE)}", _text("D"),
+    ),
+    Rule("credential", "code", _credentials(), f"NOT {matches('path', fv.EXAMPLE_FILE)}", _text("E1", "E2")),
     Rule(
         "concatenated_sql", "code", every_match("F", 6, fv.CONCATENATED_SQL),
-        _words(".query", ".execute", ".unsafe", ".raw"), _text("F"),
+        contains_any([".query", ".execute", ".unsafe", ".raw"]), _text("F"),
     ),
     Rule(
         "dynamic_execution", "code", every_match("G", 7, fv.DYNAMIC_EXECUTION),
-        _words("eval", "Function"), _text("G"),
+        contains_any(["eval", "Function"]), _text("G"),
     ),
-    Rule("raw_html", "code", _raw_html, _words("dangerouslySetInnerHTML"), _text("H")),
+    Rule("raw_html", "code", _raw_html(), contains_any(["dangerouslySetInnerHTML"]), _text("H")),
 )
 # Project-level rule: no file of the project is SQL. It reads paths only.
-NO_SQL = Rule("no_sql", "project", lambda path, content: F.lit(None), None, _text("B0"))
+NO_SQL = Rule("no_sql", "project", "NULL", texts=_text("B0"))
 
 
 def rules_named(*names: str) -> tuple[Rule, ...]:
@@ -196,12 +186,9 @@ def rules_named(*names: str) -> tuple[Rule, ...]:
     return tuple(known[n] for n in names)
 
 
-def facts_of_file(kind: Column, path: Column, content: Column, rules: Sequence[Rule]) -> Column:
+def facts_of_file(rules: Sequence[Rule]) -> Column:
     """``array<FACT>`` of one file; a rule that does not apply costs a comparison or a byte search."""
-    found = []
-    for rule in rules:
-        applies = kind == rule.scope
-        if rule.guard is not None:
-            applies = applies & rule.guard(path, content)
-        found.append(F.when(applies, rule.find(path, content)).cast(f"array<{FACT}>"))
-    return F.flatten(F.array_compact(F.array(*found)))
+    found = [
+        f"CAST(IF(kind = {literal(r.scope)} AND {r.guard}, {r.find}, NULL) AS array<{FACT}>)" for r in rules
+    ]
+    return F.expr(f"flatten(array_compact(array({', '.join(found)})))")

@@ -62,7 +62,7 @@ def scanned_counts(files: DataFrame) -> DataFrame:
 
 def file_facts(files: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """The one pass over file contents: a map-only job without any shuffle."""
-    found = facts_of_file(F.col("kind"), F.col("path"), F.col("content"), rules)
+    found = facts_of_file(rules)
     scopes = sorted({r.scope for r in rules})
     return (
         classify(files)

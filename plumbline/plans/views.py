@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.functions.keys import finding_id
+from plumbline.session import spread_small_input
 
 PATHS = [
     "app/d{n}/route.ts", "pages/api/d{n}.js", "lib/m{n}.ts", "db/{n}.sql", "config/{n}/next.config.js",
@@ -70,7 +71,7 @@ class Tables:
         quiet = F.col("source").isin(QUIET_PROJECTS) & kind.isin(QUIET_KINDS)
         path = F.when(quiet, F.concat(F.lit("notes/n"), doc.cast("string"), F.lit(".txt")))
         snippet = _pick(SNIPPETS, F.floor(doc / 7) % len(SNIPPETS), doc)
-        return self.table("documents").select(
+        return spread_small_input(self.table("documents"), "doc_id").select(
             F.col("source").alias("project_id"),
             doc.alias("file_seq"),
             path.otherwise(_pick(PATHS, kind, doc)).alias("path"),

@@ -45,3 +45,15 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{staging_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_small_input(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread an input with too few splits to keep the cores busy ahead of CPU-heavy rules.
+
+    Applies only below one default split per core, by the planner's own size estimate. A larger input
+    already has enough splits and is never shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, *keys) if size < cores * (128 << 20) else df

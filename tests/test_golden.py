@@ -1,6 +1,9 @@
 """Golden projects: one that trips every rule, one that trips none."""
 
+import pytest
+
 from plumbline import fixed_values as fv
+from plumbline.operators.rules import Rule, every_match
 from plumbline.operators.scan import FINDING_COLUMNS, scan_projects, scanned_counts
 
 # Token-shaped values are put together here so that no stored text looks like a credential.
@@ -87,124 +90,113 @@ def files_frame(spark, **projects):
     return spark.createDataFrame(rows, "project_id string, file_seq int, path string, content string")
 
 
-def findings_of(spark, files, *order):
-    found = scan_projects(files_frame(spark, p=files))
-    return found.orderBy("check_no", "phase", "file_seq", "step", "pos").collect()
-
-
-def test_open_project_in_rule_order(spark):
-    got = [(f.severity, f.file, f.line, f.id) for f in findings_of(spark, OPEN_PROJECT)]
-    assert got == EXPECTED
-
-
-def test_closed_project_is_clean(spark):
-    assert findings_of(spark, CLOSED_PROJECT) == []
-
-
-def test_counts_and_columns(spark):
-    files = files_frame(spark, open=OPEN_PROJECT, closed=CLOSED_PROJECT)
-    counts = {r.project_id: (r.files, r.code, r.sql) for r in scanned_counts(files).collect()}
-    assert counts == {"open": (10, 9, 1), "closed": (6, 5, 1)}
-    assert scan_projects(files).columns[: len(FINDING_COLUMNS)] == FINDING_COLUMNS
-    by_project = {r.project_id: r["count"] for r in scan_projects(files).groupBy("project_id").count().collect()}
-    assert by_project == {"open": 17}
-
-
-def case(spark, *files):
-    found = findings_of(spark, dict(files))
-    return [(f.rule, f.file, f.line) for f in found]
-
-
 SQL = ("db/a.sql", "select 1;")
+BAD = "eval(x)"
+URL = "postgresql://u:{}@{}/d\n"
+URLS = "".join(
+    URL.format(p, h)
+    for p, h in [("<password>", "db.x"), ("[pw]", "db.x"), ("changeme", "db.x"), ("xxxx", "db.x"),
+                 ("real", "localhost"), ("real", "127.0.0.1:5432"), ("postgres", "db.x")]
+)
+BODY = "import x\n  'use server'\ndb.select()"
+ROUTE = ("app/x/route.ts", "prisma.user.findMany()")
+HTML = (
+    "a\n<p dangerouslySetInnerHTML={{\n __html:\n body\n }} /> "
+    "<p dangerouslySetInnerHTML={{ __html: 'x' }} />"
+)
+# case -> (files, expected (rule, file, line) in rule order)
+CASES = {
+    "no_sql": ([("lib/a.ts", "x")], [("B0", "(project)", None)]),
+    "one_line_twice": ([SQL, ("lib/a.ts", "\neval(a); eval(b)")], [("G", "lib/a.ts", 2)] * 2),
+    "one_line_two_tokens": ([SQL, ("lib/a.ts", f"{AWS} {GITHUB}")], [("E1", "lib/a.ts", 1)] * 2),
+    "bom": ([SQL, ("lib/a.tsx", "\ufeff'use client'\n service_role")], [("A2", "lib/a.tsx", 2)]),
+    "nbsp": ([SQL, ("lib/a.tsx", "\u00a0'use client'\n service_role")], [("A2", "lib/a.tsx", 2)]),
+    "letter_before": ([SQL, ("lib/a.ts", "éeval(x)")], [("G", "lib/a.ts", 1)]),
+    "word_before": ([SQL, ("lib/a.ts", "_eval(x) myeval(x)")], []),
+    "lines": (
+        [SQL, ("lib/a.ts", "a\n\nb.query(\n\n  `select ${x}`)\nc.raw('x' +\n y)")],
+        [("F", "lib/a.ts", 3), ("F", "lib/a.ts", 6)],
+    ),
+    "html": ([SQL, ("lib/a.tsx", HTML)], [("H", "lib/a.tsx", 2)]),
+    "urls": ([SQL, ("lib/a.ts", URLS)], [("A3", "lib/a.ts", 7)]),
+    "names": (
+        [SQL, ("lib/a.ts", "process.env.NEXT_PUBLIC_CANONICAL_SECRET\nprocess.env.NEXT_PUBLIC_KEYS\n"
+                           "process.env.NEXT_PUBLIC_A_KEY")],
+        [("A1B", "lib/a.ts", 3)],
+    ),
+    "secured_elsewhere": (
+        [("a.sql", "create table T1 (x int)"), ("b.sql", "ALTER TABLE t1 ENABLE ROW LEVEL SECURITY")], []
+    ),
+    "created_twice": (
+        [("a.sql", "\ncreate table if not exists t (x int)"), ("b.sql", "create table public.t (x int)")],
+        [("B1", "a.sql", 2)],
+    ),
+    "quoted_schema": ([("a.sql", 'create table "public"."orders" (x int)')], [("B1", "a.sql", 1)]),
+    "sql_order": (
+        [("a.sql", "create table z (x int);\ncreate table a (x int);\nusing (true)"), ("b.sql", "using(true)")],
+        [("B2", "a.sql", 3), ("B2", "b.sql", 1), ("B1", "a.sql", 1), ("B1", "a.sql", 2)],
+    ),
+    "first_config_open": (
+        [SQL, ("next.config.js", ""), ("web/next.config.ts", "headers() {}")], [("D", "next.config.js", 1)]
+    ),
+    "first_config_set": ([SQL, ("next.config.js", "headers() {}"), ("web/next.config.ts", "")], []),
+    "plain": ([SQL, ROUTE], [("C", "app/x/route.ts", 1)]),
+    "guarded": ([SQL, ROUTE, ("src/middleware.ts", "requireAuth(req)")], [("C", "app/x/route.ts", 1)]),
+    "kinds": (
+        [SQL, ("app/route.js", BODY), ("pages/api/a.ts", BODY), ("lib/a.ts", BODY)],
+        [("C", "app/route.js", 1), ("C", "pages/api/a.ts", 1), ("C", "lib/a.ts", 1)],
+    ),
+    "bare_auth": ([SQL, ("lib/a.ts", "'use server'\n auth(); db.select()")], [("C", "lib/a.ts", 1)]),
+    "ignored": ([SQL, *[(p, BAD) for p in ["node_modules/a.ts", "x/build", "a.TS", ".env", "src/out/a.js"]]], []),
+    "separators": ([SQL, (".\\lib\\a.ts", BAD)], [("G", "lib/a.ts", 1)]),
+    "examples": (
+        [SQL, ("lib/tokens.example.ts", AWS), ("mocks/a.ts", PEM), ("lib/b.ts", AWS)], [("E1", "lib/b.ts", 1)]
+    ),
+    "open": (list(OPEN_PROJECT.items()), None),
+    "closed": (list(CLOSED_PROJECT.items()), []),
+}
 
 
-def test_no_sql_files(spark):
-    assert case(spark, ("lib/a.ts", "x")) == [("B0", "(project)", None)]
-
-
-def test_two_matches_on_one_line_share_an_id(spark):
-    rows = findings_of(spark, {"lib/a.ts": "\neval(a); eval(b)", "db/a.sql": ""})
-    assert [(r.rule, r.line) for r in rows] == [("G", 2), ("G", 2)] and rows[0].id == rows[1].id
-    rows = findings_of(spark, {"lib/a.ts": f"{AWS} {GITHUB}", "db/a.sql": ""})
-    assert [r.rule for r in rows] == ["E1", "E1"] and rows[0].id == rows[1].id and rows[0].detail != rows[1].detail
-
-
-def test_unicode_space_and_letters(spark):
-    for space in ("﻿", " "):
-        assert case(spark, SQL, ("lib/a.tsx", f"{space}'use client'\n service_role")) == [("A2", "lib/a.tsx", 2)]
-    assert case(spark, SQL, ("lib/a.ts", "éeval(x)")) == [("G", "lib/a.ts", 1)]
-    assert case(spark, SQL, ("lib/a.ts", "_eval(x) myeval(x)")) == []
-
-
-def test_multi_line_matches(spark):
-    text = "a\n\nb.query(\n\n  `select ${x}`)\nc.raw('x' +\n y)"
-    assert case(spark, SQL, ("lib/a.ts", text)) == [("F", "lib/a.ts", 3), ("F", "lib/a.ts", 6)]
-    html = "a\n<p dangerouslySetInnerHTML={{\n __html:\n body\n }} /> <p dangerouslySetInnerHTML={{ __html: 'x' }} />"
-    assert case(spark, SQL, ("lib/a.tsx", html)) == [("H", "lib/a.tsx", 2)]
-
-
-def test_database_url_exceptions(spark):
-    url = "postgresql://u:{}@{}/d\n"
-    text = "".join(
-        url.format(p, h)
-        for p, h in [("<password>", "db.x"), ("[pw]", "db.x"), ("changeme", "db.x"), ("xxxx", "db.x"),
-                     ("real", "localhost"), ("real", "127.0.0.1:5432"), ("postgres", "db.x")]
-    )
-    assert case(spark, SQL, ("lib/a.ts", text)) == [("A3", "lib/a.ts", 7)]
-
-
-def test_public_names(spark):
-    text = "process.env.NEXT_PUBLIC_CANONICAL_SECRET\nprocess.env.NEXT_PUBLIC_KEYS\nprocess.env.NEXT_PUBLIC_A_KEY"
-    assert case(spark, SQL, ("lib/a.ts", text)) == [("A1B", "lib/a.ts", 3)]
+@pytest.fixture(scope="module")
+def found(spark):
+    files = files_frame(spark, **{name: dict(files) for name, (files, _) in CASES.items()})
+    rows = scan_projects(files).orderBy("project_id", "check_no", "phase", "file_seq", "step", "pos").collect()
+    return {name: [r for r in rows if r.project_id == name] for name in CASES}
 
 
-def test_row_security_across_files(spark):
-    assert case(spark, ("a.sql", "create table T1 (x int)"), ("b.sql", "ALTER TABLE t1 ENABLE ROW LEVEL SECURITY")) == []
-    twice = case(spark, ("a.sql", "\ncreate table if not exists t (x int)"), ("b.sql", "create table public.t (x int)"))
-    assert twice == [("B1", "a.sql", 2)]
-    rows = findings_of(spark, {"a.sql": 'create table "public"."orders" (x int)'})
-    assert [r.title for r in rows] == ['Table "public" has no RLS enabled in migrations']
+@pytest.mark.parametrize("name", [n for n in CASES if n != "open"])
+def test_case(found, name):
+    assert [(r.rule, r.file, r.line) for r in found[name]] == CASES[name][1]
 
 
-def test_first_header_config_decides(spark):
-    with_headers = "headers() {}"
-    assert case(spark, SQL, ("next.config.js", ""), ("web/next.config.ts", with_headers)) == [("D", "next.config.js", 1)]
-    assert case(spark, SQL, ("next.config.js", with_headers), ("web/next.config.ts", "")) == []
+def test_open_project_in_rule_order(found):
+    assert [(f.severity, f.file, f.line, f.id) for f in found["open"]] == EXPECTED
 
 
-def test_middleware_caveat(spark):
-    route = ("app/x/route.ts", "prisma.user.findMany()")
-    plain = findings_of(spark, dict([SQL, route]))
-    guarded = findings_of(spark, dict([SQL, route, ("src/middleware.ts", "requireAuth(req)")]))
-    assert not plain[0].detail.endswith(fv.MIDDLEWARE_CAVEAT)
-    assert guarded[0].detail == plain[0].detail + fv.MIDDLEWARE_CAVEAT and guarded[0].id == plain[0].id
+def test_shared_ids_keep_their_rows(found):
+    for name in ("one_line_twice", "one_line_two_tokens"):
+        assert found[name][0].id == found[name][1].id
+    assert found["one_line_two_tokens"][0].detail != found["one_line_two_tokens"][1].detail
 
 
-def test_entry_point_precedence(spark):
-    body = "import x\n  'use server'\ndb.select()"
-    kinds = [r.title.split(" performs")[0] for r in findings_of(
-        spark, {"a.sql": "", "app/route.js": body, "pages/api/a.ts": body, "lib/a.ts": body}
-    )]
-    assert kinds == ["Route handler", "API route", "Server action"]
-    assert case(spark, SQL, ("lib/a.ts", "'use server'\n auth(); db.select()")) == [("C", "lib/a.ts", 1)]
+def test_texts(found):
+    assert found["quoted_schema"][0].title == 'Table "public" has no RLS enabled in migrations'
+    assert found["guarded"][0].detail == found["plain"][0].detail + fv.MIDDLEWARE_CAVEAT
+    assert found["guarded"][0].id == found["plain"][0].id
+    assert [r.title.split(" performs")[0] for r in found["kinds"]] == fv.ENTRY_POINT_KINDS
 
 
-def test_ignored_and_unclassified(spark):
-    bad = "eval(x)"
-    paths = ["node_modules/a.ts", "x/build", "a.TS", ".env", "src/out/a.js"]
-    assert case(spark, SQL, *[(p, bad) for p in paths]) == []
-    assert case(spark, SQL, (".\\lib\\a.ts", bad)) == [("G", "lib/a.ts", 1)]
-    assert case(spark, SQL, ("lib/tokens.example.ts", AWS), ("mocks/a.ts", PEM), ("lib/b.ts", AWS)) == [
-        ("E1", "lib/b.ts", 1)
-    ]
+def test_counts_and_columns(spark):
+    files = files_frame(spark, open=OPEN_PROJECT, closed=CLOSED_PROJECT)
+    counts = {r.project_id: (r.files, r.code, r.sql) for r in scanned_counts(files).collect()}
+    assert counts == {"open": (10, 9, 1), "closed": (6, 5, 1)}
+    assert scan_projects(files).columns[: len(FINDING_COLUMNS)] == FINDING_COLUMNS
 
 
 def test_user_rule(spark):
-    from plumbline.operators.rules import Rule, every_match
-
     rule = Rule(
-        "todo", "code", every_match("X1", 9, r"TODO"), None,
-        (("X1", ("LOW", "CONFIG", "heuristic", "Open task", "detail", "fix")),),
+        "todo", "code", every_match("X1", 9, r"TODO"),
+        texts=(("X1", ("LOW", "CONFIG", "heuristic", "Open task", "detail", "fix")),),
     )
     rows = scan_projects(files_frame(spark, p={"a.ts": "a\nTODO"}), [rule]).collect()
     assert [(r.title, r.line) for r in rows] == [("Open task", 2)]
