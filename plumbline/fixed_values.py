@@ -298,3 +298,12 @@ PROVIDERS = [
     ]),
 ]
 NO_BRANCH_TEXT = "your production branch"
+
+# ---- request texts ---------------------------------------------------------------------------
+REQUEST_HEAD = (
+    "Analyze the following deterministic findings from a Next.js + Supabase/Neon project scan.\n"
+    "For each, produce an explanation grounded in the cited ASVS requirement and a concrete remediation.\n\n"
+)
+REQUEST_FOOT = (
+    "\nCall submit_analysis with one entry per finding (matched by id) plus any additionalObservations."
+)

@@ -78,19 +78,3 @@ def last_before(df: DataFrame, keys, buckets, order, value: Column, name: str) -
 def first_after(df: DataFrame, keys, buckets, order, value: Column, name: str) -> DataFrame:
     """The first non-null ``value`` strictly after each row."""
     return _carry(df, keys, buckets, order, value, name, False)
-
-
-def top_k(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread: Column, name: str = "rn"
-) -> DataFrame:
-    """The first ``k`` rows per key. Every (key, spread) slice is cut to ``k`` ahead of the key's shuffle."""
-    rows = df.withColumn("__slice", spread)
-    sliced = Window.partitionBy(*keys, "__slice").orderBy(*order)
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        rows.withColumn(name, F.row_number().over(sliced))
-        .filter(F.col(name) <= k)
-        .drop("__slice")
-        .withColumn(name, F.row_number().over(whole))
-        .filter(F.col(name) <= k)
-    )

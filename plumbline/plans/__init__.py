@@ -25,4 +25,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from plumbline.plans import files  # noqa: F401
+    from plumbline.plans import files, findings, reports  # noqa: F401
