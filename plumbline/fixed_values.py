@@ -307,3 +307,67 @@ REQUEST_HEAD = (
 REQUEST_FOOT = (
     "\nCall submit_analysis with one entry per finding (matched by id) plus any additionalObservations."
 )
+
+# ---- report texts ----------------------------------------------------------------------------
+GATE_PASSED = "Gate **passed** — no findings at or above `{fail_on}`."
+GATE_FAILED = "Gate **failed** — findings at or above `{fail_on}`. Production promotion is held."
+GATE_REPORT_ONLY = (
+    "Findings at or above `{fail_on}` present. Gate is in **report-only** mode, so the deploy is not blocked."
+)
+NO_FINDINGS = "No findings."
+NEUTRAL_TITLE = "{tool} could not complete this scan"
+NEUTRAL_SUMMARY = (
+    "{tool} did not finish scanning this commit, so it is **not** gating the deploy.\n\n_Reason: {reason}_"
+)
+NEUTRAL_TEXT = (
+    "No findings were produced because the scan did not complete. This check is neutral and does not block."
+)
+NOTE_SUBSCRIPTION = (
+    "\n\n_Explanations are unavailable without an active subscription. The gate still runs on the findings._"
+)
+NOTE_UNAVAILABLE = "\n\n_Explanations are temporarily unavailable. The gate still runs on the findings._"
+NOTE_REQUEST_FAILED = "\n\n_Backend enrichment unavailable ({reason}). Gate evaluated on local findings._"
+CONSOLE_NOTHING = "No issues found by the current checks. (First-pass posture check, not full ASVS certification.)"
+
+# ---- workflow files --------------------------------------------------------------------------
+# {tool} {check} {action} {secret} {branch} are filled in; everything else is literal.
+WORKFLOW_DISPATCH = """name: {tool}
+on:
+  repository_dispatch:
+    types: [vercel.deployment.success]
+jobs:
+  security-gate:
+    runs-on: ubuntu-latest
+    permissions:
+      actions: read
+      contents: read
+      statuses: write
+      checks: write
+    steps:
+      - uses: vercel/repository-dispatch/actions/status@v1
+        with:
+          name: {check}
+      - uses: actions/checkout@v4
+      - uses: {action}
+        with:
+          api-key: ${{ secrets.{secret} }}
+          commit-sha: ${{ github.event.client_payload.git.sha }}
+"""
+WORKFLOW_BRANCH = """name: {tool}
+on:
+  pull_request:
+  push:
+    branches: [{branch}]
+jobs:
+  security-gate:
+    runs-on: ubuntu-latest
+    permissions:
+      contents: read
+      checks: write
+    steps:
+      - uses: actions/checkout@v4
+      - uses: {action}
+        with:
+          api-key: ${{ secrets.{secret} }}
+          commit-sha: ${{ github.event.pull_request.head.sha || github.sha }}
+"""

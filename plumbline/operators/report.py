@@ -102,12 +102,9 @@ def report_text(
 
 
 def _verdict(mode: str, fail_on: str) -> Column:
-    passed = f"Gate **passed** — no findings at or above `{fail_on}`."
-    failed = f"Gate **failed** — findings at or above `{fail_on}`. Production promotion is held."
-    shown = (
-        f"Findings at or above `{fail_on}` present. Gate is in **report-only** mode, so the deploy is not blocked."
-    )
-    return F.when(~F.col("would_block"), passed).otherwise(failed if mode == "enforce" else shown)
+    blocked = fv.GATE_FAILED if mode == "enforce" else fv.GATE_REPORT_ONLY
+    text = [t.replace("{fail_on}", fail_on) for t in (fv.GATE_PASSED, blocked)]
+    return F.when(~F.col("would_block"), text[0]).otherwise(text[1])
 
 
 def render_report(
@@ -122,22 +119,17 @@ def render_report(
     summary = F.format_string("**%d high · %d medium · %d low · %d info**\n\n%s", *names, _verdict(mode, fail_on))
     return zero.select(
         *keys, "would_block", "conclusion", head.alias("title"), summary.alias("summary"),
-        F.coalesce("text", F.lit("No findings.")).alias("text"),
+        F.coalesce("text", F.lit(fv.NO_FINDINGS)).alias("text"),
     )
 
 
 def neutral_report(reason: Column | str, tool: str = fv.TOOL_NAME) -> Column:
     """The fixed body of a scan that did not complete."""
     why = reason if isinstance(reason, Column) else F.lit(reason)
+    title, summary = fv.NEUTRAL_TITLE.replace("{tool}", tool), fv.NEUTRAL_SUMMARY.replace("{tool}", tool)
     return F.struct(
-        F.lit(f"{tool} could not complete this scan").alias("title"),
-        F.concat(
-            F.lit(f"{tool} did not finish scanning this commit, so it is **not** gating the deploy.\n\n_Reason: "),
-            why, F.lit("_"),
-        ).alias("summary"),
-        F.lit(
-            "No findings were produced because the scan did not complete. This check is neutral and does not block."
-        ).alias("text"),
+        F.lit(title).alias("title"), F.replace(F.lit(summary), F.lit("{reason}"), why).alias("summary"),
+        F.lit(fv.NEUTRAL_TEXT).alias("text"),
     )
 
 
@@ -155,22 +147,11 @@ def check_results(reports: DataFrame, failed: DataFrame, keys: Sequence[str], to
 
 def submission_note() -> Column:
     """Extra summary lines of the continuous-integration report for the three enrichment outcomes."""
+    failed = F.replace(F.lit(fv.NOTE_REQUEST_FAILED), F.lit("{reason}"), F.col("request_error"))
     return (
-        F.when(
-            F.col("enrichment_error") == "subscription_required",
-            "\n\n_Explanations are unavailable without an active subscription. The gate still runs on the findings._",
-        )
-        .when(
-            F.col("enrichment") == "unavailable",
-            "\n\n_Explanations are temporarily unavailable. The gate still runs on the findings._",
-        )
-        .when(
-            F.col("request_error").isNotNull(),
-            F.concat(
-                F.lit("\n\n_Backend enrichment unavailable ("), "request_error",
-                F.lit("). Gate evaluated on local findings._"),
-            ),
-        )
+        F.when(F.col("enrichment_error") == "subscription_required", fv.NOTE_SUBSCRIPTION)
+        .when(F.col("enrichment") == "unavailable", fv.NOTE_UNAVAILABLE)
+        .when(F.col("request_error").isNotNull(), failed)
         .otherwise("")
     )
 
@@ -232,11 +213,10 @@ def console_pages(
     counts = findings.groupBy(key).agg(*severity_count_columns())
     names = ["high", "medium", "low", "info"]
     joined = scanned.join(counts, key, "left").join(pages, key, "left").fillna(0, names)
-    nothing = "No issues found by the current checks. (First-pass posture check, not full ASVS certification.)"
     return joined.select(
         key, F.coalesce("page", F.lit(0)).alias("page"),
         F.format_string(f"{tool}: scanned %d code + %d SQL files", "code", "sql").alias("head"),
-        F.coalesce("body", F.lit(nothing)).alias("body"),
+        F.coalesce("body", F.lit(fv.CONSOLE_NOTHING)).alias("body"),
         F.format_string("Summary  %d high · %d medium · %d low · %d info", *names).alias("summary"),
     )
 

@@ -238,7 +238,7 @@ def _area_findings(t):
 # ---- controls --------------------------------------------------------------------------------
 @query(
     "requirements_per_category",
-    f"""{_SF}, {o.REQUIREMENTS}, {o.CATEGORY_REQUIREMENT} SELECT asvs_category, ord, req_id, chapter, section, r.title AS req_title,
+    f"""{_SF}, {o.REQUIREMENTS}, {o.CATEGORY_REQUIREMENT} SELECT asvs_category, c.ord, req_id, chapter, section, r.title AS req_title,
     count(*) AS findings FROM scan_findings JOIN category_requirement c ON c.category = asvs_category
     JOIN requirements r ON r.id = c.req_id GROUP BY ALL""",
 )

@@ -210,3 +210,64 @@ CATEGORY_REQUIREMENT = "category_requirement(category, ord, req_id) AS (VALUES "
 AREAS = "areas(category, area_ord, label) AS (VALUES " + ", ".join(
     f"({lit(c)}, {n}, {lit(fv.AREA_LABEL[c])})" for n, c in enumerate(fv.CATEGORIES)
 ) + ")"
+
+REPO_EVENTS = """repo_events AS (SELECT event_id AS seq, ts, user_id AS inst, event_type,
+    'org' || (user_id % 20) || '/r' || (event_id % 3) AS name,
+    CASE WHEN event_id % 50 <> 0 THEN (user_id % 20) * 10 + event_id % 3 + 1 END AS repo_id,
+    CASE WHEN event_id % 37 = 0 THEN '0000000000' ELSE 'a' || (event_id // 2000) || 'x' || (event_id % 40) END AS sha,
+    event_id % 53 <> 0 AS has_inst FROM events)"""
+INSTALLATIONS = """installations AS (SELECT c_custkey AS installation_id, c_name AS account_login,
+    CASE WHEN c_nationkey % 2 = 0 THEN 'User' ELSE 'Organization' END AS account_type, c_custkey + 1000000 AS user_id,
+    CASE WHEN c_custkey % 13 = 0 THEN TIMESTAMP '2023-12-01 00:00:00' END AS suspended_at FROM customer WHERE c_custkey % 9 <> 0)"""
+REQUESTS = f"""{REPO_EVENTS}, {INSTALLATIONS}, requests AS (
+  SELECT r.seq, r.ts, r.inst AS installation_id, r.name AS repo_full_name, r.repo_id, r.sha AS head_sha,
+    CASE WHEN event_type = 'click' THEN 'refs/heads/main' ELSE 'feat' || (seq % 2) END AS ref,
+    event_type = 'view' AS is_pull_request, i.user_id
+  FROM repo_events r JOIN installations i ON i.installation_id = r.inst AND i.suspended_at IS NULL
+  WHERE has_inst AND repo_id IS NOT NULL AND (
+    (event_type = 'click' AND seq % 5 <> 0 AND seq % 41 <> 0 AND sha <> '0000000000')
+    OR (event_type = 'view' AND seq % 4 <> 2 AND seq % 11 <> 0 AND seq % 7 <> 0)))"""
+SETUPS = """repo_setups AS (SELECT c_custkey + 1000000 AS user_id, c_custkey AS installation_id,
+    'org' || (c_custkey % 20) || '/r' || (c_custkey % 3) AS repo_full_name, CASE WHEN c_custkey % 4 <> 0 THEN 'main' END AS default_branch,
+    'created' AS workflow_state, ['set', 'pending'][CAST(c_custkey % 2 AS INT) + 1] AS secret_state, 'k' || c_custkey AS api_key_id,
+    ['vercel', 'netlify', 'cloudflare', 'gone'][CAST((c_custkey // 2) % 4 AS INT) + 1] AS gate_provider,
+    ['unverified', 'required', 'error'][CAST((c_custkey // 3) % 3 AS INT) + 1] AS gate_state,
+    CASE WHEN c_custkey % 5 <> 0 THEN TIMESTAMP '2024-01-10 00:00:00' + to_minutes(c_custkey % 20) END AS gate_last_checked_at
+  FROM customer WHERE c_custkey % 6 <> 0)"""
+API_KEYS = """api_keys AS (SELECT 'k' || c_custkey AS id, c_custkey AS user_id, c_name AS name, 'pflt_tok' || c_custkey AS token,
+    substr('pflt_tok' || c_custkey, 1, 13) AS key_prefix, TIMESTAMP '2023-01-01 00:00:00' + to_days(CAST(c_custkey % 300 AS INT)) AS created_at,
+    CAST(NULL AS TIMESTAMP) AS last_used_at, CASE WHEN c_custkey % 11 = 0 THEN TIMESTAMP '2023-12-31 00:00:00' END AS revoked_at FROM customer)"""
+USES = f"""{API_KEYS}, uses AS (SELECT event_id AS call_id, ts, k.id AS api_key_id, k.user_id
+  FROM events e JOIN api_keys k ON k.token = 'pflt_tok' || e.user_id AND k.revoked_at IS NULL WHERE event_id % 6 IN (3, 4))"""
+JOB_EVENTS = """job_events AS (SELECT 'j' || user_id || '-' || (event_id % 4) AS job_id, user_id % 25 AS installation_id,
+    ['queued', 'claimed', 'failed', 'claimed', 'done', 'check_opened', 'failed', 'superseded'][CAST((event_id // 4) % 8 AS INT) + 1] AS event,
+    event_id AS seq, ts, 'err ' || event_id AS error, event_id AS check_run_id FROM events)"""
+JOBS = f"""{JOB_EVENTS}, moves AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn
+    FROM job_events WHERE event <> 'check_opened'),
+jobs AS (SELECT a.job_id, a.installation_id, a.created_at, a.attempts, a.claimed_at, a.check_run_id,
+    CASE m.event WHEN 'claimed' THEN 'running' WHEN 'failed' THEN CASE WHEN attempts >= 5 THEN 'dead' ELSE 'error' END
+      WHEN 'done' THEN 'done' WHEN 'superseded' THEN 'done' ELSE 'queued' END AS status,
+    CASE WHEN m.event IN ('done', 'superseded') OR (m.event = 'failed' AND attempts >= 5) THEN m.ts END AS finished_at,
+    CASE x.event WHEN 'failed' THEN x.error WHEN 'superseded' THEN 'superseded by ' || x.error END AS last_error
+  FROM (SELECT job_id, arg_min(installation_id, seq) AS installation_id, min(ts) AS created_at,
+          count(*) FILTER (event = 'claimed') AS attempts, arg_max(ts, seq) FILTER (event = 'claimed') AS claimed_at,
+          arg_min(check_run_id, seq) FILTER (event = 'check_opened') AS check_run_id FROM job_events GROUP BY job_id) a
+  LEFT JOIN moves m ON m.job_id = a.job_id AND m.rn = 1
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM job_events
+             WHERE event IN ('failed', 'done', 'superseded')) x ON x.job_id = a.job_id AND x.rn = 1)"""
+BACKLOG = f"""{JOBS}, backlog AS (SELECT * FROM (SELECT *, CASE WHEN status = 'queued' THEN 'queued'
+    WHEN status = 'error' AND attempts < 5 AND claimed_at + to_seconds(30 * pow(2, least(attempts, 6))) < TIMESTAMP '2024-01-30 12:00:00' THEN 'retry'
+    WHEN status = 'running' AND claimed_at + to_seconds(600) < TIMESTAMP '2024-01-30 12:00:00'
+      THEN CASE WHEN attempts < 5 THEN 'lease_expired' ELSE 'stuck' END END AS reason FROM jobs) WHERE reason IS NOT NULL)"""
+BILLING = """deliveries AS (
+  SELECT 'evt_' || event_id AS id, event_id AS n, user_id, ts AS created, event_id AS arrival_seq, event_id % 6 AS st FROM events
+  UNION ALL SELECT 'evt_' || event_id, event_id, user_id, ts, event_id + 1000000000, (event_id + 1) % 6 FROM events WHERE event_id % 10 = 0),
+first_seen AS (SELECT * FROM deliveries QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrival_seq) = 1),
+patches AS (SELECT id, n, 'cus_' || user_id AS customer_id, 'sub_' || user_id AS subscription_id, created, arrival_seq,
+    ['active', 'trialing', 'past_due', 'canceled', 'unpaid', 'incomplete'][CAST(st AS INT) + 1] AS status,
+    CASE WHEN n % 4 <> 0 THEN 'price_' || (n % 3) END AS price_id, make_timestamp((1700000000 + n) * 1000000) AS current_period_end
+  FROM first_seen WHERE n % 8 <> 7 AND n % 29 <> 0 AND n % 31 <> 0),
+subs AS (SELECT c_custkey AS user_id, 'cus_' || c_custkey AS stripe_customer_id FROM customer WHERE c_custkey % 7 <> 0),
+state AS (SELECT s.user_id, s.stripe_customer_id, p.subscription_id AS stripe_subscription_id, coalesce(p.status, 'incomplete') AS status,
+    p.price_id, p.current_period_end FROM subs s LEFT JOIN (SELECT * FROM patches
+      QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY {order} DESC) = 1) p ON p.customer_id = s.stripe_customer_id)"""

@@ -172,7 +172,7 @@ def _console(t):
         count(*) FILTER (c.kind = 'sql') AS sql FROM files p LEFT JOIN classified c USING (file_seq) GROUP BY p.project_id),
     g AS (SELECT project_id, count(*) AS n, count(*) FILTER (severity = 'HIGH') AS h FROM findings GROUP BY project_id),
     j AS (SELECT * FROM s JOIN g USING (project_id))
-    SELECT project_id, 0 AS step, 'log' AS type, 'Downloaded ' || files || ' scannable file' || CASE WHEN files = 1 THEN '' ELSE 's' END || '.' AS message,
+    SELECT project_id, CAST(0 AS BIGINT) AS step, 'log' AS type, 'Downloaded ' || files || ' scannable file' || CASE WHEN files = 1 THEN '' ELSE 's' END || '.' AS message,
       NULL::BIGINT AS findings, NULL::BIGINT AS high FROM j
     UNION ALL SELECT project_id, 1, 'log', 'Scanned ' || code || ' code + ' || sql || ' SQL files — ' || n || ' finding'
       || CASE WHEN n = 1 THEN '' ELSE 's' END || ' total.', NULL, NULL FROM j

@@ -132,3 +132,198 @@ class Tables:
             F.col("event_id").alias("call_id"),
             F.concat(F.lit("apikey:"), F.col("user_id").cast("string")).alias("subject"), F.col("ts"),
         )
+
+    def repo_events(self) -> DataFrame:
+        """events → repo_events(seq, event, payload JSON, ts)."""
+        n, user = F.col("event_id"), F.col("user_id")
+        text = lambda *xs: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in xs])
+        kind = F.col("event_type")
+        name = text("org", user % 20, "/r", n % 3)
+        repo_id = F.when(n % 50 != 0, (user % 20) * 10 + n % 3 + 1)
+        sha = F.when(n % 37 == 0, "0000000000").otherwise(text("a", F.floor(n / 2000), "x", n % 40))
+        push, pull, install, repos = (kind == k for k in ("click", "view", "error", "signup"))
+        action = (
+            F.when(pull, F.element_at(F.array(*map(F.lit, ["opened", "synchronize", "closed", "reopened"])), (n % 4).cast("int") + 1))
+            .when(install & (n % 97 == 0), "deleted")
+            .when(install, F.element_at(F.array(*map(F.lit, ["suspend", "unsuspend", "created"])), (n % 3).cast("int") + 1))
+            .when(repos, F.when(n % 2 == 0, "removed").otherwise("added"))
+        )
+        head_repo = F.when(n % 11 != 0, F.struct(F.when(n % 7 == 0, repo_id + 1000).otherwise(repo_id).alias("id")))
+        payload = F.struct(
+            action.alias("action"),
+            F.when(n % 53 != 0, F.struct(user.alias("id"))).alias("installation"),
+            F.when(
+                repos,
+                F.array(
+                    F.struct(F.lit(1).alias("id"), name.alias("full_name")),
+                    F.struct(F.lit(2).alias("id"), F.lit(None).cast("string").alias("full_name")),
+                ),
+            ).alias("repositories_removed"),
+            F.when(push, F.when(n % 5 != 0, "refs/heads/main").otherwise("refs/heads/dev")).alias("ref"),
+            F.when(push, sha).alias("after"),
+            F.when(push, n % 41 == 0).alias("deleted"),
+            F.when(
+                push | pull,
+                F.struct(repo_id.alias("id"), name.alias("full_name"), F.lit("main").alias("default_branch")),
+            ).alias("repository"),
+            F.when(
+                pull,
+                F.struct(
+                    F.struct(sha.alias("sha"), text("feat", n % 2).alias("ref"), head_repo.alias("repo")).alias("head")
+                ),
+            ).alias("pull_request"),
+        )
+        event = (
+            F.when(push, "push").when(pull, "pull_request").when(install, "installation")
+            .when(repos, "installation_repositories").otherwise("ping")
+        )
+        return self.table("events").select(
+            n.alias("seq"), event.alias("event"), F.to_json(payload).alias("payload"), F.col("ts")
+        )
+
+    def installations(self) -> DataFrame:
+        """customer → installations; every ninth customer never installed."""
+        key = F.col("c_custkey")
+        return self.table("customer").filter(key % 9 != 0).select(
+            key.alias("installation_id"), F.col("c_name").alias("account_login"),
+            F.when(F.col("c_nationkey") % 2 == 0, "User").otherwise("Organization").alias("account_type"),
+            (key + 1000000).alias("user_id"),
+            F.when(key % 13 == 0, F.lit("2023-12-01 00:00:00").cast("timestamp_ntz")).alias("suspended_at"),
+        )
+
+    def repo_setups(self) -> DataFrame:
+        key = F.col("c_custkey")
+        pick = lambda values, index: F.element_at(F.array(*map(F.lit, values)), index.cast("int") + 1)
+        return self.table("customer").filter(key % 6 != 0).select(
+            (key + 1000000).alias("user_id"), key.alias("installation_id"),
+            F.concat(F.lit("org"), (key % 20).cast("string"), F.lit("/r"), (key % 3).cast("string")).alias("repo_full_name"),
+            F.when(key % 4 != 0, "main").alias("default_branch"), F.lit("created").alias("workflow_state"),
+            pick(["set", "pending"], key % 2).alias("secret_state"),
+            F.concat(F.lit("k"), key.cast("string")).alias("api_key_id"),
+            pick(["vercel", "netlify", "cloudflare", "gone"], F.floor(key / 2) % 4).alias("gate_provider"),
+            pick(["unverified", "required", "error"], F.floor(key / 3) % 3).alias("gate_state"),
+            F.when(
+                key % 5 != 0, F.lit("2024-01-10 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(key % 20).cast("int"))
+            ).alias("gate_last_checked_at"),
+            F.lit(None).cast("string").alias("last_error"),
+        )
+
+    def api_keys(self) -> DataFrame:
+        key = F.col("c_custkey")
+        text = key.cast("string")
+        return self.table("customer").select(
+            F.concat(F.lit("k"), text).alias("id"), key.alias("user_id"), F.col("c_name").alias("name"),
+            F.sha2(F.concat(F.lit("pflt_tok"), text), 256).alias("key_hash"),
+            F.concat(F.lit("pflt_tok"), text).substr(1, 13).alias("key_prefix"),
+            (F.lit("2023-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=(key % 300).cast("int"))).alias("created_at"),
+            F.lit(None).cast("timestamp_ntz").alias("last_used_at"),
+            F.when(key % 11 == 0, F.lit("2023-12-31 00:00:00").cast("timestamp_ntz")).alias("revoked_at"),
+        )
+
+    def bearer_calls(self) -> DataFrame:
+        n, user = F.col("event_id"), F.col("user_id").cast("string")
+        header = (
+            F.when(n % 6 == 0, F.concat(F.lit("bearer pflt_tok"), user))
+            .when(n % 6 == 1, F.concat(F.lit("Bearer other_"), user))
+            .when(n % 6 == 2, F.concat(F.lit("Bearer  pflt_tok"), user, F.lit(" x")))
+            .when(n % 6 == 3, F.concat(F.lit("Bearer   pflt_tok"), user))
+            .when(n % 6 == 4, F.concat(F.lit("Bearer pflt_tok"), user))
+        )
+        return self.table("events").select(n.alias("call_id"), header.alias("header"), F.col("ts"))
+
+    def job_events(self) -> DataFrame:
+        n, user = F.col("event_id"), F.col("user_id")
+        kinds = ["queued", "claimed", "failed", "claimed", "done", "check_opened", "failed", "superseded"]
+        event = F.element_at(F.array(*map(F.lit, kinds)), (F.floor(n / 4) % 8).cast("int") + 1)
+        return self.table("events").select(
+            F.concat(F.lit("j"), user.cast("string"), F.lit("-"), (n % 4).cast("string")).alias("job_id"),
+            (user % 25).alias("installation_id"), event.alias("event"), n.alias("seq"), F.col("ts"),
+            F.concat(F.lit("err "), n.cast("string")).alias("error"), n.alias("check_run_id"),
+        )
+
+    def billing_events(self) -> DataFrame:
+        """Every tenth event is delivered again, later and with another status."""
+        n, user = F.col("event_id"), F.col("user_id")
+        types = [
+            "checkout.session.completed", "customer.subscription.created", "customer.subscription.updated",
+            "customer.subscription.deleted", "customer.subscription.trial_will_end", "invoice.paid",
+            "invoice.payment_failed", "customer.created",
+        ]
+        states = ["active", "trialing", "past_due", "canceled", "unpaid", "incomplete"]
+        pick = lambda values, index: F.element_at(F.array(*map(F.lit, values)), index.cast("int") + 1)
+
+        def delivery(status, arrival):
+            sub = F.struct(
+                F.concat(F.lit("sub_"), user.cast("string")).alias("id"), status.alias("status"),
+                (F.lit(1700000000) + n).alias("current_period_end"),
+                F.when(
+                    n % 4 != 0,
+                    F.array(F.struct(F.struct(F.concat(F.lit("price_"), (n % 3).cast("string")).alias("id")).alias("price"))),
+                ).otherwise(F.expr("array()").cast("array<struct<price:struct<id:string>>>")).alias("items"),
+            )
+            return [
+                F.concat(F.lit("evt_"), n.cast("string")).alias("id"), pick(types, n % 8).alias("type"),
+                F.when(n % 29 != 0, F.concat(F.lit("cus_"), user.cast("string"))).alias("customer_id"),
+                F.when(n % 31 != 0, F.to_json(sub)).alias("subscription"), F.col("ts").alias("created"),
+                arrival.alias("arrival_seq"),
+            ]
+
+        events = self.table("events")
+        once = events.select(*delivery(pick(states, n % 6), n))
+        again = events.filter(n % 10 == 0).select(*delivery(pick(states, (n + 1) % 6), n + 1_000_000_000))
+        return once.unionByName(again)
+
+    def subscriptions(self) -> DataFrame:
+        key = F.col("c_custkey")
+        return self.table("customer").filter(key % 7 != 0).select(
+            key.alias("user_id"), F.concat(F.lit("cus_"), key.cast("string")).alias("stripe_customer_id"),
+            F.lit(None).cast("string").alias("stripe_subscription_id"), F.lit("incomplete").alias("status"),
+            F.lit(None).cast("string").alias("price_id"), F.lit(None).cast("timestamp_ntz").alias("current_period_end"),
+        )
+
+    def submissions(self) -> DataFrame:
+        """events → JSON bodies with up to 129 findings; some fields are numbers, some bodies broken."""
+        n = F.col("event_id")
+        finding = lambda i: F.concat(
+            F.lit('{"id":"f'), i.cast("string"), F.lit('","title":"t","severity":"'),
+            F.when(i % 5 == 0, "HIGH").otherwise("LOW"), F.lit('","confidence":"definitive","asvsCategory":"SECRETS","file":'),
+            F.when(i % 7 == 3, F.lit("7")).otherwise(F.lit('"a.ts"')), F.lit(',"line":'), i.cast("string"),
+            F.lit(',"detail":"d","remediation":"r"}'),
+        )
+        items = F.array_join(F.transform(F.sequence(F.lit(1), n % 130 + 1), finding), ",")
+        body = F.concat(
+            F.lit('{"repo":'), F.when(n % 3 == 0, F.lit("5")).otherwise(F.lit('"org/r"')), F.lit(',"ref":"main","findings":'),
+            F.when(n % 17 == 0, F.lit("{}")).otherwise(F.concat(F.lit("["), items, F.lit("]"))), F.lit("}"),
+        )
+        value = F.when(n % 19 == 0, F.lit("{broken")).otherwise(body)
+        return self.table("events").select(
+            n.alias("submission_id"), F.col("user_id"), F.col("ts"), value.alias("value")
+        )
+
+    def archives(self) -> DataFrame:
+        """documents → one small gzip tar per document: its file, an ignored one and an over-long name."""
+
+        def pack(batches):
+            import gzip
+            import io
+            import tarfile
+
+            import pandas as pd
+
+            for batch in batches:
+                out = []
+                for project, path, content in zip(batch["project_id"], batch["path"], batch["content"]):
+                    buffer = io.BytesIO()
+                    with tarfile.open(fileobj=buffer, mode="w") as archive:
+                        for name in (path.replace("\\", "/"), "node_modules/x/" + path, "long/" + "d" * 120 + "/a.ts"):
+                            data = content.encode()
+                            info = tarfile.TarInfo("wrapper-1/" + name)
+                            info.size = len(data)
+                            archive.addfile(info, io.BytesIO(data))
+                    out.append((project, gzip.compress(buffer.getvalue(), 1)))
+                yield pd.DataFrame(out, columns=["project_id", "archive"])
+
+        files = self.files().select(
+            F.concat("project_id", F.lit("-"), F.col("file_seq").cast("string")).alias("project_id"), "path", "content"
+        )
+        return files.mapInPandas(pack, "project_id string, archive binary")
