@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline import fixed_values as fv
 from plumbline.functions.keys import lease_expires_at, retry_ready_at
 from plumbline.operators import ranking
+from plumbline.session import stage
 
 REF_KEYS = ["installation_id", "repo_full_name", "ref", "is_pull_request"]
 
@@ -22,12 +23,12 @@ def next_other_commit(arrivals: DataFrame, block: int = 100_000) -> DataFrame:
     """``superseded_by(seq, head_sha)`` of every arrival: the next arrival of its ref with another commit.
 
     Runs over ALL arrivals, redelivered ones included. The sequence is cut into blocks, so one busy ref
-    does not end up in a single task.
+    does not end up in a single task. The two ordered passes read their input twice, so it is staged.
     """
     bucket = [F.floor(F.col("seq") / block)]
     order = [F.col("seq")]
     here = F.struct("seq", "head_sha")
-    stepped = ranking.last_before(arrivals, REF_KEYS, bucket, order, F.col("head_sha"), "__previous")
+    stepped = stage(ranking.last_before(arrivals, REF_KEYS, bucket, order, F.col("head_sha"), "__previous"))
     change = F.when(~F.col("head_sha").eqNullSafe(F.col("__previous")), here)
     return ranking.first_after(stepped, REF_KEYS, bucket, order, change, "superseded_by").drop("__previous")
 
@@ -40,8 +41,7 @@ def supersede(
     ``claims(repo_id, head_sha, claim_seq)`` protects jobs claimed before that arrival. With
     ``ignore_redelivery`` (a deviation) a repeated delivery of an old commit closes nothing.
     """
-    if ignore_redelivery:
-        arrivals = jobs_from_events(arrivals)
+    arrivals = stage(jobs_from_events(arrivals) if ignore_redelivery else arrivals)
     jobs = jobs_from_events(next_other_commit(arrivals, block))
     if claims is None:
         open_at = F.lit(True)

@@ -45,21 +45,15 @@ def _carry(df, keys, buckets, order, value, name, forward: bool) -> DataFrame:
     rows = df.withColumns({**exprs, "__v": value, "__o": F.struct(*order)})
     group = [*keys, *names]
     pick = F.max_by if forward else F.min_by
-    summary = (
-        rows.filter(F.col("__v").isNotNull()).groupBy(*group).agg(pick("__v", "__o").alias("__edge"))
-    )
-    every = rows.select(*group).distinct()
+    # One row per bucket: its outermost value, null when it has none.
+    edges = rows.groupBy(*group).agg(pick("__v", F.when(F.col("__v").isNotNull(), F.col("__o"))).alias("__edge"))
 
     def before(*cols):
         window = Window.orderBy(*[F.col(c).asc() if forward else F.col(c).desc() for c in cols])
         return window.rowsBetween(Window.unboundedPreceding, -1)
 
     over_keys = before(*names).partitionBy(*keys)
-    carried = (
-        every.join(summary, group, "left")
-        .withColumn("__carried", F.last("__edge", ignorenulls=True).over(over_keys))
-        .drop("__edge")
-    )
+    carried = edges.withColumn("__carried", F.last("__edge", ignorenulls=True).over(over_keys)).drop("__edge")
     inside = before("__o").partitionBy(*group)
     return (
         rows.join(carried, group)

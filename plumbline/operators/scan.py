@@ -35,18 +35,22 @@ def admit_files(
 ) -> DataFrame:
     """Scannable files up to the size limit, the first ``max_files`` per project, with ``truncated``.
 
-    ``file_seq`` blocks keep the numbering of a huge project out of a single task.
+    Contents are never shuffled: only projects above the limit are numbered, in ``file_seq`` blocks, and
+    the last admitted ``file_seq`` of each of them is joined back. ``file_seq`` is numeric here.
     """
     scannable = classify(files).filter(
         F.col("kind").isNotNull() & (F.octet_length("content") <= max_bytes)
     )
+    places = stage(scannable.select("project_id", "file_seq"))
+    crowded = places.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_files)
     numbered = ranking.row_number(
-        scannable.select("project_id", "file_seq"), ["project_id"],
+        places.join(crowded.select("project_id"), "project_id", "left_semi"), ["project_id"],
         [F.floor(F.col("file_seq") / block)], [F.col("file_seq")], "__rn",
     )
-    totals = scannable.groupBy("project_id").agg((F.count(F.lit(1)) > max_files).alias("truncated"))
-    admitted = numbered.filter(F.col("__rn") <= max_files).drop("__rn")
-    return scannable.join(admitted, ["project_id", "file_seq"], "left_semi").join(totals, "project_id")
+    last = stage(numbered.filter(F.col("__rn") == max_files).select("project_id", F.col("file_seq").alias("__last")))
+    joined = scannable.join(last, "project_id", "left")
+    inside = F.col("__last").isNull() | (F.col("file_seq") <= F.col("__last"))
+    return joined.filter(inside).withColumn("truncated", F.col("__last").isNotNull()).drop("__last")
 
 
 def scanned_counts(files: DataFrame) -> DataFrame:
@@ -67,7 +71,7 @@ def file_facts(files: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataF
     return (
         classify(files)
         .filter(F.col("kind").isin(scopes))
-        .select("project_id", F.col("file_seq").cast("long").alias("file_seq"), "path", F.explode(found).alias("f"))
+        .select("project_id", "file_seq", "path", F.explode(found).alias("f"))
         .select("project_id", "file_seq", "path", "f.*")
     )
 
@@ -107,7 +111,8 @@ def _projects_without_sql(files: DataFrame) -> DataFrame:
         .agg(F.max(~is_ignored_path(path) & F.coalesce(classify_file(path) == "sql", F.lit(False))).alias("any_sql"))
         .filter(~F.col("any_sql"))
         .select(
-            "project_id", F.lit(-1).cast("long").alias("file_seq"), F.lit(fv.PROJECT_FILE).alias("path"),
+            "project_id", F.lit(None).cast(files.schema["file_seq"].dataType).alias("file_seq"),
+            F.lit(fv.PROJECT_FILE).alias("path"),
             F.lit("B0").alias("fact"), F.lit(2).alias("check_no"), F.lit(0).alias("phase"),
             F.lit(0).alias("step"), F.lit(0).alias("pos"), F.lit(None).cast("int").alias("line"),
             F.lit(None).cast("string").alias("arg"),
@@ -179,5 +184,8 @@ def apply_rules(
 def scan_projects(
     files: DataFrame, rules: Sequence[Rule] = (*DEFAULT_RULES, NO_SQL), tool: str = fv.TOOL_NAME
 ) -> DataFrame:
-    """``files(project_id, file_seq, path, content)`` → findings of every project."""
+    """``files(project_id, file_seq, path, content)`` → findings of every project.
+
+    ``file_seq`` orders the files of a project; any orderable type will do.
+    """
     return apply_rules(files, rules, tool)

@@ -131,7 +131,7 @@ RULE_SQL = {
         "'H'", "code", RX_HTML, 1, "NULL",
         r"""NOT regexp_matches(groups[i], '^\s*[''"`]') AND NOT regexp_matches(groups[i], '(?i)sanitiz|dompurify|purify|escapehtml')""",
     ),
-    "no_sql": """SELECT project_id, -1 AS file_seq, '(project)' AS path, 'B0' AS rule, 0 AS pos, NULL AS line, NULL AS arg
+    "no_sql": """SELECT project_id, CAST(NULL AS BIGINT) AS file_seq, '(project)' AS path, 'B0' AS rule, 0 AS pos, NULL AS line, NULL AS arg
     FROM (SELECT DISTINCT project_id FROM files) p
     WHERE NOT EXISTS (SELECT 1 FROM classified c WHERE c.project_id = p.project_id AND c.kind = 'sql')""",
 }

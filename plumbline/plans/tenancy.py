@@ -229,9 +229,9 @@ def _marks(t):
 
 @query(
     "attested_gates",
-    f"""WITH {o.SETUPS}, {_MARKS}, m AS (SELECT user_id, repo_full_name, max(ts) AS at FROM marks GROUP BY ALL)
-    SELECT s.user_id, s.repo_full_name, CASE WHEN at IS NOT NULL THEN 'required' ELSE gate_state END AS gate_state,
-      coalesce(at, gate_last_checked_at) AS gate_last_checked_at FROM repo_setups s LEFT JOIN m USING (user_id, repo_full_name)""",
+    f"""WITH {o.SETUPS}, {_MARKS}, m AS (SELECT user_id, repo_full_name, max(ts) AS seen_at FROM marks GROUP BY ALL)
+    SELECT s.user_id, s.repo_full_name, CASE WHEN seen_at IS NOT NULL THEN 'required' ELSE gate_state END AS gate_state,
+      coalesce(seen_at, gate_last_checked_at) AS gate_last_checked_at FROM repo_setups s LEFT JOIN m USING (user_id, repo_full_name)""",
 )
 def _attested(t):
     return st.attest(t.repo_setups(), _marks(t)).select("user_id", "repo_full_name", "gate_state", "gate_last_checked_at")
@@ -239,9 +239,9 @@ def _attested(t):
 
 @query(
     "rechecked_gates",
-    f"""WITH {o.SETUPS}, {_MARKS}, m AS (SELECT user_id, repo_full_name, max(ts) AS at, bool_or(event_id % 4 = 0) AS up FROM marks GROUP BY ALL)
+    f"""WITH {o.SETUPS}, {_MARKS}, m AS (SELECT user_id, repo_full_name, max(ts) AS seen_at, bool_or(event_id % 4 = 0) AS up FROM marks GROUP BY ALL)
     SELECT s.user_id, s.repo_full_name, CASE WHEN up THEN 'required' ELSE gate_state END AS gate_state,
-      coalesce(at, gate_last_checked_at) AS gate_last_checked_at FROM repo_setups s LEFT JOIN m USING (user_id, repo_full_name)""",
+      coalesce(seen_at, gate_last_checked_at) AS gate_last_checked_at FROM repo_setups s LEFT JOIN m USING (user_id, repo_full_name)""",
 )
 def _rechecked(t):
     return st.apply_recheck(t.repo_setups(), _marks(t)).select(

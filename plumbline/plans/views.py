@@ -296,7 +296,7 @@ class Tables:
             F.when(n % 17 == 0, F.lit("{}")).otherwise(F.concat(F.lit("["), items, F.lit("]"))), F.lit("}"),
         )
         value = F.when(n % 19 == 0, F.lit("{broken")).otherwise(body)
-        return self.table("events").select(
+        return spread_small_input(self.table("events"), "event_id").select(
             n.alias("submission_id"), F.col("user_id"), F.col("ts"), value.alias("value")
         )
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from plumbline import fixed_values as fv
 from plumbline.operators.scan import admit_files
+from plumbline.session import stage
 
 _FILES = "project_id string, file_seq bigint, path string, content string"
 _FLUSH_ROWS = 500
@@ -36,7 +37,8 @@ def expand_archives(
 ) -> DataFrame:
     """``archives(project_id, archive)`` → scannable files with ``truncated``; bad archives yield no rows.
 
-    Rows leave in small batches, so a task never holds more than one archive.
+    Rows leave in small batches, so a task never holds more than one archive. The files are staged, so an
+    archive is unpacked once.
     """
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,7 +56,8 @@ def expand_archives(
                 if rows:
                     yield pd.DataFrame(rows, columns=["project_id", "file_seq", "path", "content"])
 
-    return admit_files(archives.select("project_id", "archive").mapInPandas(expand, _FILES), max_bytes, max_files)
+    files = stage(archives.select("project_id", "archive").mapInPandas(expand, _FILES))
+    return admit_files(files, max_bytes, max_files)
 
 
 def bad_archives(archives: DataFrame, expanded: DataFrame) -> DataFrame:

@@ -28,31 +28,30 @@ def parse_submissions(bodies: DataFrame, max_bytes: int = fv.MAX_SUBMISSION_BYTE
     row = f"named_struct({typed}, 'line', {line}, 'code_snippet', {snippet})"
     valid = " AND ".join(f"f.{f} IS NOT NULL" for f in FIELDS)
     size = F.octet_length("value")
-    parsed = bodies.withColumn("v", F.when(size <= max_bytes, F.try_parse_json("value")))
-    is_list = F.expr(f"{items} IS NOT NULL")
+    # One-element arrays exploded: a generator's outcome is computed once, where a plain column would be
+    # parsed again for every filter the optimizer moves below it.
+    document = F.array(F.when(size <= max_bytes, F.try_parse_json("value")))
+    accepted = F.array(F.expr(f"filter(transform({items}, f -> {row}), f -> {valid})"))
+    parsed = bodies.select("*", F.explode(document).alias("v")).select("*", F.explode(accepted).alias("__all"))
     status = (
-        F.when(size > max_bytes, "too_large").when(F.col("v").isNull(), "not_json").when(~is_list, "no_findings_list")
-        .otherwise("ok")
-    )
-    return (
-        parsed.withColumn("status", status)
-        .withColumn("__all", F.expr(f"filter(transform({items}, f -> {row}), f -> {valid})"))
-        .withColumns(
-            {
-                "repo": F.expr(_string("v", "repo")), "ref": F.expr(_string("v", "ref")),
-                "commit_sha": F.expr(_string("v", "commitSha")),
-                "valid": F.coalesce(F.size("__all"), F.lit(0)),
-                "findings": F.slice("__all", 1, fv.MAX_SUBMISSION_FINDINGS),
-            }
-        )
-        .drop("v", "__all", "value")
+        F.when(size > max_bytes, "too_large").when(F.col("v").isNull(), "not_json")
+        .when(F.col("__all").isNull(), "no_findings_list").otherwise("ok")
     )
+    return parsed.withColumns(
+        {
+            "status": status,
+            "repo": F.expr(_string("v", "repo")), "ref": F.expr(_string("v", "ref")),
+            "commit_sha": F.expr(_string("v", "commitSha")),
+            "valid": F.coalesce(F.size("__all"), F.lit(0)),
+            "findings": F.slice("__all", 1, fv.MAX_SUBMISSION_FINDINGS),
+        }
+    ).drop("v", "__all", "value")
 
 
 def submitted_findings(parsed: DataFrame, key: str = "submission_id") -> DataFrame:
     """One row per accepted finding with its position."""
-    exploded = parsed.filter(F.col("status") == "ok").select(key, F.posexplode("findings").alias("ord", "f"))
-    return exploded.select(
+    rows = parsed.select(key, F.posexplode_outer("findings").alias("ord", "f")).filter(F.col("ord").isNotNull())
+    return rows.select(
         key, F.col("ord").cast("long").alias("ord"), "f.id", "f.severity", "f.confidence",
         F.col("f.asvsCategory").alias("asvs_category"), "f.title", "f.file", "f.line", "f.detail", "f.remediation",
         "f.code_snippet",

@@ -15,8 +15,8 @@ def read_tree(
     """Files below ``root`` as ``files(project_id, file_seq, path, content)``.
 
     With ``project_depth=1`` each direct folder of ``root`` is a project. The size limit is a condition on
-    ``length``, which the reader applies before it opens a file. ``file_seq`` orders the files of a project
-    by path; it is a hash-free rank key built from the listing, see ``with_file_seq``.
+    ``length``, which the reader applies before it opens a file. ``file_seq`` is an order key made from the
+    path, so no file has to be numbered or shuffled.
     """
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
@@ -24,8 +24,8 @@ def read_tree(
         .filter(F.col("length") <= max_bytes)
     )
     base = "file:" + root.rstrip("/") + "/" if root.startswith("/") else root.rstrip("/") + "/"
-    relative = F.expr(f"substring(path, length('{base}') + 1)")
-    rows = raw.select(F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B"))).alias("rel"), "content")
+    relative = F.substring("path", len(base) + 1, 1 << 30)
+    rows = raw.select(relative.alias("rel"), "content")
     rows = rows.filter(~is_ignored_path(F.col("rel")))
     if project_depth:
         project, path = F.substring_index("rel", "/", project_depth), F.expr(
@@ -34,15 +34,8 @@ def read_tree(
     else:
         project, path = F.lit(project_id), F.col("rel")
     text = F.coalesce(F.decode("content", "UTF-8"), F.lit(""))
-    return with_file_seq(rows.select(project.alias("project_id"), path.alias("path"), text.alias("content")))
-
-
-def with_file_seq(files: DataFrame) -> DataFrame:
-    """Number files by path inside a project, bucketed by the leading characters of the path."""
-    from plumbline.operators import ranking
-
-    paths = files.select("project_id", "path")
-    numbered = ranking.row_number(
-        paths, ["project_id"], [F.substring("path", 1, 8), F.substring("path", 9, 8)], [F.col("path")], "file_seq"
+    # Directory by directory in name order, which is the order of the path with the lowest separator.
+    order = F.translate(path, "/", "\u0001")
+    return rows.select(
+        project.alias("project_id"), order.alias("file_seq"), path.alias("path"), text.alias("content")
     )
-    return files.join(numbered, ["project_id", "path"]).select("project_id", "file_seq", "path", "content")
