@@ -314,6 +314,7 @@ GATE_FAILED = "Gate **failed** — findings at or above `{fail_on}`. Production
 GATE_REPORT_ONLY = (
     "Findings at or above `{fail_on}` present. Gate is in **report-only** mode, so the deploy is not blocked."
 )
+CI_GATE_FAILED = "Gate **failed** — findings at or above `{fail_on}`. Production promotion should be held."
 NO_FINDINGS = "No findings."
 NEUTRAL_TITLE = "{tool} could not complete this scan"
 NEUTRAL_SUMMARY = (

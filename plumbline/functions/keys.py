@@ -78,6 +78,10 @@ def lease_expires_at(claimed_at: Column) -> Column:
     return claimed_at + F.expr(f"INTERVAL {fv.LEASE_SECONDS} SECONDS")
 
 
+def iso_time(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def category_key(label_or_key: Column) -> Column:
     """Key of a category label; keys pass through, anything else is null (and shows in the audit)."""
     keys = {label: key for key, label in fv.CATEGORY_LABEL.items()}

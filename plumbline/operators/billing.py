@@ -19,10 +19,10 @@ def first_deliveries(events: DataFrame) -> DataFrame:
 
 def subscription_patches(events: DataFrame) -> DataFrame:
     """Events that carry a subscription: id, status, first price and period end."""
-    sub = F.from_json("subscription", SUBSCRIPTION)
+    parsed = F.explode(F.array(F.from_json("subscription", SUBSCRIPTION)))
     return (
-        events.filter(F.col("type").isin(fv.BILLING_EVENT_TYPES))
-        .withColumn("s", sub)
+        events.filter(F.col("type").isin(fv.BILLING_EVENT_TYPES) & F.col("subscription").isNotNull())
+        .select("*", parsed.alias("s"))
         .filter(F.col("customer_id").isNotNull() & F.col("s.id").isNotNull())
         .select(
             "id", "type", "customer_id", "arrival_seq", "created", F.col("s.id").alias("subscription_id"),

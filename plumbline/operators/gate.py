@@ -30,14 +30,18 @@ def conclusion(would_block: Column, mode: str) -> Column:
 
 def gate(
     findings: DataFrame, keys: Sequence[str], mode: str = "report-only", fail_on: str = "HIGH",
-    universe: DataFrame | None = None,
+    universe: DataFrame | None = None, with_counts: bool = False,
 ) -> DataFrame:
-    """``would_block`` and ``conclusion`` per key; keys of ``universe`` without findings succeed."""
-    decided = findings.groupBy(*keys).agg(
-        (F.max(severity_rank(F.col("severity"))) >= threshold(fail_on)).alias("would_block")
-    )
+    """``would_block`` and ``conclusion`` per key; keys of ``universe`` without findings succeed.
+
+    ``with_counts`` adds the severity counts out of the same aggregation.
+    """
+    blocks = (F.max(severity_rank(F.col("severity"))) >= threshold(fail_on)).alias("would_block")
+    decided = findings.groupBy(*keys).agg(blocks, *(severity_count_columns() if with_counts else []))
     if universe is not None:
         decided = universe.select(*keys).join(decided, list(keys), "left")
+    if with_counts:
+        decided = decided.fillna(0, [s.lower() for s in fv.SEVERITIES])
     blocked = F.coalesce("would_block", F.lit(False))
     return decided.withColumn("would_block", blocked).withColumn("conclusion", conclusion(blocked, mode))
 

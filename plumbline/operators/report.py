@@ -9,12 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.functions.keys import annotation_level, category_label, severity_rank
 from plumbline.operators import ranking
-from plumbline.operators.gate import severity_count_columns
+from plumbline.operators.gate import gate, severity_count_columns
 
 _SEPARATOR = "\\n\\n---\\n\\n"
 # A rendered finding has at least 18 characters of its own and 7 of separator.
@@ -107,18 +107,44 @@ def _verdict(mode: str, fail_on: str) -> Column:
     return F.when(~F.col("would_block"), text[0]).otherwise(text[1])
 
 
+_COUNTS = [s.lower() for s in fv.SEVERITIES]
+
+
+def _title() -> Column:
+    return F.format_string("%d high · %d medium · %d low", *_COUNTS[:3])
+
+
+def _summary(verdict: Column) -> Column:
+    return F.format_string("**%d high · %d medium · %d low · %d info**\n\n%s", *_COUNTS, verdict)
+
+
 def render_report(
-    findings: DataFrame, gates: DataFrame, keys: Sequence[str], mode: str = "report-only", fail_on: str = "HIGH"
+    findings: DataFrame, keys: Sequence[str], mode: str = "report-only", fail_on: str = "HIGH",
+    universe: DataFrame | None = None,
 ) -> DataFrame:
-    """Title, summary and text of every gated key; ``gates`` comes from ``gate(..., universe=...)``."""
-    counts = findings.groupBy(*keys).agg(*severity_count_columns())
-    names = ["high", "medium", "low", "info"]
-    joined = gates.join(counts, list(keys), "left").join(report_text(findings, keys), list(keys), "left")
-    zero = joined.fillna(0, names)
-    head = F.format_string("%d high · %d medium · %d low", *names[:3])
-    summary = F.format_string("**%d high · %d medium · %d low · %d info**\n\n%s", *names, _verdict(mode, fail_on))
-    return zero.select(
-        *keys, "would_block", "conclusion", head.alias("title"), summary.alias("summary"),
+    """Gate, title, summary and text per key; keys of ``universe`` without findings report none."""
+    gates = gate(findings, keys, mode, fail_on, universe, with_counts=True)
+    return gates.join(report_text(findings, keys), list(keys), "left").select(
+        *keys, "would_block", "conclusion", _title().alias("title"), _summary(_verdict(mode, fail_on)).alias("summary"),
+        F.coalesce("text", F.lit(fv.NO_FINDINGS)).alias("text"),
+    )
+
+
+def render_ci_report(
+    findings: DataFrame, outcomes: DataFrame, keys: Sequence[str], fail_on: str = "HIGH"
+) -> DataFrame:
+    """The continuous-integration report over ALL findings of a run, with the enrichment outcome noted.
+
+    ``outcomes(keys, enrichment, enrichment_error, request_error)`` has one row per run; ``findings`` are
+    analyzed ones. The gate comes from the findings alone.
+    """
+    gates = gate(findings, keys, "enforce", fail_on, outcomes, with_counts=True)
+    verdict = F.when(F.col("would_block"), fv.CI_GATE_FAILED.replace("{fail_on}", fail_on)).otherwise(
+        fv.GATE_PASSED.replace("{fail_on}", fail_on)
+    )
+    joined = gates.join(outcomes, list(keys)).join(report_text(findings, keys, enriched_finding()), list(keys), "left")
+    return joined.select(
+        *keys, "conclusion", _title().alias("title"), F.concat(_summary(verdict), submission_note()).alias("summary"),
         F.coalesce("text", F.lit(fv.NO_FINDINGS)).alias("text"),
     )
 
@@ -297,3 +323,10 @@ def progress_rows(projects: DataFrame) -> DataFrame:
         done,
     )
     return projects.select("project_id", F.posexplode(steps).alias("step", "p")).select("project_id", "step", "p.*")
+
+
+def observe_progress(findings: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
+    """Totals collected while ``findings`` is written anyway; read them from the observation afterwards."""
+    seen = Observation(name)
+    high = F.count_if(F.col("severity") == "HIGH")
+    return findings.observe(seen, F.count(F.lit(1)).alias("findings"), high.alias("high")), seen

@@ -8,6 +8,7 @@ from plumbline.functions import keys as k, paths
 from plumbline.operators import events as ev, jobs as jb, limits
 from plumbline.plans import oracle as o
 from plumbline.plans import query
+from plumbline.session import stage
 
 _AS_OF = "2024-01-30 12:00:00"
 _REQUEST_COLUMNS = [
@@ -45,7 +46,7 @@ _CLAIMED = "claims AS (SELECT seq, seq + 400 AS claim_seq FROM first WHERE seq %
     FROM first f LEFT JOIN closer c ON c.seq = f.seq LEFT JOIN requests r ON r.seq = c.by_seq LEFT JOIN claims l ON l.seq = f.seq""",
 )
 def _superseded(t):
-    requests = ev.scan_requests(t.repo_events(), t.installations())
+    requests = stage(ev.scan_requests(t.repo_events(), t.installations()))
     first = jb.jobs_from_events(requests)
     claims = first.filter(F.col("seq") % 2 == 0).select("repo_id", "head_sha", (F.col("seq") + 400).alias("claim_seq"))
     return jb.supersede(requests, claims, block=1000).select(
@@ -203,7 +204,7 @@ def _retry(t):
 
 # ---- rate limits -----------------------------------------------------------------------------
 _DAY = 86_400
-_CALLS = f"""WITH calls AS (SELECT event_id AS call_id, 'apikey:' || user_id AS subject, ts, epoch_ms(ts) // {_DAY * 1000} AS w FROM events)"""
+_CALLS = f"""WITH calls AS (SELECT event_id AS call_id, 'apikey:' || user_id AS subject, ts, (epoch_us(ts) // 1000) // {_DAY * 1000} AS w FROM events)"""
 
 
 @query(
@@ -219,7 +220,7 @@ def _windows(t):
     "rate_limit",
     f"""{_CALLS}, n AS (SELECT *, row_number() OVER (PARTITION BY subject, w ORDER BY ts, call_id) AS nth FROM calls)
     SELECT call_id, subject, nth, nth <= 6 AS ok, CASE WHEN nth <= 6 THEN 0 ELSE
-      CAST(ceil(((w + 1) * {_DAY * 1000} - epoch_ms(ts)) / 1000.0) AS BIGINT) END AS retry_after_sec FROM n""",
+      CAST(ceil(((w + 1) * {_DAY * 1000} - (epoch_us(ts) // 1000)) / 1000.0) AS BIGINT) END AS retry_after_sec FROM n""",
 )
 def _limit(t):
     return limits.rate_limit(t.api_calls(), _DAY).select("call_id", "subject", "nth", "ok", "retry_after_sec")

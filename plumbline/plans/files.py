@@ -11,10 +11,13 @@ from plumbline.operators.scan import admit_files, apply_rules, classify, scan_pr
 from plumbline.plans import oracle as o
 from plumbline.plans import query
 
-_COLUMNS = [
-    "project_id", "id", "severity", "confidence", "asvs_category", "title", "file",
-    F.col("line").cast("long").alias("line"), "detail", "remediation",
-]
+
+def _shown(findings):
+    return findings.select(
+        "project_id", "id", "severity", "confidence", "asvs_category", "title", "file",
+        F.col("line").cast("long").alias("line"), "detail", "remediation",
+    )
+
 
 _RULE_SETS = {
     "rule_public_variable": ["public_variable"],
@@ -37,7 +40,7 @@ def _register_rule(name: str, rules: list[str]) -> None:
 
     @query(name, sql)
     def plan(t):
-        return apply_rules(t.files(), rules_named(*rules)).select(*_COLUMNS)
+        return _shown(apply_rules(t.files(), rules_named(*rules)))
 
 
 for _name, _rules in _RULE_SETS.items():
@@ -46,7 +49,7 @@ for _name, _rules in _RULE_SETS.items():
 
 @query("scan_projects", o.findings_query())
 def _scan(t):
-    return scan_projects(t.files()).select(*_COLUMNS)
+    return _shown(scan_projects(t.files()))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as fv
-from plumbline.operators import controls, gate, posture, report
+from plumbline.operators import controls, posture, report
 from plumbline.operators.scan import scan_projects, scanned_counts
 from plumbline.plans import oracle as o
 from plumbline.plans import query
@@ -49,9 +49,32 @@ def _annotations(t):
       coalesce(text, 'No findings.') AS text FROM z""",
 )
 def _bodies(t):
-    found, keys = t.scan_findings(), ["scan_id"]
-    gates = gate.gate(found, keys, "enforce", universe=t.scans())
-    return report.render_report(found, gates, keys, "enforce")
+    return report.render_report(t.scan_findings(), ["scan_id"], "enforce", universe=t.scans())
+
+
+@query(
+    "ci_reports",
+    f"""{_ENRICHED}, md AS (SELECT scan_id, ord, id, detail, {o.RANK} AS r, severity, '### [' || severity || '] ' || title || chr(10) || '`' || {_LOC} || '`  ·  '
+        || req_title || '  ·  ' || confidence || chr(10) || chr(10) || detail || chr(10)
+        || CASE WHEN remediation <> '' THEN chr(10) || '**Fix:** ' || remediation ELSE '' END AS m FROM enriched),
+    c AS (SELECT scan_id, count(*) FILTER (severity = 'HIGH') AS h, count(*) FILTER (severity = 'MEDIUM') AS me, count(*) FILTER (severity = 'LOW') AS l,
+        count(*) FILTER (severity = 'INFO') AS i, substr(string_agg(m, {_SEP_LIT} ORDER BY r DESC, ord, id, detail), 1, 60000) AS text FROM md GROUP BY scan_id)
+    SELECT scan_id, CASE WHEN coalesce(h, 0) > 0 THEN 'failure' ELSE 'success' END AS conclusion,
+      '**' || coalesce(h, 0) || ' high · ' || coalesce(me, 0) || ' medium · ' || coalesce(l, 0) || ' low · ' || coalesce(i, 0) || ' info**' || chr(10) || chr(10) ||
+      CASE WHEN h > 0 THEN {o.lit(fv.CI_GATE_FAILED.replace('{fail_on}', 'HIGH'))} ELSE {o.lit(fv.GATE_PASSED.replace('{fail_on}', 'HIGH'))} END ||
+      CASE user_id % 4 WHEN 0 THEN {o.lit(fv.NOTE_SUBSCRIPTION)} WHEN 1 THEN {o.lit(fv.NOTE_UNAVAILABLE)}
+        WHEN 2 THEN {o.lit(fv.NOTE_REQUEST_FAILED.replace('{reason}', 'HTTP 500'))} ELSE '' END AS summary,
+      coalesce(text, 'No findings.') AS text FROM scans LEFT JOIN c USING (scan_id)""",
+)
+def _ci_reports(t):
+    analyzed = controls.default_enrichment(t.scan_findings(), controls.control_dims(t.spark))
+    kind = F.col("user_id") % 4
+    outcomes = t.scans().select(
+        "scan_id", F.when(kind < 2, "unavailable").otherwise("ok").alias("enrichment"),
+        F.when(kind == 0, "subscription_required").alias("enrichment_error"),
+        F.when(kind == 2, "HTTP 500").alias("request_error"),
+    )
+    return report.render_ci_report(analyzed, outcomes, ["scan_id"]).drop("title")
 
 
 @query(
@@ -72,10 +95,11 @@ def _text_cut(t):
     FROM scans LEFT JOIN c USING (scan_id)""",
 )
 def _check_results(t):
-    found, keys = t.scan_findings(), ["scan_id"]
-    gates = gate.gate(found, keys, universe=t.scans())
+    keys = ["scan_id"]
     failed = t.scans().filter(F.col("user_id") % 17 == 0).select("scan_id", F.lit("scan_error").alias("reason"))
-    results = report.check_results(report.render_report(found, gates, keys), failed, keys)
+    results = report.check_results(
+        report.render_report(t.scan_findings(), keys, universe=t.scans()), failed, keys
+    )
     broken = F.col("title").contains("could not complete")
     return results.select(
         "scan_id", "conclusion", broken.alias("failed"), F.when(broken, F.col("title")).otherwise("ok").alias("title")

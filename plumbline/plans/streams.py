@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators import events as ev
+from plumbline.plans import oracle as o
 from plumbline.plans import ORACLE, billing, events, query  # noqa: F401  (their oracles are reused)
 from plumbline.plans.views import Tables
 from plumbline.session import staging_folder
-from plumbline.streaming import jobs as sj, ledger, limits as sl
+from plumbline.streaming import jobs as sj, ledger, limits as sl, scans as ss
 from plumbline.streaming.store import BatchStore, run
 
 
@@ -66,7 +67,7 @@ def _verdicts(t):
 
 @query(
     "stream_window_counts",
-    "SELECT 'apikey:' || user_id AS subject, epoch_ms(ts) // 86400000 AS day, count(*) AS calls FROM events GROUP BY ALL",
+    "SELECT 'apikey:' || user_id AS subject, (epoch_us(ts) // 1000) // 86400000 AS day, count(*) AS calls FROM events GROUP BY ALL",
 )
 def _window_counts(t):
     live = StreamTables(t.spark, t.sf_dir)
@@ -74,3 +75,45 @@ def _window_counts(t):
     day = F.floor(F.unix_millis("window_start") / 86_400_000)
     counts = store.read("windows", sl.WINDOWS).groupBy("subject", day.alias("day"))
     return counts.agg(F.max("calls").alias("calls"))
+
+
+# Three commits per project: a default-branch one, a pull request, a later default-branch one.
+_COMMIT_FINDINGS = o.findings_ctes().replace(
+    "SELECT source AS project_id", "SELECT '1' || substr(source, 4) || CAST((doc_id // 20) % 3 AS VARCHAR) AS project_id", 1
+)
+
+
+@query(
+    "stream_incremental_scan",
+    f"""WITH {_COMMIT_FINDINGS}, f AS (SELECT CAST(project_id AS BIGINT) AS scan_id, id, severity FROM findings),
+    c AS (SELECT DISTINCT CAST(project_id AS BIGINT) AS scan_id FROM files),
+    p AS (SELECT scan_id, CASE WHEN scan_id % 10 > 0 AND (scan_id // 10 * 10) IN (SELECT scan_id FROM c) THEN scan_id // 10 * 10 END AS base FROM c),
+    new AS (SELECT f.* FROM f JOIN p USING (scan_id) WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.scan_id = p.base AND b.id = f.id)),
+    carried AS (SELECT p.scan_id, b.id, b.severity FROM p JOIN f b ON b.scan_id = p.base
+      WHERE EXISTS (SELECT 1 FROM f WHERE f.scan_id = p.scan_id AND f.id = b.id)),
+    kept AS (SELECT *, true AS fresh FROM new UNION ALL SELECT *, false FROM carried)
+    SELECT c.scan_id, count(k.id) AS findings_count, count(*) FILTER (k.severity = 'HIGH') AS high_count, count(*) FILTER (k.fresh) AS new_count,
+      CASE WHEN count(*) FILTER (k.fresh AND k.severity = 'HIGH') > 0 THEN 'neutral' ELSE 'success' END AS conclusion
+    FROM c LEFT JOIN kept k USING (scan_id) GROUP BY c.scan_id""",
+)
+def _incremental(t):
+    live = StreamTables(t.spark, t.sf_dir)
+    commit = F.floor(F.col("doc_id") / 20) % 3
+    scan = F.concat(F.lit("1"), F.substring("source", 4, 9), commit.cast("string"))
+    commits = live.table("documents").select(
+        scan.cast("long").alias("scan_id"), F.lit(1).cast("long").alias("installation_id"), F.col("source").alias("repo"),
+        (commit == 1).alias("is_pull_request"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=commit.cast("int"))).alias("created_at"),
+    )
+    files = t.files(scan)
+
+    def load(chosen: DataFrame) -> DataFrame:
+        ids = chosen.select(F.col("scan_id").cast("string").alias("project_id"))
+        return files.join(ids, "project_id", "left_semi")
+
+    def make_step(store: BatchStore):
+        step = ss.scan_step(store, load)
+        return lambda batch, number: step(batch.distinct(), number)
+
+    store = drain(t.spark, commits, make_step)
+    return store.read("scans", ss.SCANS).select("scan_id", "findings_count", "high_count", "new_count", "conclusion")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as fv
+from plumbline.functions import keys as k
 from plumbline.operators import setups as st, tenancy as tn
 from plumbline.plans import oracle as o
 from plumbline.plans import query
@@ -257,3 +258,22 @@ def _rechecked(t):
 def _due(t):
     connections = t.table("customer").filter(F.col("c_custkey") % 2 == 1).select((F.col("c_custkey") + 1000000).alias("user_id"))
     return st.due_for_recheck(t.repo_setups(), connections, "2024-01-10 00:10:00").select("user_id", "repo_full_name")
+
+
+@query(
+    "scalar_functions",
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST((epoch_us(ts) // 1000) % 1000 AS VARCHAR), 3, '0') || 'Z' AS iso,
+    (epoch_us(ts) // 1000) // 60000 AS window_index, ((epoch_us(ts) // 1000) // 60000 + 1) * 60000 AS window_end,
+    CAST(ceil((((epoch_us(ts) // 1000) // 60000 + 1) * 60000 - (epoch_us(ts) // 1000)) / 1000.0) AS BIGINT) AS retry_sec,
+    substr('pflt_token' || event_id, 1, 13) AS prefix, sha256('pflt_token' || event_id) AS hash,
+    CASE WHEN event_id % 3 <> 0 THEN 'pflt_token' || event_id END AS bearer FROM events""",
+)
+def _scalars(t):
+    ts, n = F.col("ts"), F.col("event_id").cast("string")
+    token = F.concat(F.lit("pflt_token"), n)
+    header = F.concat(F.when(F.col("event_id") % 3 == 0, "Basic ").otherwise("Bearer "), token)
+    return t.table("events").select(
+        "event_id", k.iso_time(ts).alias("iso"), k.window_index(ts, 60).alias("window_index"),
+        k.window_end_millis(ts, 60).alias("window_end"), k.retry_seconds(ts, 60).alias("retry_sec"),
+        k.token_prefix(token).alias("prefix"), k.token_hash(token).alias("hash"), k.bearer_token(header).alias("bearer"),
+    )

@@ -64,7 +64,7 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def files(self) -> DataFrame:
+    def files(self, project: Column | None = None) -> DataFrame:
         """documents → files(project_id, file_seq, path, content)."""
         doc = F.col("doc_id")
         kind = F.floor(doc / 20) % 16
@@ -72,7 +72,7 @@ class Tables:
         path = F.when(quiet, F.concat(F.lit("notes/n"), doc.cast("string"), F.lit(".txt")))
         snippet = _pick(SNIPPETS, F.floor(doc / 7) % len(SNIPPETS), doc)
         return spread_small_input(self.table("documents"), "doc_id").select(
-            F.col("source").alias("project_id"),
+            (F.col("source") if project is None else project).alias("project_id"),
             doc.alias("file_seq"),
             path.otherwise(_pick(PATHS, kind, doc)).alias("path"),
             F.concat(F.col("text"), F.lit("\n"), snippet, F.lit("\n")).alias("content"),
@@ -112,7 +112,7 @@ class Tables:
         )
         title = text("Rule ", (part % 5).cast("string"))
         number = F.when(supp % 7 != 0, line.cast("int"))
-        return self.table("lineitem").select(
+        return spread_small_input(self.table("lineitem"), "l_orderkey").select(
             F.col("l_orderkey").alias("scan_id"),
             (line.cast("long") * 100000 + part % 100000).alias("ord"),
             finding_id(file, title, number).alias("id"),

@@ -111,8 +111,7 @@ def test_report_text_and_annotations(spark):
         FINDING,
     )
     universe = spark.createDataFrame([(1,), (2,)], "scan_id bigint")
-    gates = gate.gate(found, ["scan_id"], "enforce", universe=universe)
-    out = {r.scan_id: r for r in report.render_report(found, gates, ["scan_id"], "enforce").collect()}
+    out = {r.scan_id: r for r in report.render_report(found, ["scan_id"], "enforce", universe=universe).collect()}
     assert out[1].text == (
         "### [HIGH] T\n`a.ts`  ·  definitive\n\nd\n\n\n---\n\n### [HIGH] T\n`(project):1`  ·  definitive\n\nd\n\n**Fix:** f"
         "\n\n---\n\n### [LOW] T\n`a.ts:1`  ·  definitive\n\nd\n\n**Fix:** f"

@@ -1,6 +1,7 @@
 """Working trees, archives, sinks."""
 
 import gzip
+import json
 import io
 import tarfile
 
@@ -83,3 +84,54 @@ def test_sinks(spark, tmp_path):
     )
     sizes = [len([f for f in r.findings if f.id]) for r in parsed.collect()]
     assert sizes == [1, 0, 0]
+
+
+def test_controls_from_json(spark, tmp_path):
+    from plumbline.operators.controls import control_dims, primary_requirement, requirements_of_category
+
+    document = {
+        "version": "9", "source": "s", "note": "n", "categoryMap": {"ACCESS": ["r2", "gone", "r1"], "EMPTY": []},
+        "requirements": [
+            {"id": i, "chapter": "c", "section": "s", "title": f"title {i}", "text": "t"} for i in ("r1", "r2")
+        ],
+    }
+    (tmp_path / "controls.json").write_text(json.dumps(document, indent=2))
+    dims = control_dims(spark, str(tmp_path / "controls.json"))
+    rows = spark.createDataFrame([("ACCESS",), ("EMPTY",), ("OTHER",)], "asvs_category string")
+    listed = requirements_of_category(rows, dims).orderBy("ord").collect()
+    assert [(r.asvs_category, r.ord, r.req_id) for r in listed] == [("ACCESS", 0, "r2"), ("ACCESS", 2, "r1")]
+    first = {r.asvs_category: (r.req_id, r.req_title) for r in primary_requirement(rows, dims).collect()}
+    assert first == {"ACCESS": ("r2", "title r2"), "EMPTY": ("unknown", "EMPTY"), "OTHER": ("unknown", "OTHER")}
+    built_in = control_dims(spark)
+    assert (built_in[0].count(), built_in[1].count()) == (9, 9)
+
+
+def test_event_sources(spark, tmp_path):
+    from plumbline.operators.events import scan_requests
+    from plumbline.sources import events as src
+
+    payload = {"installation": {"id": 1}, "after": "abc", "ref": "refs/heads/main",
+               "repository": {"id": 5, "full_name": "o/r", "default_branch": "main"}}
+    lines = [{"seq": n, "event": e, "payload": json.dumps(payload), "ts": "2024-01-01T00:00:00"}
+             for n, e in enumerate(["push", "ping"])]
+    (tmp_path / "repo").mkdir()
+    (tmp_path / "repo" / "a.json").write_text("\n".join(map(json.dumps, lines)))
+    installs = spark.createDataFrame([(1, 9, None)], "installation_id bigint, user_id bigint, suspended_at timestamp_ntz")
+    assert [r.seq for r in scan_requests(src.read_repo_events(spark, str(tmp_path / "repo")), installs).collect()] == [0]
+    assert src.read_repo_events(spark, str(tmp_path / "repo"), stream=True).isStreaming
+    (tmp_path / "bill").mkdir()
+    (tmp_path / "bill" / "a.json").write_text(json.dumps({"id": "e", "type": "other", "arrival_seq": 1}))
+    billing = src.read_billing_events(spark, str(tmp_path / "bill"))
+    assert billing.count() == 1 and src.handled_billing_events(billing).count() == 0
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "x.json").write_text('{"findings":[]}\n')
+    assert src.read_submissions(spark, str(tmp_path / "sub")).first().asDict() == {"source": "x.json", "value": '{"findings":[]}'}
+
+
+def test_observed_progress(spark):
+    from plumbline.operators.report import observe_progress
+
+    found = spark.createDataFrame([("HIGH",), ("LOW",)], "severity string")
+    observed, seen = observe_progress(found)
+    observed.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"findings": 2, "high": 1}
