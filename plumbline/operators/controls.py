@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline import fixed_values as fv
@@ -10,15 +12,27 @@ from plumbline.functions.keys import requirement_confidence
 REQUIREMENT_COLUMNS = ["id", "chapter", "section", "title", "text"]
 
 
-def control_dims(spark: SparkSession, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """``requirements`` and ``category_requirement(category, ord, req_id)``.
+class Controls(NamedTuple):
+    """``requirements``, ``mapping(category, ord, req_id)``, and whether both are the built-in nine rows."""
+
+    requirements: DataFrame
+    mapping: DataFrame
+    built_in: bool = False
+
+    def side(self, dim: DataFrame) -> DataFrame:
+        """Only the built-in list has a known size; a loaded one is left to the planner's estimate."""
+        return F.broadcast(dim) if self.built_in else dim
+
+
+def control_dims(spark: SparkSession, path: str | None = None) -> Controls:
+    """The control reference as two dimensions.
 
     The built-in reference has nine rows each. ``path`` reads a JSON document of the same shape instead.
     """
     if path is None:
         requirements = spark.createDataFrame(fv.REQUIREMENTS, REQUIREMENT_COLUMNS)
         rows = [(c, n, i) for c, ids in fv.CATEGORY_REQUIREMENTS.items() for n, i in enumerate(ids)]
-        return requirements, spark.createDataFrame(rows, "category string, ord int, req_id string")
+        return Controls(requirements, spark.createDataFrame(rows, "category string, ord int, req_id string"), True)
     schema = (
         "version string, source string, note string, categoryMap map<string,array<string>>, "
         "requirements array<struct<id:string,chapter:string,section:string,title:string,text:string>>"
@@ -26,30 +40,23 @@ def control_dims(spark: SparkSession, path: str | None = None) -> tuple[DataFram
     document = spark.read.schema(schema).json(path, multiLine=True)
     requirements = document.select(F.inline("requirements"))
     mapped = document.select(F.explode("categoryMap").alias("category", "ids"))
-    return requirements, mapped.select("category", F.posexplode("ids").alias("ord", "req_id"))
-
-
-def _fixed_size(dim: DataFrame) -> DataFrame:
-    """The control reference is a fixed list of nine rows, so broadcasting it is safe."""
-    return F.broadcast(dim)
+    return Controls(requirements, mapped.select("category", F.posexplode("ids").alias("ord", "req_id")))
 
 
-def requirements_of_category(rows: DataFrame, dims, category: str = "asvs_category") -> DataFrame:
+def requirements_of_category(rows: DataFrame, dims: Controls, category: str = "asvs_category") -> DataFrame:
     """All requirements of the row's category in map order; ids without a requirement are dropped."""
-    requirements, mapping = dims
-    listed = mapping.join(requirements.withColumnRenamed("id", "req_id"), "req_id")
-    return rows.join(_fixed_size(listed), rows[category] == listed["category"]).drop("category")
+    listed = dims.mapping.join(dims.requirements.withColumnRenamed("id", "req_id"), "req_id")
+    return rows.join(dims.side(listed), rows[category] == listed["category"]).drop("category")
 
 
-def primary_requirement(rows: DataFrame, dims, category: str = "asvs_category") -> DataFrame:
+def primary_requirement(rows: DataFrame, dims: Controls, category: str = "asvs_category") -> DataFrame:
     """Adds ``req_id`` and ``req_title`` of the first listed requirement, ``unknown`` and the category otherwise."""
-    requirements, mapping = dims
     first = (
-        mapping.join(requirements.withColumnRenamed("id", "req_id"), "req_id")
+        dims.mapping.join(dims.requirements.withColumnRenamed("id", "req_id"), "req_id")
         .groupBy("category")
         .agg(F.min_by(F.struct("req_id", "title", "text"), "ord").alias("req"))
     )
-    joined = rows.join(_fixed_size(first), rows[category] == first["category"], "left").drop("category")
+    joined = rows.join(dims.side(first), rows[category] == first["category"], "left").drop("category")
     return joined.withColumns(
         {
             "req_id": F.coalesce("req.req_id", F.lit(fv.UNKNOWN_REQUIREMENT)),
@@ -69,7 +76,7 @@ def _analyzed(requirement: Column) -> dict[str, Column]:
     }
 
 
-def default_enrichment(findings: DataFrame, dims) -> DataFrame:
+def default_enrichment(findings: DataFrame, dims: Controls) -> DataFrame:
     """Analysis without a model: requirement by category, confidence, detail and the one remediation."""
     found = primary_requirement(findings, dims)
     requirement = F.struct(F.col("req_id").alias("id"), F.col("req_title").alias("title"))

@@ -155,30 +155,34 @@ def apply_rules(
     content_rules = [r for r in rules if r.scope != "project"]
     names = {r.name for r in rules}
     parts = []
-    guarded = None
+    marked = None
     if content_rules:
         facts = file_facts(files, content_rules)
         if names & _PROJECT_FACTS:
             facts = stage(facts)
-        parts.append(facts.filter(~F.col("fact").contains(".")))
+        direct = facts.filter(~F.col("fact").contains("."))
+        if "middleware_guard" in names:
+            # Only entry points take part in the join with the guarded projects.
+            guarded = facts.filter(F.col("fact") == "C.middleware").select("project_id").distinct()
+            parts.append(direct.filter(F.col("fact") != "C"))
+            marked = direct.filter(F.col("fact") == "C").join(
+                guarded.withColumn("guarded", F.lit(True)), "project_id", "left"
+            )
+        else:
+            parts.append(direct)
         if "created_table" in names:
             parts.append(_unsecured_tables(facts))
         if "header_config" in names:
             parts.append(_first_header_config(facts))
-        if "middleware_guard" in names:
-            guarded = facts.filter(F.col("fact") == "C.middleware").select("project_id").distinct()
     if "no_sql" in names:
         parts.append(_projects_without_sql(files))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    if guarded is None:
-        return describe(found.withColumn("guarded", F.lit(False)), rules, tool)
-    marked = guarded.withColumn("guarded", F.lit(True))
-    return describe(
-        found.join(marked, "project_id", "left").withColumn("guarded", F.coalesce("guarded", F.lit(False))),
-        rules, tool,
-    )
+    found = found.withColumn("guarded", F.lit(False))
+    if marked is not None:
+        found = found.unionByName(marked.withColumn("guarded", F.coalesce("guarded", F.lit(False))))
+    return describe(found, rules, tool)
 
 
 def scan_projects(
