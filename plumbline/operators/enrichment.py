@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.keys import cache_key, requirement_confidence
 from plumbline.operators.controls import primary_requirement
+from plumbline.session import stage
 
 # The part of an analyzed finding that is cached; the caller's own columns never are.
 DELTA = ["req_id", "req_title", "likely", "explanation", "steps", "example"]
@@ -76,10 +77,9 @@ def enrich(
             responses = responses.withColumn(key, F.lit(None).cast(findings.schema[key].dataType))
     else:
         key_types = ", ".join(f"{k} {findings.schema[k].dataType.simpleString()}" for k in keys)
-        responses = misses.mapInPandas(
-            enricher,
-            f"{key_types}, id string, ord bigint, likely string, explanation string, steps array<string>, example string",
-        )
+        answers = "id string, ord bigint, likely string, explanation string, steps array<string>, example string"
+        # Staged, so that no finding is sent twice however often the result is used.
+        responses = stage(misses.mapInPandas(enricher, f"{key_types}, {answers}"))
     return hits.unionByName(merge_responses(misses, responses, dims, keys))
 
 

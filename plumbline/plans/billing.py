@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import billing, controls, enrichment as en
 from plumbline.plans import oracle as o
 from plumbline.plans import query
-from plumbline.plans.findings import _ENRICHED, _SF
+from plumbline.plans.findings import _ENRICHED
 from plumbline.sources import archives, submissions as sub
 
 _BY_ARRIVAL = o.BILLING.replace("{order}", "arrival_seq")
@@ -258,7 +258,7 @@ def _hits(t):
     SELECT coalesce(c.cache_key, f.cache_key) AS cache_key, CASE WHEN f.cache_key IS NOT NULL THEN 'model-a' ELSE model END AS model,
       CASE WHEN f.cache_key IS NOT NULL THEN d ELSE 'cached ' || c.cache_key END AS explanation,
       CASE WHEN f.cache_key IS NOT NULL THEN TIMESTAMP '2024-06-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS created_at,
-      CASE WHEN c.cache_key IS NOT NULL THEN 3 ELSE 0 END AS hit_count
+      CAST(CASE WHEN c.cache_key IS NOT NULL THEN 3 ELSE 0 END AS BIGINT) AS hit_count
     FROM cache c FULL JOIN fresh f ON f.cache_key = c.cache_key""",
 )
 def _upsert(t):

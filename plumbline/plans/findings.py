@@ -153,8 +153,8 @@ def _two_sets(t):
 
 @query(
     "compare_finding_sets",
-    f"""{_SF}, a AS (SELECT severity, confidence, asvs_category, title, file, line, remediation FROM scan_findings WHERE scan_id % 2 = 0),
-b AS (SELECT severity, confidence, asvs_category, title, file, line, remediation FROM scan_findings WHERE scan_id % 2 = 1)
+    f"""{_SF}, a AS (SELECT severity, confidence, asvs_category, title, file, CAST(line AS BIGINT) AS line, remediation FROM scan_findings WHERE scan_id % 2 = 0),
+b AS (SELECT severity, confidence, asvs_category, title, file, CAST(line AS BIGINT) AS line, remediation FROM scan_findings WHERE scan_id % 2 = 1)
 SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
 UNION ALL SELECT 'right' AS side, * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
 )
@@ -238,7 +238,7 @@ def _area_findings(t):
 # ---- controls --------------------------------------------------------------------------------
 @query(
     "requirements_per_category",
-    f"""{_SF}, {o.REQUIREMENTS}, {o.CATEGORY_REQUIREMENT} SELECT asvs_category, c.ord, req_id, chapter, section, r.title AS req_title,
+    f"""{_SF}, {o.REQUIREMENTS}, {o.CATEGORY_REQUIREMENT} SELECT asvs_category, CAST(c.ord AS BIGINT) AS ord, req_id, chapter, section, r.title AS req_title,
     count(*) AS findings FROM scan_findings JOIN category_requirement c ON c.category = asvs_category
     JOIN requirements r ON r.id = c.req_id GROUP BY ALL""",
 )

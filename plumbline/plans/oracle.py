@@ -195,7 +195,7 @@ SCAN_FINDINGS = """scan_findings AS (SELECT *,
     'Rule ' || (l_partkey % 5) AS title,
     CASE WHEN l_partkey % 10 = 9 THEN '(project)' ELSE 'lib/f' || (l_partkey % 10) || '.ts' END AS file,
     CASE WHEN l_suppkey % 7 <> 0 THEN l_linenumber END AS line,
-    'qty ' || CAST(l_quantity AS BIGINT) || ' part ' || l_partkey || ' supp ' || l_suppkey AS detail,
+    'qty ' || CAST(l_quantity AS BIGINT) || ' part ' || l_partkey || ' supp ' || l_suppkey || ' ' || l_returnflag || l_linestatus AS detail,
     CASE WHEN l_partkey % 8 = 0 THEN '' ELSE 'Fix ' || (l_partkey % 5) END AS remediation,
     CASE WHEN l_suppkey % 5 = 0 THEN 'code ' || l_suppkey END AS code_snippet
   FROM lineitem))"""

@@ -121,7 +121,7 @@ class Tables:
             category.alias("asvs_category"), title.alias("title"), file.alias("file"), number.alias("line"),
             text(
                 "qty ", F.col("l_quantity").cast("long").cast("string"), " part ", part.cast("string"),
-                " supp ", supp.cast("string"),
+                " supp ", supp.cast("string"), " ", F.col("l_returnflag"), F.col("l_linestatus"),
             ).alias("detail"),
             F.when(part % 8 == 0, "").otherwise(text("Fix ", (part % 5).cast("string"))).alias("remediation"),
             F.when(supp % 5 == 0, text("code ", supp.cast("string"))).alias("code_snippet"),

@@ -10,19 +10,23 @@ from plumbline.functions.paths import is_ignored_path
 
 def read_tree(
     spark: SparkSession, root: str, project_depth: int = 0, project_id: str = "project",
-    max_bytes: int = fv.MAX_FILE_BYTES,
+    max_bytes: int = fv.MAX_FILE_BYTES, scannable_only: bool = False,
 ) -> DataFrame:
     """Files below ``root`` as ``files(project_id, file_seq, path, content)``.
 
-    With ``project_depth=1`` each direct folder of ``root`` is a project. The size limit is a condition on
+    ``scannable_only`` lists code and SQL files alone, so that nothing else is opened; counts of all files
+    need the full listing. With ``project_depth=1`` each direct folder of ``root`` is a project. The size limit is a condition on
     ``length``, which the reader applies before it opens a file. ``file_seq`` is an order key made from the
     path, so no file has to be numbered or shuffled.
     """
-    raw = (
+    reader = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true").load(root)
-        .filter(F.col("length") <= max_bytes)
+        .option("ignoreMissingFiles", "true")
     )
+    if scannable_only:
+        endings = ",".join(e[1:] for e in [*fv.CODE_EXTENSIONS, fv.SQL_EXTENSION])
+        reader = reader.option("pathGlobFilter", f"*.{{{endings}}}")
+    raw = reader.load(root).filter(F.col("length") <= max_bytes)
     base = "file:" + root.rstrip("/") + "/" if root.startswith("/") else root.rstrip("/") + "/"
     relative = F.substring("path", len(base) + 1, 1 << 30)
     rows = raw.select(relative.alias("rel"), "content")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -33,11 +33,12 @@ class BatchStore:
         path = self._path(table)
         if not self._exists(path):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("basePath", path).parquet(path)
-        with_batch = self.spark.read.schema(_plus_batch(rows)).option("basePath", path).parquet(path)
+        columns = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        layout = T.StructType([*columns.fields, T.StructField("batch", T.LongType())])
+        rows = self.spark.read.schema(layout).option("basePath", path).parquet(path)
         if before is not None:
-            with_batch = with_batch.filter(F.col("batch") < before)
-        return with_batch.drop("batch")
+            rows = rows.filter(F.col("batch") < before)
+        return rows.drop("batch")
 
     def latest(self, table: str, schema, before: int) -> DataFrame | None:
         """The newest snapshot before a batch; folder names tell, no data is read."""
@@ -54,12 +55,6 @@ class BatchStore:
         return self.spark.read.schema(schema).parquet(f"{path}/batch={max(numbers)}") if numbers else None
 
 
-def _plus_batch(df: DataFrame):
-    from pyspark.sql import types as T
-
-    return T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
-
-
 def run(
     stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True,
     mode: str = "append",

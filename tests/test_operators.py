@@ -160,10 +160,12 @@ def test_cache_and_merge(spark):
             yield out[out["id"] == "a"]
 
     first = en.enrich(found, empty, "m1", dims, enricher)
+    first.count()
     assert rows(first, "id", "explanation", "req_id", "likely", "answered") == [
         ("a", "model 1", "v5.0.0-14.1.1", "low", True), ("a", "model 1", "v5.0.0-14.1.1", "low", True),
         ("b", "d", "unknown", "high", False),
     ]
+    assert calls.value == 3
     cache = en.cache_upsert(empty, first.filter("answered"), "m1", "2024-01-01 00:00:00")
     assert cache.count() == 1
     assert en.uncached(found, cache, "m1").count() == 1 and en.uncached(found, cache, "m2").count() == 3

@@ -26,6 +26,9 @@ def test_read_tree(spark, tmp_path):
     ]
     found = scan_projects(read_tree(spark, str(tmp_path))).collect()
     assert [(f.rule, f.file, f.line) for f in found] == [("G", "b.ts", 1)]
+    (tmp_path / "notes.md").write_text("x")
+    only = read_tree(spark, str(tmp_path), scannable_only=True).collect()
+    assert sorted(r.path for r in only) == ["a b+c%20.sql", "a.ts", "a/z.ts", "b.ts"]
     nested = read_tree(spark, str(tmp_path), project_depth=1).filter("project_id = 'a'").collect()
     assert [r.path for r in nested] == ["z.ts"]
 
