@@ -277,3 +277,31 @@ def _scalars(t):
         k.window_end_millis(ts, 60).alias("window_end"), k.retry_seconds(ts, 60).alias("retry_sec"),
         k.token_prefix(token).alias("prefix"), k.token_hash(token).alias("hash"), k.bearer_token(header).alias("bearer"),
     )
+
+
+@query(
+    "unique_key_audits",
+    f"""WITH {o.REQUESTS}, {o.SETUPS}, {o.API_KEYS}, d AS (
+      SELECT 'jobs' AS name, count(*) AS rows FROM requests GROUP BY repo_id, head_sha HAVING count(*) > 1
+      UNION ALL SELECT 'repo_setups', count(*) FROM repo_setups GROUP BY user_id, repo_full_name HAVING count(*) > 1
+      UNION ALL SELECT 'installations', count(*) FROM installations GROUP BY installation_id HAVING count(*) > 1
+      UNION ALL SELECT 'api_keys', count(*) FROM api_keys GROUP BY token HAVING count(*) > 1)
+    SELECT n.name, count(d.rows) AS duplicated_keys, CAST(coalesce(sum(d.rows), 0) AS BIGINT) AS rows
+    FROM (VALUES ('jobs'), ('repo_setups'), ('installations'), ('api_keys')) n(name) LEFT JOIN d ON d.name = n.name GROUP BY n.name""",
+)
+def _unique_keys(t):
+    from plumbline.operators.events import scan_requests
+
+    audited = {
+        "jobs": (scan_requests(t.repo_events(), t.installations()), ["repo_id", "head_sha"]),
+        "repo_setups": (t.repo_setups(), ["user_id", "repo_full_name"]),
+        "installations": (t.installations(), ["installation_id"]),
+        "api_keys": (t.api_keys(), ["key_hash"]),
+    }
+    counts = [
+        tn.duplicate_keys(df, keys)
+        .agg(F.count(F.lit(1)).alias("duplicated_keys"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+        .select(F.lit(name).alias("name"), "duplicated_keys", "rows")
+        for name, (df, keys) in audited.items()
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
