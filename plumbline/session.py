@@ -24,6 +24,9 @@ def build_session(app_name: str = "plumbline", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def staging_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a local run without one gets a scratch folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,9 +34,10 @@ def staging_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="plumbline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="plumbline-")
+    return _LOCAL_FOLDERS[app]
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -53,6 +57,8 @@ def spread_small_input(df: DataFrame, *keys: str) -> DataFrame:
     Applies only below one default split per core, by the planner's own size estimate. A larger input
     already has enough splits and is never shuffled.
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -5,6 +5,7 @@ import json
 import io
 import tarfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.scan import admit_files, scan_projects
@@ -138,3 +139,16 @@ def test_observed_progress(spark):
     observed, seen = observe_progress(found)
     observed.write.format("noop").mode("overwrite").save()
     assert seen.get == {"findings": 2, "high": 1}
+
+
+def test_staging_folder_without_a_setting():
+    from types import SimpleNamespace
+
+    from plumbline.session import staging_folder
+
+    conf = SimpleNamespace(get=lambda name, default: default)
+    local = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]", applicationId="a"))
+    assert staging_folder(local) == staging_folder(local)
+    remote = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", applicationId="b"))
+    with pytest.raises(ValueError):
+        staging_folder(remote)
