@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from plumbline.llm import bpe
 from plumbline.llm.decontaminate import contamination
 from plumbline.llm.frames import read_table
 from plumbline.llm.near_dedup import near_duplicates
+from plumbline.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,3 +40,21 @@ def op9_near_dedup(spark, sf_dir):
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
         F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
     )
+
+
+@query
+def op5_bpe(spark, sf_dir):
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    found = bpe.digests(read_table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    labels = read_table(spark, sf_dir, "labels")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 5
+    found = toxicity(read_table(spark, sf_dir, "documents"), labels.where(remainder != 0))
+    return found.select(
+        F.col("id").alias("doc_id"), F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
+        "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
