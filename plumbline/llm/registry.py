@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +14,10 @@ import public_tokenizers
 from plumbline.llm import bpe
 from plumbline.llm.decontaminate import contamination
 from plumbline.llm.frames import read_table
+from plumbline.llm import licenses, pii, secrets
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.toxicity import toxicity
+from plumbline.session import staging_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +46,12 @@ def op9_near_dedup(spark, sf_dir):
     )
 
 
+@query
+def op4_pii(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, key="corpus-key-1")
+
+
 @query
 def op5_bpe(spark, sf_dir):
     tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -58,3 +68,27 @@ def op7_toxicity(spark, sf_dir):
         F.col("id").alias("doc_id"), F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
         "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op6_secrets(spark, sf_dir):
+    # Each run of the query starts with an empty ledger; a job that runs again keeps its folder.
+    ledger = secrets.Ledger(spark, f"{staging_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    found = secrets.spans_of(read_table(spark, sf_dir, "documents"), ledger, keep=["doc_id"])
+    told = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("found", lambda s: s["rank"] < len(secrets.BASE))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in secrets.BASE], F.sha2(told(base), 256).alias("base_sha256"),
+        told(F.col("found")).alias("spans"))
+
+
+@query
+def op10_licenses(spark, sf_dir):
+    found = licenses.licences(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("licences", ",").alias("licences"))
+
+
+ORACLE["op10_licenses"] = licenses.oracle()
