@@ -14,8 +14,9 @@ import public_tokenizers
 from plumbline.llm import bpe
 from plumbline.llm.decontaminate import contamination
 from plumbline.llm.frames import read_table
-from plumbline.llm import licenses, pii, secrets
+from plumbline.llm import ann, licenses, pii, secrets
 from plumbline.llm.near_dedup import near_duplicates
+from plumbline.llm.substring_dedup import drop_repeated
 from plumbline.llm.toxicity import toxicity
 from plumbline.session import staging_folder
 
@@ -46,6 +47,17 @@ def op9_near_dedup(spark, sf_dir):
     )
 
 
+@query
+def op2_substring_dedup(spark, sf_dir):
+    return drop_repeated(read_table(spark, sf_dir, "documents"), texts=False).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op3_neighbours(spark, sf_dir):
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 @query
 def op4_pii(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
