@@ -8,9 +8,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import stage
+from plumbline.session import stage, staging_folder
 
-__all__ = ["read_table", "row_key", "key_bitmap", "test_bits", "text_buffers", "row_slices", "stage", "parallelism"]
+__all__ = ["read_table", "row_key", "key_bitmap", "test_bits", "text_buffers", "row_slices", "stage", "staging_folder", "parallelism"]
 
 BITMAP_BITS = 1 << 23
 SLICE_BYTES = 2 << 20

@@ -13,12 +13,12 @@ import public_tokenizers
 
 from plumbline.llm import bpe
 from plumbline.llm.decontaminate import contamination
-from plumbline.llm.frames import read_table
+from plumbline.llm.frames import read_table, staging_folder
 from plumbline.llm import ann, licenses, pii, secrets
+from plumbline.llm.html_extract import extract
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.substring_dedup import drop_repeated
 from plumbline.llm.toxicity import toxicity
-from plumbline.session import staging_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,6 +38,12 @@ def op1_decontamination(spark, sf_dir):
     )
 
 
+@query
+def op8_html(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op9_near_dedup(spark, sf_dir):
     found = near_duplicates(read_table(spark, sf_dir, "documents"))

@@ -133,7 +133,7 @@ def spans_of(versions: DataFrame, ledger: Ledger, *, text_col: str = "text", rul
         "found", F.coalesce("found", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")))
 
 
-def redact(text: Column, found: Column, mark: Column) -> Column:
+def redact(text: Column, found: Column, mark: str) -> Column:
     """The text with each span replaced by ``mark``; spans that touch or overlap become one.
 
     Walks over the sorted spans and builds the list of stretches that stay; text is cut once per span.
