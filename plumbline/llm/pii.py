@@ -63,20 +63,24 @@ def entity_of(kind: Column, mention: Column) -> Column:
     )
 
 
-def _numbers(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
-    """64 numbers of one byte, keyed."""
+def _keyed(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
+    """64 bytes in hexadecimal, keyed."""
     seed = F.concat_ws("|", F.lit(key), kind, entity, attempt.cast("string"))
-    text = F.concat(F.sha2(F.concat(seed, F.lit("|0")), 256), F.sha2(F.concat(seed, F.lit("|1")), 256))
-    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    return F.concat(F.sha2(F.concat(seed, F.lit("|0")), 256), F.sha2(F.concat(seed, F.lit("|1")), 256))
+
+
+def _number(dealt: Column, i) -> Column:
+    """The i-th byte, from 0 and round again."""
+    return F.conv(F.substring(dealt, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
 def _pick(chars: str, n: Column) -> Column:
     return F.substring(F.lit(chars), (n % len(chars) + 1).cast("int"), F.lit(1))
 
 
-def _alike(text: Column, numbers: Column) -> Column:
+def _alike(text: Column, dealt: Column) -> Column:
     """Digits for digits and letters for letters of the same case, one by one."""
-    at = lambda i: F.element_at(numbers, (i % 64 + 1).cast("int"))
+    at = lambda i: _number(dealt, i)
     return F.array_join(F.transform(F.split(text, ""), lambda c, i: (
         F.when(c.rlike("[0-9]"), _pick("0123456789", at(i)))
         .when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", at(i)))
@@ -92,9 +96,9 @@ def _check_digit(digits: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
-def _name(kind: Column, entity: Column, numbers: Column) -> Column:
+def _name(kind: Column, entity: Column, dealt: Column) -> Column:
     """As many words as before, of the same script; the first ends as names of the gender do."""
-    at = lambda i: F.element_at(numbers, (i % 64 + 1).cast("int"))
+    at = lambda i: _number(dealt, i)
 
     def word(i, script: bool):
         sounds = CYRILLIC if script else LATIN
@@ -108,19 +112,18 @@ def _name(kind: Column, entity: Column, numbers: Column) -> Column:
         w.rlike(r"\p{IsCyrillic}"), word(i, True)).otherwise(word(i, False))), " ")
 
 
-def surrogate_of(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    """The keyed surrogate of an entity's normal form."""
-    n = _numbers(key, kind, entity, attempt)
-    alike = _alike(entity, n)
+def surrogate_of(kind: Column, entity: Column, dealt: Column) -> Column:
+    """The surrogate of an entity's normal form from its keyed bytes."""
+    alike = _alike(entity, dealt)
     last = F.regexp_extract(entity, r"\.[A-Za-z]+$", 0)
     host = F.concat(F.substring(alike, F.lit(1), F.length(entity) - F.length(last)), last)
     card = F.concat(F.substring(entity, 1, 1), F.substring(alike, 2, 14))
-    octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (F.element_at(n, i) % 254 + 1).cast("string")), ".")
+    octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_number(dealt, i) % 254 + 1).cast("string")), ".")
     # Area and exchange codes do not begin with 0 or 1.
-    phone = F.concat(_pick("23456789", n[0]), F.substring(alike, 2, 2), _pick("23456789", n[3]), F.substring(alike, 5, 6))
+    phone = F.concat(_pick("23456789", _number(dealt, F.lit(0))), F.substring(alike, 2, 2), _pick("23456789", _number(dealt, F.lit(3))), F.substring(alike, 5, 6))
     return (
         F.when(kind == "email", host).when(kind == "card", F.concat(card, _check_digit(card)))
-        .when(kind == "ip", octets).when(kind == "phone", phone).otherwise(_name(kind, entity, n)))
+        .when(kind == "ip", octets).when(kind == "phone", phone).otherwise(_name(kind, entity, dealt)))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -131,7 +134,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     known = stage(entities.distinct())
     done, todo = None, known.withColumn("attempt", F.lit(0))
     for _ in range(20):
-        dealt = todo.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("entity"), F.col("attempt"), key))
+        # Written first: the lambdas below would work the digests out again for every character.
+        keyed = stage(todo.withColumn("dealt", _keyed(key, F.col("kind"), F.col("entity"), F.col("attempt"))))
+        dealt = stage(keyed.select("kind", "entity", "attempt", surrogate_of(F.col("kind"), F.col("entity"), F.col("dealt")).alias("surrogate")))
         first = dealt.groupBy("kind", "surrogate").agg(F.min("entity").alias("winner"))
         fresh = dealt.join(first, ["kind", "surrogate"]).join(
             known.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real")), ["kind", "surrogate"], "left")
