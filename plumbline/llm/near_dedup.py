@@ -5,12 +5,13 @@ per shingle picks one of 160 buckets; each bucket keeps its least hash as a regi
 leading zeros and the 10 bits behind the leading one. Four registers are a band. Texts with equal sets are one
 class and only its smallest id goes on.
 
-1. Members of a band are compared with the band's least id only (a star), so a group of n copies gives n pairs.
+1. Members of a band are compared with the band's least and greatest id only (two stars), so a group of n
+   copies gives 2 n pairs.
    A pair goes on if its register similarity, less the expected chance collisions, is not clearly below the
    threshold, and is then confirmed on the full sets. Confirmed links give components.
 2. Bands whose members still lie in several components are contested: all their pairs across components are
-   compared in place (sizes, an odd sketch that bounds the symmetric difference, 128 one-bit registers), and
-   what can still be a link is confirmed in the same way. Nothing is capped; a pair at the very threshold
+   compared in place (sizes, an odd sketch of 1,024 bits that bounds the symmetric difference, 128 one-bit
+   registers for large sets), and what can still be a link is confirmed in the same way. Nothing is capped; a pair at the very threshold
    shares no band with a probability of about 3e-7.
 
 Defined results: null and empty texts have an empty set, are linked with nothing and are kept; rows that share
@@ -20,6 +21,9 @@ kept; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +39,9 @@ MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
 #: Expected share of equal registers of unrelated sets, from the HyperMinHash paper: 0.1699 * 2^-r.
 CHANCE = 0.1699 / 2 ** MANTISSA
+ODD_BITS = 1024
+ODD = [f"odd_{i}" for i in range(ODD_BITS // 64)]
+BIT = ["bit_0", "bit_1"]
 
 
 def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
@@ -67,7 +74,7 @@ def registers(flat: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _sketch(size: int):
-    names = ["id", "n", "same_a", "same_b", "regs", "odd_a", "odd_b", "bit_a", "bit_b"]
+    names = ["id", "n", "same_a", "same_b", "regs", *ODD, *BIT]
 
     def run(batches):
         for batch in batches:
@@ -84,8 +91,8 @@ def _sketch(size: int):
                 for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat ^ np.uint64(salt)), dtype=np.uint64)])
                     sums.append((total[edge[1:]] - total[edge[:-1]]).view(np.int64))
-                place = (mix(flat + np.uint64(77)) % np.uint64(128)).astype(np.int64)
-                odd = np.bincount(row * 128 + place, minlength=rows * 128).reshape(rows, 128) & 1
+                place = (mix(flat + np.uint64(77)) % np.uint64(ODD_BITS)).astype(np.int64)
+                odd = np.bincount(row * ODD_BITS + place, minlength=rows * ODD_BITS).reshape(rows, ODD_BITS) & 1
                 odd = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
                 bits = (mix(regs[:, :128].astype(np.uint64) + np.uint64(5)) & np.uint64(1)).astype(np.uint8)
                 bits = np.packbits(bits, axis=1).view(np.int64)
@@ -94,7 +101,7 @@ def _sketch(size: int):
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, rows), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]),
                     pa.array([raw[i * width:(i + 1) * width] for i in range(rows)], pa.binary()),
-                    *[pa.array(np.ascontiguousarray(x)) for x in (odd[:, 0], odd[:, 1], bits[:, 0], bits[:, 1])],
+                    *[pa.array(np.ascontiguousarray(x)) for x in (*odd.T, *bits.T)],
                 ], names)
 
     return run
@@ -170,7 +177,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = stage(texts.mapInArrow(
-        _sketch(size), "id long, n long, same_a long, same_b long, regs binary, odd_a long, odd_b long, bit_a long, bit_b long"))
+        _sketch(size), "id long, n long, same_a long, same_b long, regs binary, " + ", ".join(f"{c} long" for c in (*ODD, *BIT))))
     filled = sketches.where("n > 0 AND id IS NOT NULL")
     least = filled.groupBy("same_a", "same_b").agg(F.min("id").alias("class"))
     member = stage(filled.select("id", "same_a", "same_b").join(least, ["same_a", "same_b"]).select("id", "class", "same_a", "same_b"))
@@ -178,10 +185,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     one_each = ["id", "same_a", "same_b"]
     reps = stage(
         filled.join(chosen, one_each, "left_semi").dropDuplicates(one_each)
-        .select("id", "n", "same_a", "same_b", "regs", "odd_a", "odd_b", "bit_a", "bit_b"))
+        .select("id", "n", "same_a", "same_b", "regs", *ODD, *BIT))
     bands = reps.select("id", "regs").mapInArrow(_bands, "band long, id long")
-    groups = bands.groupBy("band").agg(F.count("*").alias("many"), F.min("id").alias("centre")).where("many > 1")
-    shared = stage(bands.join(groups, "band").select("band", "id", "centre"))
+    groups = bands.groupBy("band").agg(F.count("*").alias("many"), F.min("id").alias("low"), F.max("id").alias("high")).where("many > 1")
+    shared = stage(bands.join(groups, "band").select("band", "id", "low", "high"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links: first by registers, then on the full sets."""
@@ -201,7 +208,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             likely.join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b")
             .select("a", "b", "members_a", "members_b").mapInArrow(_confirmed(percent), "a long, b long").distinct())
 
-    stars = stage(shared.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    stars = stage(
+        shared.where("low < id").select(F.col("low").alias("a"), F.col("id").alias("b"))
+        .union(shared.where("low < id AND id < high").select(F.col("id").alias("a"), F.col("high").alias("b"))).distinct())
     # Rows that share an id are one vertex: its classes hang together.
     repeated = member.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").drop("z")
     same_id = member.join(repeated, "id").select("a", F.col("class").alias("b")).where("a <> b")
@@ -214,10 +223,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
     rows = stage(
         labelled.join(contested, "band")
-        .join(reps.select("id", "n", "odd_a", "odd_b", "bit_a", "bit_b"), "id"))
+        .join(reps.select("id", "n", *ODD, *BIT), "id"))
     x, y = rows.alias("x"), rows.alias("y")
-    differ = lambda p: (
-        F.bit_count(F.col(f"x.{p}_a").bitwiseXOR(F.col(f"y.{p}_a"))) + F.bit_count(F.col(f"x.{p}_b").bitwiseXOR(F.col(f"y.{p}_b"))))
+    differ = lambda names: reduce(add, (F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in names))
     total = F.col("x.n") + F.col("y.n")
     # 128 one-bit registers at similarity s differ in 64 (1 - s) places; the margin is ``sigmas`` deviations.
     share = (1 - percent / 100) / 2
@@ -226,8 +234,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))
         & (F.col("x.component") != F.col("y.component"))
         & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & ((100 + percent) * differ("odd") <= (100 - percent) * total)
-        & ((F.least("x.n", "y.n") < 8 * REGISTERS) | (differ("bit") <= most))
+        & ((100 + percent) * differ(ODD) <= (100 - percent) * total)
+        & ((F.least("x.n", "y.n") < 4 * REGISTERS) | (differ(BIT) <= most))
     )
     rest = x.join(y, possible).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(
         stars, ["a", "b"], "left_anti")
