@@ -38,8 +38,7 @@ from plumbline.llm.words import _BYTE, mix, powers
 
 PERIOD = 57
 #: A perfect difference set: each residue is the difference of two of these.
-COVER = np.zeros(PERIOD, bool)
-COVER[[0, 1, 3, 13, 32, 36, 43, 52]] = True
+COVER = np.array([0, 1, 3, 13, 32, 36, 43, 52])
 GRAM = 16
 
 
@@ -73,22 +72,23 @@ class Group:
         self.text, self.offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
     def slices(self, least: int):
-        """(first document, base, bytes, document bounds, prefix sums) of slices that hold a text of ``least`` bytes."""
+        """(first document, base, bytes, document bounds) of slices that hold a text of ``least`` bytes."""
         for a, b in row_slices(self.offsets):
             base, end = self.offsets[a], self.offsets[b]
             if end - base >= least:
-                text = self.text[base:end]
-                yield a, base, text, self.offsets[a:b + 1] - base, prefix_sums(text)
+                yield a, base, self.text[base:end], self.offsets[a:b + 1] - base
 
     def samples(self, length: int):
-        """For each slice its parts, and the sampled positions with their names."""
+        """For each slice its parts, the sampled positions, the bounds of their documents, and their names."""
         tuple_size = length - PERIOD + 1
-        for a, base, text, bounds, sums in self.slices(length):
-            sizes = np.diff(bounds)
-            start, end = np.repeat(bounds[:-1], sizes), np.repeat(bounds[1:], sizes)
-            at = np.arange(len(text))
-            at = np.flatnonzero(COVER[(at - start) % PERIOD] & (at + tuple_size <= end))
-            yield a, base, text, start, end, sums, at, prints(sums, at, tuple_size)
+        for a, base, text, bounds in self.slices(length):
+            turns = -(-np.diff(bounds) // PERIOD)
+            turn = np.arange(turns.sum()) - np.repeat(np.cumsum(turns) - turns, turns)
+            at = ((np.repeat(bounds[:-1], turns) + PERIOD * turn)[:, None] + COVER[None, :]).ravel()
+            start, end = (np.repeat(np.repeat(x, turns), len(COVER)) for x in (bounds[:-1], bounds[1:]))
+            fits = at + tuple_size <= end
+            at = at[fits]
+            yield a, base, text, bounds, start[fits], at, prints(prefix_sums(text), at, tuple_size)
 
 
 def _place(name: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,19 +134,23 @@ def _known(table: pa.Table) -> np.ndarray:
 
 def _stretches(group: Group, known: np.ndarray, length: int, ranges: int):
     """(document, start, count, least gram) of the stretches of starts that may have a partner."""
-    local, counts = np.unique(np.concatenate([n for *_, n in group.samples(length)] or [np.zeros(0, np.uint64)]), return_counts=True)
+    sampled = list(group.samples(length))
+    local, counts = np.unique(np.concatenate([names for *_, names in sampled] or [np.zeros(0, np.uint64)]), return_counts=True)
     local = local[counts > 1]
     out = []
     width = length - GRAM + 1
-    for a, base, text, start, end, sums, at, names in group.samples(length):
+    for a, base, text, bounds, start, at, names in sampled:
         spot, low = _place(names, ranges)
         again = np.isin(names, local) | np.isin(spot << 32 | low.astype(np.int64), known)
-        at = at[again]
-        steps = np.bincount(np.maximum(start[at], at - PERIOD + 1), minlength=len(text) + 1) - np.bincount(at + 1, minlength=len(text) + 1)
-        starts = np.flatnonzero((np.cumsum(steps)[:-1] > 0) & (np.arange(len(text)) + length <= end))
+        if not again.any():
+            continue
+        at, start = at[again], start[again]
+        steps = np.bincount(np.maximum(start, at - PERIOD + 1), minlength=len(text) + 1) - np.bincount(at + 1, minlength=len(text) + 1)
+        starts = np.flatnonzero(np.cumsum(steps)[:-1] > 0)
+        starts = starts[starts + length <= bounds[np.searchsorted(bounds, starts, side="right")]]
         if not len(starts):
             continue
-        grams = prints(sums, np.arange(len(text) - GRAM + 1), GRAM)
+        grams = prints(prefix_sums(text), np.arange(len(text) - GRAM + 1), GRAM)
         reach = 1
         while reach * 2 <= width:
             grams = np.minimum(grams[:-reach], grams[reach:])
@@ -214,16 +218,16 @@ def _runs(x: np.ndarray):
 
 def _later(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Which of the strings at these places, given in corpus order, equals an earlier one."""
+    # Eight bytes from every place at once; the last word of a prefix overlaps the one before.
+    words = np.ndarray((max(0, len(text) - 7),), np.uint64, buffer=text, strides=(1,))
+    steps = [*range(0, length - 7, 8), length - 8]
     salt = 0
     while True:
         names = prints(prefix_sums(text, salt), at, length)
         order = np.argsort(names, kind="stable")
         same = np.flatnonzero(names[order][1:] == names[order][:-1]) + 1
         a, b = at[order[same]], at[order[same - 1]]
-        step = max(1, (8 << 20) // length)
-        equal = all(
-            np.array_equal(text[a[i:i + step, None] + np.arange(length)], text[b[i:i + step, None] + np.arange(length)])
-            for i in range(0, len(a), step))
+        equal = all(np.array_equal(words[a + i], words[b + i]) for i in steps)
         if equal:
             later = np.zeros(len(at), bool)
             later[order[same]] = True
