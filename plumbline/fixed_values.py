@@ -57,7 +57,6 @@ MAX_ATTEMPTS = 5
 BACKOFF_BASE_SECONDS = 30
 BACKOFF_MAX_EXPONENT = 6
 LEASE_SECONDS = 600
-DRAIN_JOBS = 50
 ANNOTATION_BATCH = 50
 ANNOTATION_TITLE_CHARS = 255
 ANNOTATION_MESSAGE_CHARS = 4000

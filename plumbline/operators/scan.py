@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from plumbline import fixed_values as fv
 from plumbline.functions.keys import finding_id
@@ -36,8 +37,11 @@ def admit_files(
     """Scannable files up to the size limit, the first ``max_files`` per project, with ``truncated``.
 
     Contents are never shuffled: only projects above the limit are numbered, in ``file_seq`` blocks, and
-    the last admitted ``file_seq`` of each of them is joined back. ``file_seq`` is numeric here.
+    the last admitted ``file_seq`` of each of them is joined back. A text ``file_seq`` is bucketed by its
+    first characters, which keep its order.
     """
+    text_key = isinstance(files.schema["file_seq"].dataType, StringType)
+    bucket = F.substring("file_seq", 1, 16) if text_key else F.floor(F.col("file_seq") / block)
     scannable = classify(files).filter(
         F.col("kind").isNotNull() & (F.octet_length("content") <= max_bytes)
     )
@@ -45,7 +49,7 @@ def admit_files(
     crowded = places.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_files)
     numbered = ranking.row_number(
         places.join(crowded.select("project_id"), "project_id", "left_semi"), ["project_id"],
-        [F.floor(F.col("file_seq") / block)], [F.col("file_seq")], "__rn",
+        [bucket], [F.col("file_seq")], "__rn",
     )
     last = stage(numbered.filter(F.col("__rn") == max_files).select("project_id", F.col("file_seq").alias("__last")))
     joined = scannable.join(last, "project_id", "left")

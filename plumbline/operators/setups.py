@@ -17,10 +17,10 @@ def provider_dim(spark: SparkSession) -> DataFrame:
 
 
 def with_provider(setups: DataFrame, providers: DataFrame, check_name: str = fv.CHECK_NAME) -> DataFrame:
-    """Descriptor of each setup's provider; an unknown provider falls back to the default one."""
-    known = [p[0] for p in fv.PROVIDERS]
-    resolved = F.when(F.col("gate_provider").isin(known), F.col("gate_provider")).otherwise(fv.DEFAULT_PROVIDER)
-    joined = setups.withColumn("provider", resolved).join(F.broadcast(providers), "provider")
+    """Descriptor of each setup's provider; one that the table lacks falls back to the default one."""
+    known = providers.select(F.col("provider").alias("gate_provider"), F.col("provider").alias("__known")).distinct()
+    resolved = F.coalesce("__known", F.lit(fv.DEFAULT_PROVIDER))
+    joined = setups.join(known, "gate_provider", "left").withColumn("provider", resolved).drop("__known").join(providers, "provider")
     branch = F.when(F.coalesce("default_branch", F.lit("")) != "", F.col("default_branch")).otherwise(fv.NO_BRANCH_TEXT)
     fill = lambda text: F.replace(
         F.replace(text, F.lit("{branch}"), branch), F.lit("{check}"), F.lit(check_name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators import jobs as jb
@@ -15,8 +17,12 @@ JOBS = (
 CLOSED = "seq bigint, closed_by_seq bigint, note string"
 
 
-def jobs_step(store: BatchStore, block: int = 100_000):
-    """New commits become jobs; every arrival, redelivered or not, closes older queued jobs of its ref."""
+def jobs_step(store: BatchStore, block: int = 100_000, claims: Callable[[], DataFrame] | None = None):
+    """New commits become jobs; every arrival, redelivered or not, closes older queued jobs of its ref.
+
+    ``claims`` gives the present (repo_id, head_sha, claim_seq): a job claimed before the arrival that would
+    close it is running or done, and stays as it is.
+    """
     columns = [c.split()[0] for c in JOBS.split(", ")]
 
     def step(batch: DataFrame, number: int) -> None:
@@ -32,7 +38,12 @@ def jobs_step(store: BatchStore, block: int = 100_000):
         timeline = still_open.select(*columns).unionByName(arrivals)
         after = jb.next_other_commit(timeline, block).filter(F.col("superseded_by").isNotNull())
         open_now = still_open.select("seq").unionByName(created.select("seq"))
-        closing = after.join(open_now, "seq", "left_semi").select(
+        closing = after.join(open_now, "seq", "left_semi")
+        if claims is not None:
+            first = claims().groupBy("repo_id", "head_sha").agg(F.min("claim_seq").alias("__claimed"))
+            closing = closing.join(first, ["repo_id", "head_sha"], "left").filter(
+                F.col("__claimed").isNull() | (F.col("superseded_by.seq") < F.col("__claimed")))
+        closing = closing.select(
             "seq", F.col("superseded_by.seq").alias("closed_by_seq"),
             F.concat(F.lit("superseded by "), "superseded_by.head_sha").alias("note"),
         )

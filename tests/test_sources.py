@@ -14,6 +14,19 @@ from plumbline.sources.archives import bad_archives, expand_archives
 from plumbline.sources.tree import read_tree
 
 
+def test_read_tree_of_any_bytes_and_size(spark, tmp_path):
+    (tmp_path / "db").mkdir()
+    (tmp_path / "db" / "big.sql").write_text("create table t (id int);\n" + "-- filler\n" * 150_000)
+    (tmp_path / "latin.ts").write_bytes("const a = 'é';\n".encode("latin-1"))
+    (tmp_path / "logo.png").write_bytes(bytes(range(256)))
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        rows = {r["path"]: r["content"] for r in read_tree(spark, root).collect()}
+        assert set(rows) == {"db/big.sql", "latin.ts", "logo.png"}
+        assert rows["latin.ts"] == "const a = '\ufffd';\n" and len(rows["db/big.sql"]) > 1_000_000
+    capped = admit_files(read_tree(spark, str(tmp_path)), max_files=1, max_bytes=10_000_000).collect()
+    assert [(r["path"], r["truncated"]) for r in capped] == [("db/big.sql", True)]
+
+
 def test_read_tree(spark, tmp_path):
     files = {"b.ts": "eval(x)", "a/z.ts": "é", "a.ts": "x", "node_modules/q.ts": "eval(x)", "a b+c%20.sql": "select 1"}
     for name, text in files.items():
@@ -21,14 +34,14 @@ def test_read_tree(spark, tmp_path):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
     (tmp_path / "big.ts").write_text("x" * 1_000_001)
-    rows = read_tree(spark, str(tmp_path)).orderBy("file_seq").collect()
+    rows = read_tree(spark, str(tmp_path), max_bytes=1_000_000).orderBy("file_seq").collect()
     assert [(r.path, r.content) for r in rows] == [
         ("a/z.ts", "é"), ("a b+c%20.sql", "select 1"), ("a.ts", "x"), ("b.ts", "eval(x)")
     ]
     found = scan_projects(read_tree(spark, str(tmp_path))).collect()
     assert [(f.rule, f.file, f.line) for f in found] == [("G", "b.ts", 1)]
     (tmp_path / "notes.md").write_text("x")
-    only = read_tree(spark, str(tmp_path), scannable_only=True).collect()
+    only = read_tree(spark, str(tmp_path), max_bytes=1_000_000, scannable_only=True).collect()
     assert sorted(r.path for r in only) == ["a b+c%20.sql", "a.ts", "a/z.ts", "b.ts"]
     nested = read_tree(spark, str(tmp_path), project_depth=1).filter("project_id = 'a'").collect()
     assert [r.path for r in nested] == ["z.ts"]
