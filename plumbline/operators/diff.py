@@ -51,7 +51,10 @@ def _of_baseline(findings: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def carried_findings(findings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The baseline's rows that are still present, with the baseline's multiplicity and enrichment."""
+    """The baseline's rows that are still present, with the baseline's multiplicity and enrichment.
+
+    One step only: ``findings`` holds the baseline as it was persisted. ``persisted_posture`` takes whole histories.
+    """
     current = findings.select("scan_id", "id").distinct()
     return _of_baseline(findings, pairs).join(current, ["scan_id", "id"], "left_semi")
 
@@ -61,11 +64,32 @@ def resolved_findings(findings: DataFrame, pairs: DataFrame) -> DataFrame:
     return _of_baseline(findings, pairs).join(current, ["scan_id", "id"], "left_anti")
 
 
-def persisted_posture(findings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """New findings and carried-over ones, as a bag, with ``status``."""
-    new = new_findings(findings, pairs).withColumn("status", F.lit("new"))
-    carried = carried_findings(findings, pairs).withColumn("status", F.lit("carried"))
-    return new.unionByName(carried)
+def persisted_posture(findings: DataFrame, scans: DataFrame, period: str = "month") -> DataFrame:
+    """The persisted set of every scan, as a bag: new findings and carried-over ones, with ``status``.
+
+    Carried rows are those of ``origin_scan_id``, the scan that began the unbroken run of default-branch scans
+    with that id, so they keep its multiplicity and enrichment. A persisted set has the ids of its own scan;
+    the baseline's ids alone tell where a run begins, and nothing is folded scan by scan.
+    """
+    place = ["installation_id", "repo", "is_pull_request", "created_at", "baseline_scan_id"]
+    history = baseline_history(scans, period).select("scan_id", *place)
+    present = findings.select("scan_id", "id").distinct().join(history, "scan_id")
+    known = present.filter(~F.col("is_pull_request")).select(
+        F.col("scan_id").alias("baseline_scan_id"), "id", F.lit(True).alias("__known")
+    )
+    status = F.when(F.col("__known"), "carried").otherwise("new")
+    marked = present.join(known, ["baseline_scan_id", "id"], "left").withColumn("status", status)
+    began = F.when(~F.col("is_pull_request") & (F.col("status") == "new"), F.col("scan_id"))
+    keyed = F.col("installation_id").isNotNull() & F.col("repo").isNotNull()
+    runs = ranking.last_before(
+        marked.filter(keyed), ["installation_id", "repo", "id"], [F.date_trunc(period, "created_at")],
+        [F.col("created_at"), F.col("scan_id")], began, "__began",
+    )
+    origin = F.when(F.col("status") == "new", F.col("scan_id")).otherwise(F.col("__began")).alias("origin_scan_id")
+    origins = runs.select("scan_id", "id", "status", origin).unionByName(
+        marked.filter(~keyed).select("scan_id", "id", "status", F.col("scan_id").alias("origin_scan_id"))
+    )
+    return findings.withColumnRenamed("scan_id", "origin_scan_id").join(origins, ["origin_scan_id", "id"])
 
 
 def diff_against_baseline(current: DataFrame, baseline: DataFrame, keys: Sequence[str]) -> DataFrame:

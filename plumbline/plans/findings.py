@@ -109,20 +109,45 @@ def _resolved(t):
     return diff.resolved_findings(t.scan_findings(), diff.baseline_history(t.scans())).select(*_SHOWN)
 
 
+# The fold itself: an id walks from scan to scan for as long as the next default-branch scan still has it.
+_PERSISTED = f"""WITH RECURSIVE {o.SCANS}, {o.SCAN_FINDINGS}, {_PAIRS},
+mains AS (SELECT scan_id, installation_id, repo,
+    row_number() OVER (PARTITION BY installation_id, repo ORDER BY created_at, scan_id) AS n FROM scans
+  WHERE NOT is_pull_request AND installation_id IS NOT NULL AND repo IS NOT NULL),
+held AS (SELECT DISTINCT m.*, f.id FROM mains m JOIN scan_findings f USING (scan_id)),
+walk AS (SELECT h.*, scan_id AS origin FROM held h WHERE NOT EXISTS (SELECT 1 FROM held p
+    WHERE p.installation_id = h.installation_id AND p.repo = h.repo AND p.n = h.n - 1 AND p.id = h.id)
+  UNION ALL SELECT h.*, w.origin FROM walk w JOIN held h
+    ON h.installation_id = w.installation_id AND h.repo = w.repo AND h.n = w.n + 1 AND h.id = w.id),
+origins AS (SELECT c.scan_id, c.id, coalesce(w.origin, c.scan_id) AS origin_scan_id,
+    CASE WHEN w.origin IS NULL THEN 'new' ELSE 'carried' END AS status
+  FROM (SELECT DISTINCT scan_id, id FROM scan_findings) c JOIN pairs p USING (scan_id)
+  LEFT JOIN walk w ON w.scan_id = p.baseline_scan_id AND w.id = c.id),
+kept AS (SELECT s.scan_id, s.origin_scan_id, s.status, f.* EXCLUDE (scan_id) FROM origins s
+  JOIN scan_findings f ON f.scan_id = s.origin_scan_id AND f.id = s.id)"""
+
+
 @query(
     "persisted_posture_totals",
-    f"{_DIFF}, kept AS (SELECT scan_id, severity, 'new' AS status FROM new UNION ALL SELECT scan_id, severity, 'carried' FROM carried) "
-    "SELECT scan_id, count(*) AS findings_count, count(*) FILTER (severity = 'HIGH') AS high_count, "
+    f"{_PERSISTED} SELECT scan_id, count(*) AS findings_count, count(*) FILTER (severity = 'HIGH') AS high_count, "
     "count(*) FILTER (status = 'new') AS new_count FROM kept GROUP BY scan_id",
 )
 def _persisted(t):
-    kept = diff.persisted_posture(t.scan_findings(), diff.baseline_history(t.scans()))
+    kept = diff.persisted_posture(t.scan_findings(), t.scans())
     return kept.groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("findings_count"), F.count_if(F.col("severity") == "HIGH").alias("high_count"),
         F.count_if(F.col("status") == "new").alias("new_count"),
     )
 
 
+@query(
+    "persisted_posture_history",
+    f"{_PERSISTED} SELECT {', '.join(_SHOWN)}, status, origin_scan_id FROM kept",
+)
+def _persisted_history(t):
+    return diff.persisted_posture(t.scan_findings(), t.scans()).select(*_SHOWN, "status", "origin_scan_id")
+
+
 @query(
     "gate_on_new_findings",
     f"{_DIFF} SELECT scan_id, {_GATE_SQL.format(t=3, blocked='neutral')} FROM scans "
@@ -151,18 +176,20 @@ def _two_sets(t):
     return status.groupBy("user_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+_COMPARED_SQL = ", ".join("CAST(line AS BIGINT) AS line" if c == "line" else c for c in diff.COMPARED)
+
+
 @query(
     "compare_finding_sets",
-    f"""{_SF}, a AS (SELECT severity, confidence, asvs_category, title, file, CAST(line AS BIGINT) AS line, remediation FROM scan_findings WHERE scan_id % 2 = 0),
-b AS (SELECT severity, confidence, asvs_category, title, file, CAST(line AS BIGINT) AS line, remediation FROM scan_findings WHERE scan_id % 2 = 1)
+    f"""{_SF}, a AS (SELECT {_COMPARED_SQL} FROM scan_findings WHERE scan_id % 2 = 0),
+b AS (SELECT {_COMPARED_SQL} FROM scan_findings WHERE scan_id % 2 = 1)
 SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
 UNION ALL SELECT 'right' AS side, * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
 )
 def _compare(t):
     found = t.scan_findings().withColumn("line", F.col("line").cast("long"))
-    columns = [c for c in diff.COMPARED if c != "detail"]
     even, odd = found.filter(F.col("scan_id") % 2 == 0), found.filter(F.col("scan_id") % 2 == 1)
-    return diff.compare_sets(even, odd, columns)
+    return diff.compare_sets(even, odd)
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators import diff, gate
 from plumbline.operators.scan import FINDING_COLUMNS, scan_projects
@@ -24,62 +24,43 @@ FINDINGS = (
 def scan_step(store: BatchStore, load_files: Callable[[DataFrame], DataFrame], mode: str = "report-only"):
     """``load_files(commits)`` gives ``files`` with ``project_id`` = scan id as text.
 
-    Commits of one repository that follow a default-branch commit in the same micro-batch wait for its
-    result: they run in the next wave. Pull requests share the wave, since they are never a baseline.
+    All commits of a micro-batch are scanned and diffed in one pass, however many follow each other in one
+    repository. The stored baseline of each repository comes first in its order, whatever its time; the commits
+    follow by ``created_at``.
     """
     columns = [c.split()[0] for c in FINDINGS.split(", ")]
+    place = ["scan_id", "installation_id", "repo", "is_pull_request", "created_at"]
 
-    def wave_of(commits: DataFrame, done_scans: DataFrame, done_findings: DataFrame):
-        files = load_files(commits)
-        found = scan_projects(files).withColumn("scan_id", F.col("project_id").cast("long"))
+    def step(batch: DataFrame, number: int) -> None:
+        commits = stage(batch)
+        found = scan_projects(load_files(commits)).withColumn("scan_id", F.col("project_id").cast("long"))
         # Rule order as one number; the path keeps files apart.
         ord_ = (F.col("check_no") * 2 + F.col("phase")).cast("long") * (1 << 20) + F.col("step") * 4096 + F.col("pos")
-        current = stage(found.withColumn("ord", ord_).select("scan_id", "ord", *FINDING_COLUMNS[1:]))
-        base = diff.latest_baseline(done_scans)
-        pairs = commits.join(base, ["installation_id", "repo"], "left").select("scan_id", "baseline_scan_id")
-        known = done_findings.select(F.col("scan_id").alias("baseline_scan_id"), "id").distinct()
-        new = (
-            current.join(pairs, "scan_id").join(known, ["baseline_scan_id", "id"], "left_anti")
-            .drop("baseline_scan_id").withColumn("status", F.lit("new"))
+        current = found.withColumn("ord", ord_).select("scan_id", "ord", *FINDING_COLUMNS[1:])
+        based = diff.latest_baseline(store.read("scans", SCANS, before=number)).join(
+            commits, ["installation_id", "repo"], "left_semi"
+        )
+        first = F.lit("0001-01-01 00:00:00").cast(commits.schema["created_at"].dataType)
+        chain = commits.select(*place).unionByName(
+            based.withColumnRenamed("baseline_scan_id", "scan_id")
+            .withColumns({"is_pull_request": F.lit(False), "created_at": first}).select(*place)
         )
-        ids = current.select("scan_id", "id").distinct()
-        based = pairs.filter("baseline_scan_id IS NOT NULL").withColumnRenamed("scan_id", "for_scan")
-        carried = (
-            done_findings.withColumnRenamed("scan_id", "baseline_scan_id").join(based, "baseline_scan_id")
-            .withColumnRenamed("for_scan", "scan_id").join(ids, ["scan_id", "id"], "left_semi")
-            .withColumn("status", F.lit("carried"))
+        before = store.read("scan_findings", FINDINGS, before=number).join(
+            based.select(F.col("baseline_scan_id").alias("scan_id")), "scan_id", "left_semi"
         )
-        kept = stage(new.select(*columns).unionByName(carried.select(*columns)))
+        rows = stage(current.select(*columns[:-1]).unionByName(before.select(*columns[:-1])))
+        kept = diff.persisted_posture(rows, chain).join(commits.select("scan_id"), "scan_id", "left_semi")
+        kept = store.write("scan_findings", number, kept.select(*columns))
         decided = gate.gate(kept.filter("status = 'new'"), ["scan_id"], mode, universe=commits)
         totals = kept.groupBy("scan_id").agg(
             F.count(F.lit(1)).alias("findings_count"), F.count_if(F.col("severity") == "HIGH").alias("high_count"),
             F.count_if(F.col("status") == "new").alias("new_count"),
         )
-        rows = (
-            commits.select("scan_id", "installation_id", "repo", "is_pull_request", "created_at")
+        done = (
+            commits.select(*place)
             .join(totals, "scan_id", "left").fillna(0, ["findings_count", "high_count", "new_count"])
             .join(decided, "scan_id")
         )
-        return stage(rows.select(*[c.split()[0] for c in SCANS.split(", ")])), kept
-
-    def step(batch: DataFrame, number: int) -> None:
-        earlier_main = (
-            Window.partitionBy("installation_id", "repo").orderBy("created_at", "scan_id")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        mains = F.coalesce(F.sum(F.when(F.col("is_pull_request"), 0).otherwise(1)).over(earlier_main), F.lit(0))
-        commits = stage(batch.withColumn("wave", mains))
-        last = commits.agg(F.max("wave")).first()[0]
-        scans = store.read("scans", SCANS, before=number)
-        findings = store.read("scan_findings", FINDINGS, before=number)
-        new_scans = new_findings = None
-        for wave in range((-1 if last is None else int(last)) + 1):
-            rows, kept = wave_of(commits.filter(F.col("wave") == wave).drop("wave"), scans, findings)
-            scans, findings = scans.unionByName(rows), findings.unionByName(kept)
-            new_scans = rows if new_scans is None else new_scans.unionByName(rows)
-            new_findings = kept if new_findings is None else new_findings.unionByName(kept)
-        if new_scans is not None:
-            store.write("scan_findings", number, new_findings)
-            store.write("scans", number, new_scans)
+        store.write("scans", number, done.select(*[c.split()[0] for c in SCANS.split(", ")]))
 
     return step

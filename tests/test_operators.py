@@ -64,11 +64,38 @@ def test_diff_keeps_multiplicity(spark):
     carried = diff.carried_findings(found, history)
     assert rows(carried.filter("scan_id = 3"), "id", "detail") == [("x", "old"), ("x", "old2")]
     assert rows(diff.resolved_findings(found, history).filter("scan_id = 3"), "id") == [("gone",)]
-    assert rows(diff.persisted_posture(found, history).filter("scan_id = 5"), "id", "status") == [("n", "carried")] * 2
+    kept = diff.persisted_posture(found, scans, "minute")
+    assert rows(kept.filter("scan_id = 5"), "id", "status") == [("n", "carried")] * 2
     assert diff.compare_sets(found, found.orderBy("id")).count() == 0
     assert diff.compare_sets(found, found.limit(6)).count() == 1
 
 
+def test_persisted_posture_over_a_history(spark):
+    """Rows of an id come from the first scan of its unbroken run; a pull request begins no run."""
+    scans = spark.createDataFrame(
+        [(1, 7, "o/r", False, at(1)), (2, 7, "o/r", False, at(2)), (3, 7, "o/r", False, at(3)), (4, 7, "o/r", True, at(4)),
+         (5, 7, "o/r", False, at(5)), (6, 7, "o/r", False, at(6)), (9, None, "o/r", False, at(7))],
+        "scan_id bigint, installation_id bigint, repo string, is_pull_request boolean, created_at timestamp_ntz",
+    )
+    found = spark.createDataFrame(
+        [finding(1, 0, "x", detail="a"), finding(1, 1, "x", detail="b"), finding(1, 2, "y"),
+         *[finding(s, 0, "x", detail="c") for s in (2, 3, 4)], finding(3, 1, "y", detail="again"),
+         finding(4, 2, "p"), finding(4, 3, "y"), finding(5, 1, "p", detail="main"), finding(6, 0, "x", detail="back"),
+         finding(9, 0, "x", detail="alone")],
+        FINDING,
+    )
+    kept = diff.persisted_posture(found, scans, "minute")
+    runs = [(s, i, f"{d}{o}", t) for s, i, d, o, t in rows(kept, "scan_id", "id", "detail", "origin_scan_id", "status")
+            if i not in ("p", "y")]
+    assert sorted(runs) == sorted(
+        [(1, "x", "a1", "new"), (1, "x", "b1", "new")]
+        + [(s, "x", f"{d}1", "carried") for s in (2, 3, 4) for d in "ab"]
+        + [(6, "x", "back6", "new"), (9, "x", "alone9", "new")]
+    )
+    assert rows(kept.filter("id = 'p'"), "scan_id", "origin_scan_id", "status") == [(4, 4, "new"), (5, 5, "new")]
+    assert rows(kept.filter("id = 'y'"), "scan_id", "origin_scan_id", "status") == [(1, 1, "new"), (3, 3, "new"), (4, 3, "carried")]
+
+
 @pytest.mark.parametrize(
     "mode,fail_on,want",
     [("enforce", "HIGH", "failure"), ("report-only", "HIGH", "neutral"), ("enforce", "nonsense", "failure")],

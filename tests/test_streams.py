@@ -141,3 +141,7 @@ def test_scan_stream(spark, tmp_path):
     assert got == {1: (1, 1, "success"), 2: (2, 1, "success"), 3: (2, 1, "success"), 4: (0, 0, "success")}
     kept = store.read("scan_findings", FINDINGS).filter("scan_id = 3")
     assert sorted((r.line, r.status) for r in kept.collect()) == [(1, "carried"), (2, "new")]
+    whole = BatchStore(spark, str(tmp_path / "whole"))
+    scan_step(whole, load)(commits, 0)
+    assert same(whole.read("scans", SCANS), store.read("scans", SCANS))
+    assert same(whole.read("scan_findings", FINDINGS), store.read("scan_findings", FINDINGS))
