@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 # A cross-section that keeps the suite short; the driver runs every query.
 CHECKED = [
-    "scan_projects", "admitted_files", "baseline_history", "findings_carried", "area_posture", "report_bodies",
+    "scan_projects", "admitted_files", "baseline_history", "findings_carried", "persisted_posture_history", "area_posture", "report_bodies",
     "superseded_jobs", "job_state", "rate_limit", "subscription_state", "cache_upsert", "setup_upserts",
 ]
 
