@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.frames import parallelism, row_key, row_slices, text_buffers
-from plumbline.llm.words import _BYTE, mix, powers
+from plumbline.llm.words import _BYTE, among, distinct, mix, powers, repeats
 
 PERIOD = 57
 #: A perfect difference set: each residue is the difference of two of these.
@@ -100,8 +100,8 @@ def _names(length: int, ranges: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         part, group = key[0].as_py(), Group(table)
         every = [names for *_, names in group.samples(length)]
-        spot, low = _place(np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64), ranges)
-        codes = np.unique(spot << 32 | low.astype(np.int64))
+        spot, low = _place(np.concatenate(every) if every else np.zeros(0, np.uint64), ranges)
+        codes = distinct(spot << 32 | low.astype(np.int64))
         edges = np.searchsorted(codes, np.arange(ranges + 1) << 32)
         rows = [(r, codes[a:b].astype(np.uint32).tobytes()) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
         return pa.table({
@@ -115,10 +115,8 @@ def _repeated(key: tuple, table: pa.Table) -> pa.Table:
     """For each group its names that another group has too."""
     parts = table.column("part").to_pylist()
     lists = [np.frombuffer(n.as_buffer(), np.uint32) for n in table.column("names")]
-    every = np.concatenate(lists)
-    ordered = np.sort(every)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    found = [np.intersect1d(n, twice, assume_unique=True) for n in lists]
+    twice = repeats(np.concatenate(lists))
+    found = [n[among(n, twice)] for n in lists]
     return pa.table({
         "part": pa.array(parts, pa.int32()), "range": pa.array([key[0].as_py()] * len(parts), pa.int32()),
         "payload": pa.array([f.tobytes() for f in found], pa.binary()), "marks": pa.nulls(len(parts), pa.binary())})
@@ -135,13 +133,12 @@ def _known(table: pa.Table) -> np.ndarray:
 def _stretches(group: Group, known: np.ndarray, length: int, ranges: int):
     """(document, start, count, least gram) of the stretches of starts that may have a partner."""
     sampled = list(group.samples(length))
-    local, counts = np.unique(np.concatenate([names for *_, names in sampled] or [np.zeros(0, np.uint64)]), return_counts=True)
-    local = local[counts > 1]
+    local = repeats(np.concatenate([names for *_, names in sampled] or [np.zeros(0, np.uint64)]))
     out = []
     width = length - GRAM + 1
     for a, base, text, bounds, start, at, names in sampled:
         spot, low = _place(names, ranges)
-        again = np.isin(names, local) | np.isin(spot << 32 | low.astype(np.int64), known)
+        again = among(names, local) | among(spot << 32 | low.astype(np.int64), known)
         if not again.any():
             continue
         at, start = at[again], start[again]

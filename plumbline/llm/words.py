@@ -15,6 +15,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in rising order. Sorting is many times faster than the hash table behind ``np.unique``."""
+    x = np.sort(x)
+    first = np.ones(len(x), bool)
+    first[1:] = x[1:] != x[:-1]
+    return x[first]
+
+
+def repeats(x: np.ndarray) -> np.ndarray:
+    """The distinct values that occur more than once, in rising order."""
+    x = np.sort(x)
+    return distinct(x[1:][x[1:] == x[:-1]])
+
+
+def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values occur in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
