@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
 from plumbline.llm.frames import key_bitmap, row_slices, stage, test_bits, text_buffers
-from plumbline.llm.words import Words, byte_set, mix
+from plumbline.llm.words import Words, byte_set, distinct, mix
 
 WORD = ~byte_set((0x20, 0x20), (0x09, 0x0D))
 REGISTERS = 160
@@ -51,7 +51,7 @@ def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
     sets = []
     for start, n in zip(words.row[:-1].tolist(), counts.tolist()):
         if n >= size:
-            sets.append(np.unique(grams[start:start + n - size + 1]))
+            sets.append(distinct(grams[start:start + n - size + 1]))
         elif n:
             sets.append(mix(short[n][start:start + 1] + np.uint64(n)))
         else:
