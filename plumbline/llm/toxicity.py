@@ -1,7 +1,7 @@
 """Toxicity scores: gradient-boosted trees over dense text features, calibrated by isotonic regression.
 
-A lexicon is learned from labelled rows: words whose document frequency under label 1 clearly exceeds that under
-label 0. One pass over the texts turns each into 16 numbers (lexicon densities, lexicon words near a second-person
+A lexicon is learned from labelled rows: all words whose document frequency under label 1 clearly exceeds that under
+label 0. Texts with the same words count there as one, so copies push no other word out. One pass over the texts turns each into 16 numbers (lexicon densities, lexicon words near a second-person
 word, capitals, punctuation, obfuscation). The trees are fitted on three quarters of the labelled rows, the
 calibration on the rest. Only the fitting uses a sample, of about ``sample`` labelled rows by a hash of the id.
 
@@ -159,13 +159,19 @@ def _vocabularies(bitmap):
     return run
 
 
-def learn_lexicon(texts: DataFrame, labelled: DataFrame, size: int) -> list[tuple[str, float]]:
-    """At most ``size`` (word, log odds), the surest first. ``texts`` is (id, text), ``labelled`` (id, label)."""
+def learn_lexicon(texts: DataFrame, labelled: DataFrame) -> list[tuple[str, float]]:
+    """All (word, log odds) that pass, the surest first. ``texts`` is (id, text), ``labelled`` (id, label).
+
+    Texts with one set of words count once, as toxic if one of their labels says so.
+    """
     spark = texts.sparkSession
     bitmap = spark.sparkContext.broadcast(key_bitmap(labelled.select(F.xxhash64("id").alias("h")), "h"))
     words = texts.where("id IS NOT NULL").select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(
         _vocabularies(bitmap), "id long, words array<string>")
-    rows = stage(words.join(labelled, "id"))
+    # Equal sets come as equal arrays; copies are folded ahead of the shuffle.
+    rows = stage(
+        words.join(labelled, "id").groupBy(F.md5(F.array_join("words", " ")).alias("key"))
+        .agg(F.max("label").alias("label"), F.first("words").alias("words")))
     sums = rows.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
     toxic, clean = float(sums["toxic"] or 0), float(sums["clean"] or 0)
     if not toxic or not clean:
@@ -177,13 +183,13 @@ def learn_lexicon(texts: DataFrame, labelled: DataFrame, size: int) -> list[tupl
         .agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
         .where(F.col("a") >= max(3.0, 0.002 * toxic))
         .select("word", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-        .where("odds > 1 AND z > 3").orderBy(F.desc("z"), "word").limit(size))
+        .where("odds > 1 AND z > 3").orderBy(F.desc("z"), "word"))
     return [(r["word"], float(r["odds"])) for r in best.collect()]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-             label_id: str = "doc_id", label_col: str = "toxic", sample: int = 20_000, lexicon_size: int = 100,
-             trees: int = 20, depth: int = 4) -> DataFrame:
+             label_id: str = "doc_id", label_col: str = "toxic", sample: int = 20_000, trees: int = 20,
+             depth: int = 4) -> DataFrame:
     """One row per document: (id, score), the score between 0 and 1."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     every = labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull()).groupBy(
@@ -191,7 +197,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     many = every.count()
     share = min(1.0, sample / many) if many else 1.0
     labelled = stage(every.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20))))
-    lexicon = learn_lexicon(texts, labelled, lexicon_size)
+    lexicon = learn_lexicon(texts, labelled)
     strong = float(np.median([x for _, x in lexicon])) if lexicon else 1.0
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     rows = stage(texts.mapInArrow(_vectors(shared, strong), "id long, x array<double>"))

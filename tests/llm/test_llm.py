@@ -13,7 +13,7 @@ from plumbline.llm import ann, bpe, html_extract, licenses, pii, secrets
 from plumbline.llm.decontaminate import contamination
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.substring_dedup import COVER, PERIOD, drop_repeated
-from plumbline.llm.toxicity import toxicity
+from plumbline.llm.toxicity import learn_lexicon, toxicity
 
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 SCHEMA = "doc_id long, text string, key string, id string, component string, window string, n int"
@@ -234,6 +234,28 @@ def test_toxicity(spark, empty):
     assert {x["score"] for x in toxicity(table, marks.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_of_copies(spark):
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    insults = ["fool", "rotten", "stupid", "moron", "idiot"]
+    rows = []
+    for i in range(600):
+        words = [word(4) for _ in range(30)]
+        if i % 4 == 0:
+            words[5:5] = [r.choice(insults)]
+        rows.append((i, " ".join(words)))
+    # One toxic text of 200 words of its own, with many labelled copies.
+    copied = [word(9) for _ in range(200)]
+    rows += [(1000 + i, " ".join(copied)) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0 or i >= 1000)) for i, _ in rows if i % 5 or i >= 1000], "doc_id long, toxic int")
+    learned = [w for w, _ in learn_lexicon(table.selectExpr("doc_id AS id", "text"), labels.selectExpr("doc_id AS id", "toxic AS label"))]
+    assert set(insults) <= set(learned) and not set(copied) & set(learned)
+    got = toxicity(table, labels, trees=8).collect()
+    held = [(x["score"] >= 0.5) == (x["id"] % 4 == 0) for x in got if x["id"] < 600 and x["id"] % 5 == 0]
+    assert len(got) == len(rows) and sum(held) / len(held) > 0.95
+
+
 def test_extract(spark):
     pages = [(1, None), (2, ""), (3, "<p>"), (4, html_extract.labelled_page(77777)[0]), (4, html_extract.labelled_page(77777)[0]),
              (5, '<html><body><nav><ul><li><a href="/x">Home</a></li></ul></nav><article><h1>A title of it</h1><p>First &amp; foremost  a long sentence.\n'
