@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from plumbline import fixed_values as fv
 from plumbline.functions.keys import annotation_level, category_label, severity_rank
@@ -25,13 +25,27 @@ def _tie(df: DataFrame) -> list[Column]:
     return [F.col(c) for c in ("ord", "id", "detail") if c in df.columns]
 
 
+def rule_order() -> Column:
+    """The place of a finding in rule order; findings of a whole project have no file and come first."""
+    return F.struct("check_no", "phase", "file_seq", "step", "pos")
+
+
 def number_findings(
     findings: DataFrame, keys: Sequence[str], by_severity: bool = True, name: str = "position", block: int = 4096
 ) -> DataFrame:
-    """1-based position per key: severity descending (stable) or plain order."""
+    """1-based position per key: severity descending (stable) or plain order.
+
+    ``ord`` is a number, or the struct ``rule_order``.
+    """
     rank = 3 - severity_rank(F.col("severity"))
     buckets = [rank] if by_severity else []
-    buckets.append(F.floor(F.col("ord") / block))
+    if isinstance(findings.schema["ord"].dataType, T.StructType):
+        text = isinstance(findings.schema["ord"].dataType["file_seq"].dataType, T.StringType)
+        file = F.col("ord.file_seq")
+        bucket = F.substring(F.coalesce(file, F.lit("")), 1, 16) if text else F.floor(F.coalesce(file, F.lit(-1)) / block)
+        buckets += [F.col("ord.check_no"), F.col("ord.phase"), bucket]
+    else:
+        buckets.append(F.floor(F.col("ord") / block))
     order = [rank] if by_severity else []
     return ranking.row_number(findings, keys, buckets, [*order, *_tie(findings)], name)
 

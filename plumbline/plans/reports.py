@@ -148,12 +148,7 @@ def _area_requests(t):
 
 def _project_findings(t):
     found = scan_projects(t.files())
-    order = F.struct("check_no", "phase", "file_seq", "step", "pos")
-    # Position in rule order as one number: rule and phase lead, the file follows.
-    ord_ = (F.col("check_no") * 2 + F.col("phase")).cast("long") * (1 << 40) + F.coalesce("file_seq", F.lit(0)) * 512 + (
-        F.col("step") * 64 + F.least("pos", F.lit(63))
-    )
-    return stage(found.withColumn("ord", ord_).withColumn("__o", order))
+    return stage(found.withColumn("ord", report.rule_order()))
 
 
 @query(

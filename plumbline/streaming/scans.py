@@ -35,7 +35,7 @@ def scan_step(store: BatchStore, load_files: Callable[[DataFrame], DataFrame], m
         commits = stage(batch)
         found = scan_projects(load_files(commits)).withColumn("scan_id", F.col("project_id").cast("long"))
         # Rule order as one number; the path keeps files apart.
-        ord_ = (F.col("check_no") * 2 + F.col("phase")).cast("long") * (1 << 20) + F.col("step") * 4096 + F.col("pos")
+        ord_ = (F.col("check_no") * 2 + F.col("phase")).cast("long") * (1 << 56) + F.col("step").cast("long") * (1 << 40) + F.col("pos")
         current = found.withColumn("ord", ord_).select("scan_id", "ord", *FINDING_COLUMNS[1:])
         based = diff.latest_baseline(store.read("scans", SCANS, before=number)).join(
             commits, ["installation_id", "repo"], "left_semi"

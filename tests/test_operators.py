@@ -361,3 +361,19 @@ def test_setup_gate_state(spark):
     assert rows(checked.filter("user_id in (2, 3)"), "user_id", "gate_state", "gate_last_checked_at") == [
         (2, "required", at(9)), (3, "required", at(9))
     ]
+
+
+def test_rule_order_of_large_files(spark):
+    """More than 64 matches in one file, file numbers beyond 2^31, findings without a file."""
+    places = [(c, 0, f, s, p) for c in (0, 1) for f in (0, 1 << 31, 1 << 40) for s in (0, 1) for p in range(70)] + [(0, 0, None, 0, 0), (1, 0, None, 0, 0)]
+    places.sort(key=lambda x: (x[0], x[1], -1 if x[2] is None else x[2], *x[3:]))
+    # Ids and details run against the order.
+    rows = [("a", *x, "HIGH", f"{9999 - n}", f"{9999 - n}") for n, x in enumerate(places)]
+    df = spark.createDataFrame(rows[::-1], "project_id string, check_no int, phase int, file_seq bigint, step int, pos int, severity string, id string, detail string")
+    for by_severity in (False, True):
+        got = report.number_findings(df.withColumn("ord", report.rule_order()), ["project_id"], by_severity).orderBy("position").collect()
+        assert [r.position for r in got] == list(range(1, len(rows) + 1))
+        assert [r.id for r in got] == [r[7] for r in rows]
+    named = df.withColumn("file_seq", F.lpad(F.col("file_seq").cast("string"), 20, "0")).withColumn("ord", report.rule_order())
+    got = report.number_findings(named, ["project_id"], False).orderBy("position").collect()
+    assert [r.id for r in got] == [r[7] for r in rows]
