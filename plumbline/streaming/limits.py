@@ -1,4 +1,4 @@
-"""API calls as a stream: window counts by watermark, and verdicts in arrival order."""
+"""API calls as a stream: window counts and verdicts in arrival order."""
 
 from __future__ import annotations
 
@@ -6,32 +6,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.functions.keys import retry_seconds, window_index
-from plumbline.operators import ranking
+from plumbline.operators import limits, ranking
 from plumbline.streaming.store import BatchStore
 
 COUNTS = "subject string, window_index bigint, n bigint"
 
 
-def window_count_stream(calls: DataFrame, seconds: int = fv.RATE_WINDOW_SECONDS, delay: str = "10 minutes") -> DataFrame:
-    """Calls per subject and window; a window's state is dropped once the watermark passes its end."""
-    return (
-        calls.withColumn("at", F.col("ts").cast("timestamp"))
-        .withWatermark("at", delay)
-        .groupBy(F.window("at", f"{seconds} seconds"), "subject")
-        .agg(F.count(F.lit(1)).alias("calls"))
-        .select("subject", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "calls")
-    )
-
-
-def window_step(store: BatchStore):
-    """Keep every update of a window; its count is the largest one written."""
+def window_step(store: BatchStore, seconds: int = fv.RATE_WINDOW_SECONDS):
+    """Count the calls of each micro-batch per subject and window, however late they come."""
 
     def step(batch: DataFrame, number: int) -> None:
-        store.write("windows", number, batch)
+        counts = limits.window_counts(batch, seconds).withColumnRenamed("calls", "n")
+        store.write("windows", number, counts.select("subject", "window_index", "n"))
 
     return step
 
 
+def window_totals(store: BatchStore) -> DataFrame:
+    """Calls per subject and window over all micro-batches so far."""
+    return store.read("windows", COUNTS).groupBy("subject", "window_index").agg(F.sum("n").alias("calls"))
+
+
 def verdict_step(
     store: BatchStore, seconds: int = fv.RATE_WINDOW_SECONDS, limit: int = fv.RATE_LIMIT, slices: int = 60
 ):
@@ -66,4 +61,3 @@ def verdict_step(
 
 
 VERDICTS = "call_id bigint, subject string, nth bigint, ok boolean, retry_after_sec bigint"
-WINDOWS = "subject string, window_start timestamp, window_end timestamp, calls bigint"

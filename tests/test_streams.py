@@ -113,6 +113,16 @@ def test_limit_stream(spark, tmp_path):
     assert same(got, want) and got.filter("NOT ok").count() > 0
 
 
+def test_late_calls_are_counted(spark, tmp_path):
+    # Newest calls first: each later file is hours behind any watermark.
+    calls = events(spark).select((239 - F.col("event_id")).alias("call_id"), F.col("user_id").cast("string").alias("subject"), "ts").cache()
+    split(spark, calls, tmp_path / "in", "call_id")
+    store = BatchStore(spark, str(tmp_path / "store"))
+    run(stream(spark, calls, tmp_path / "in"), sl.window_step(store, 3600), str(tmp_path / "cp")).awaitTermination()
+    assert same(sl.window_totals(store), limits.window_counts(calls, 3600).drop("expires_ms"))
+    assert sl.window_totals(store).agg(F.sum("calls")).first()[0] == 240
+
+
 def test_limit_of_one_window(spark):
     calls = spark.createDataFrame(
         [(n, "s", dt.datetime(2024, 1, 1, 0, 0, 3 * n)) for n in range(7)] + [(7, "s", dt.datetime(2024, 1, 1, 0, 1))],
