@@ -13,16 +13,33 @@ VOID = frozenset("br hr img input meta link area base col embed source track wbr
 #: A start tag of these ends an open one of the same set.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
+ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+"
+#: Elements whose content is raw text up to the end tag, or to the end of the page without one.
+RAW = frozenset("script style title".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<skip>script|style|title|noscript|template|svg|iframe|object)\b[^>]*>.*?(?:</(?P=skip)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
+    rf"|<(?P<skip>script|style|title|noscript|template|svg|iframe|object)(?=[\s/>])(?P<own>{ATTRS}|[^>]*)>"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{ATTRS})>"
     r"|<[!?/][^>]*+>|<[a-zA-Z/][^<>]*+(?:>|\Z)",
     re.S | re.I)
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where each element of this name ends, by the place behind its start tag; unclosed ones are missing."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    for m in re.finditer(rf"<(/?){name}(?=[\s/>])({ATTRS}|[^>]*)>", page, re.I):
+        if not m[1]:
+            if not (name == "svg" and m[2].endswith("/")):
+                opened.append(m.end())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 class Block:
     __slots__ = ("parts", "linked", "active", "tag")
 
@@ -64,10 +81,21 @@ def leaf_blocks(page: str, wanted=None) -> list[tuple[str, float, tuple, str]]:
             now.linked += len(text.strip())
 
     at = 0
-    for m in TOKEN.finditer(page):
+    ends: dict[str, dict[int, int]] = {}
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             put(html.unescape(page[at:m.start()]))
         at = m.end()
+        if m["skip"]:
+            name = m["skip"].lower()
+            if name in RAW:
+                end = RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
+            elif not (name == "svg" and m["own"].endswith("/")):
+                if name not in ends:
+                    ends[name] = _ends(page, name)
+                at = ends[name].get(at, at)
+            continue
         tag = m["tag"]
         if tag is None:
             continue

@@ -30,7 +30,7 @@ def features(blocks: list[tuple[str, float, tuple, str]]) -> list[list[str]]:
     out = []
     for i, (text, linked, ancestors, tag) in enumerate(blocks):
         words = text.count(" ") + 1
-        low = text[:200].lower()
+        low = text.lower()
         own = [
             "bias", f"in:{tag}", f"size:{sizes[i]}", f"words:{min(6, words.bit_length())}", f"link:{int(linked * 4)}",
             f"end:{text[-1] if text[-1] in '.!?:,;' else 'x'}", f"before:{sizes[i - 1] if i else -1}",

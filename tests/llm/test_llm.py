@@ -278,6 +278,22 @@ def test_extract(spark):
     assert wrong / total < 0.03
 
 
+def test_skipped_elements():
+    def texts(page):
+        return [b[0] for b in html_extract.leaf_blocks(page)]
+
+    for tag in ('<svg width="1" a="x>y"/>', "<SVG/>", '<object data="x>y">', "<noscript>", "<template>", "<iframe src=x>", "<object-view>", "<template-card>",
+                "<svg-icon a=1>", "<svg/><svg><text>no</text></svg>", "<object>" * 3):
+        assert texts(f"<p>One</p>{tag}<p>Two</p>") == ["One", "Two"], tag
+        assert texts(f"<p>One</p>{tag}<p>Two</p><svg><p>no</p></svg><p>Three</p>") == ["One", "Two", "Three"], tag
+    for name in ("svg", "object", "noscript", "template", "iframe", "script", "style", "title"):
+        assert texts(f"<p>One</p><{name} a='b'>no<p>no</p></{name} ><p>Two</p>") == ["One", "Two"]
+    assert texts("<object><p>no</p><object>no</object>no</object><p>Two</p>") == ["Two"]
+    assert texts("<object><p>One</p><object>no</object><p>Two</p>") == ["One", "Two"]
+    assert [texts(f"<p>One</p><{name}>no<p>no</p>") for name in ("script", "style", "title")] == [["One"]] * 3
+    assert html_extract.features([("x " * 300 + "All rights reserved, privacy.", 0.0, (), "p")])[0][-2:] == ["rights", "notice"]
+
+
 def test_licences(spark, empty):
     rows = [(1, None), (2, ""), (3, "Hello there. released under the MIT  licence! Released under the MIT License.\nbye"),
             (4, "\n".join(licenses.SENTENCES[k] + "." for k in ("gpl-free", "gpl-hope", "gpl-details")) + "\nLicensed under CC BY-NC 4.0."),
