@@ -1,8 +1,9 @@
 """Licence scans by sentence rules, in DataFrame functions only, without a shuffle.
 
-A text is cut into sentences at line ends and at full stops before white space. Each sentence is normalised
-(letters A-Z lower-cased, everything but letters and digits to one space) and looked up among the known licence
-sentences. The identifiers found, in order, are the text's sequence; a sentence that is not known breaks
+A text is normalised (letters A-Z lower-cased, everything but letters and digits to one space) with marks for full
+stops before white space and for line ends. A known licence sentence stands between two marks; single line ends,
+with or without a comment prefix, may also stand between its words, while full stops and blank lines end it. Of
+sentences that begin at one place the longest counts. The identifiers found, in order, are the text's sequence; a sentence that is not known breaks
 nothing. Rules are tried in their order: a rule holds where its identifiers follow each other, and takes them
 out, so a later rule cannot use them again.
 
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[.!?]+[ \t\r\n]+|[.!?]*[\r\n]+"
+#: Comment prefixes that are words; those of signs are white space anyway.
+COMMENT = r"(?:(?:dnl|rem|c) )?"
+#: Marks of a full stop and of a line end; no other capital is left in a lower-cased text.
+MARKS = [(r"[.!?]+(?=[ \t\r\n])", " S "), (r"\r\n|\r|\n", " L "), (r"[^a-z0-9SL]+", " ")]
 
 #: Sentences of public licence texts and notices, and their identifiers.
 SENTENCES = {
@@ -70,25 +75,40 @@ RULES = [
 
 
 def plain(sentence: str) -> str:
-    """The normal form of a known sentence; ``normalised`` is the same for columns."""
+    """The normal form of a known sentence."""
     low = sentence.translate(str.maketrans(UPPER, LOWER))
     return " ".join("".join(c if c in LOWER + "0123456789" else " " for c in low).split())
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """The words of a text with its marks, one mark at each end."""
+    out = F.translate(text, UPPER, LOWER)
+    for pattern, mark in MARKS:
+        out = F.regexp_replace(out, pattern, mark)
+    return F.concat(F.lit("L "), F.trim(out), F.lit(" L"))
+
+
+def _pattern(sentence: str) -> str:
+    """The words of a known sentence, over single line ends; its own full stops ("v. 2.0") belong to it."""
+    out = sentence.translate(str.maketrans(UPPER, LOWER))
+    for pattern, mark in MARKS:
+        out = re.sub(pattern, mark, out)
+    wrap = f" (?:L {COMMENT})?"
+    return wrap.join(out.split()).replace(f"{wrap}S{wrap}", f" S{wrap}")
 
 
 def _lookup(sentences: dict[str, str]) -> dict[str, str]:
-    """Normal form to identifier. A known sentence that is itself cut ("v. 2.0") is known by its first part."""
+    """Normal form to identifier for the oracle, which ends a sentence at each ``BREAK``."""
     return {plain(re.split(BREAK, s)[0]): name for name, s in sentences.items()}
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    table = F.create_map(*[F.lit(x) for pair in _lookup(sentences).items() for x in pair])
-    found = F.transform(F.split(text, BREAK, -1), lambda s: table[normalised(s)])
-    return F.filter(found, lambda x: x.isNotNull())
+    longest = sorted(sentences.values(), key=lambda s: -len(plain(s)))
+    known = "[SL] " + COMMENT + "(" + "|".join(map(_pattern, longest)) + ")(?= [SL])"
+    table = F.create_map(*[F.lit(x) for name, s in sentences.items() for x in (plain(s), name)])
+    found = F.regexp_extract_all(marked(text), F.lit(known), 1)
+    return F.transform(found, lambda s: table[F.regexp_replace(s, "(?:L " + COMMENT + "|S )", "")])
 
 
 def licences(docs: DataFrame, *, text_col: str = "text", sentences: dict[str, str] = SENTENCES,

@@ -304,6 +304,69 @@ def test_licences(spark, empty):
     assert licenses.licences(empty).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_wrapped_licences(spark):
+    headers = {"Apache-2.0": APACHE, "MIT": MIT, "GPL-3.0-or-later": GPL, "BSD": BSD, "ISC": ISC, "MPL-2.0": MPL}
+    rows = []
+    for name, text in headers.items():
+        rows += [(name, text), (name, text.replace("\n", "\r\n")), (name, "/*\n" + "\n".join(f" * {x}" for x in text.split("\n")) + "\n */\nint x;"),
+                 *((name, "\n".join(f"{sign} {x}".rstrip() for x in text.split("\n"))) for sign in ("#", "//", "--", ";;", "dnl", "REM"))]
+    # Other versions, sentences over a blank line, and words before or behind are not known.
+    rows += [("", MPL.replace("v. 2.0", "v. 1.1")), ("", MPL.replace("v. 2.0", "v. 2.1")), ("", ISC.replace("any\n", "any\n\n")), ("", f"No {ISC}"),
+             ("", "Licensed under the MIT License and more"), ("", "Licensed under the\nMIT. License"), ("", "Licensed. Under the MIT License")]
+    # A notice without a full stop ends at its line; copyright lines stand right before a sentence.
+    rows += [("MIT", "Licensed under the MIT License\nCopyright me"), ("MIT,CC0-1.0", "Licensed under the\nMIT License\nLicensed under CC0 1.0\n"),
+             ("Apache-2.0", "Copyright 2020 me\nLicensed under the Apache License, Version 2.0\n")]
+    found = licenses.licences(spark.createDataFrame(rows, "want string, text string")).selectExpr("want", "array_join(licences, ',') AS got").collect()
+    assert len(found) == len(rows) and [r["got"] for r in found] == [r["want"] for r in found]
+    whole = licenses.licences(spark.createDataFrame([(APACHE,)], "text string")).first()
+    assert whole["sentence_ids"] == ["apache-notice-the", "apache-obtain", "apache-asis", "apache-language"]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
