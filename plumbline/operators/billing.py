@@ -32,20 +32,22 @@ def subscription_patches(events: DataFrame) -> DataFrame:
     )
 
 
-def billing_state(events: DataFrame, subscriptions: DataFrame, order_by: str = "arrival_seq") -> DataFrame:
-    """Subscriptions after the events: the last write per customer wins, by arrival or by creation time.
-
-    Unknown customers have no row to update and are dropped.
-    """
+def last_patches(events: DataFrame, order_by: str = "arrival_seq") -> DataFrame:
+    """The last write per customer as struct ``p``, with its arrival."""
     patch = F.struct("subscription_id", "status", "price_id", "current_period_end")
-    last = (
+    order = F.struct(order_by, "arrival_seq")
+    return (
         subscription_patches(first_deliveries(events))
         .groupBy(F.col("customer_id").alias("stripe_customer_id"))
-        .agg(F.max_by(patch, F.struct(order_by, "arrival_seq")).alias("p"))
+        .agg(F.max_by(patch, order).alias("p"), F.max_by("arrival_seq", order).alias("arrival_seq"))
     )
+
+
+def apply_patches(subscriptions: DataFrame, last: DataFrame) -> DataFrame:
+    """Lay each customer's patch ``p`` over its row; customers without one stay as they are."""
     written = F.col("p").isNotNull()
     pick = lambda new, old: F.when(written, F.col(f"p.{new}")).otherwise(F.col(old))
-    return subscriptions.join(last, "stripe_customer_id", "left").select(
+    return subscriptions.join(last.select("stripe_customer_id", "p"), "stripe_customer_id", "left").select(
         "user_id", "stripe_customer_id",
         pick("subscription_id", "stripe_subscription_id").alias("stripe_subscription_id"),
         pick("status", "status").alias("status"), pick("price_id", "price_id").alias("price_id"),
@@ -53,6 +55,14 @@ def billing_state(events: DataFrame, subscriptions: DataFrame, order_by: str = "
     )
 
 
+def billing_state(events: DataFrame, subscriptions: DataFrame, order_by: str = "arrival_seq") -> DataFrame:
+    """Subscriptions after the events: the last write per customer wins, by arrival or by creation time.
+
+    Unknown customers have no row to update and are dropped.
+    """
+    return apply_patches(subscriptions, last_patches(events, order_by))
+
+
 def unknown_customers(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Events whose customer has no row: kept aside, never silently lost."""
     known = subscriptions.select(F.col("stripe_customer_id").alias("customer_id"))

@@ -89,11 +89,8 @@ def cache_hits(lookups: DataFrame, batch: str) -> DataFrame:
     return used.groupBy("cache_key").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def cache_upsert(cache: DataFrame, fresh: DataFrame, model: str, now: str, hits: DataFrame | None = None) -> DataFrame:
-    """Next snapshot: fresh model answers overwrite delta, model and time and keep the hit count.
-
-    ``fresh`` are answered findings only; fallbacks are never cached.
-    """
+def _next_entries(cache: DataFrame, fresh: DataFrame, model: str, now: str, hits: DataFrame | None) -> DataFrame:
+    """All entries after fresh answers and hits, with the flag ``changed``."""
     if hits is None:
         hits = cache.select("cache_key", F.lit(0).cast("bigint").alias("hits")).limit(0)
     latest = fresh.groupBy("cache_key").agg(F.max_by(F.struct(*DELTA), F.struct("ord", "id")).alias("f"))
@@ -105,4 +102,18 @@ def cache_upsert(cache: DataFrame, fresh: DataFrame, model: str, now: str, hits:
         F.when(written, F.lit(model)).otherwise(F.col("model")).alias("model"),
         F.when(written, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("created_at")).alias("created_at"),
         (F.coalesce("hit_count", F.lit(0)) + F.coalesce("hits", F.lit(0))).alias("hit_count"),
+        (written | (F.coalesce("hits", F.lit(0)) > 0)).alias("changed"),
     )
+
+
+def cache_changes(cache: DataFrame, fresh: DataFrame, model: str, now: str, hits: DataFrame | None = None) -> DataFrame:
+    """Only the entries that fresh answers or hits change: the rows that a store has to write."""
+    return _next_entries(cache, fresh, model, now, hits).filter("changed").drop("changed")
+
+
+def cache_upsert(cache: DataFrame, fresh: DataFrame, model: str, now: str, hits: DataFrame | None = None) -> DataFrame:
+    """Next snapshot: fresh model answers overwrite delta, model and time and keep the hit count.
+
+    ``fresh`` are answered findings only; fallbacks are never cached. ``cache_changes`` gives the changed rows alone.
+    """
+    return _next_entries(cache, fresh, model, now, hits).drop("changed")

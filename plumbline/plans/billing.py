@@ -252,6 +252,13 @@ def _hits(t):
     return en.cache_hits(en.cache_lookup(t.scan_findings(), _cache(t), "model-a"), "scan_id")
 
 
+def fresh_answers(t):
+    return en.with_cache_key(t.scan_findings()).filter(F.col("ord") % 5 == 0).select(
+        "cache_key", "ord", "id", F.lit("r").alias("req_id"), F.lit("t").alias("req_title"), F.lit("high").alias("likely"),
+        F.col("detail").alias("explanation"), F.array("remediation").alias("steps"), F.lit(None).cast("string").alias("example"),
+    )
+
+
 @query(
     "cache_upsert",
     f"""{_CACHE}, fresh AS (SELECT cache_key, arg_max(detail, (ord, id)) AS d FROM keyed WHERE ord % 5 = 0 GROUP BY cache_key)
@@ -262,11 +269,7 @@ def _hits(t):
     FROM cache c FULL JOIN fresh f ON f.cache_key = c.cache_key""",
 )
 def _upsert(t):
-    fresh = en.with_cache_key(t.scan_findings()).filter(F.col("ord") % 5 == 0).select(
-        "cache_key", "ord", "id", F.lit("r").alias("req_id"), F.lit("t").alias("req_title"), F.lit("high").alias("likely"),
-        F.col("detail").alias("explanation"), F.array("remediation").alias("steps"), F.lit(None).cast("string").alias("example"),
-    )
-    return en.cache_upsert(_cache(t), fresh, "model-a", "2024-06-01 00:00:00").select(
+    return en.cache_upsert(_cache(t), fresh_answers(t), "model-a", "2024-06-01 00:00:00").select(
         "cache_key", "model", "explanation", "created_at", "hit_count"
     )
 

@@ -37,6 +37,12 @@ closer AS (SELECT f.seq, min(a.seq) AS by_seq FROM first f JOIN requests a ON a.
 _CLAIMED = "claims AS (SELECT seq, seq + 400 AS claim_seq FROM first WHERE seq % 2 = 0)"
 
 
+def claims_of(requests):
+    """Every other job is claimed 400 places after it came."""
+    first = jb.jobs_from_events(requests)
+    return first.filter(F.col("seq") % 2 == 0).select("repo_id", "head_sha", (F.col("seq") + 400).alias("claim_seq"))
+
+
 @query(
     "superseded_jobs",
     f"""{_SUPERSEDED}, {_CLAIMED} SELECT f.seq, f.repo_id, f.head_sha,
@@ -47,9 +53,7 @@ _CLAIMED = "claims AS (SELECT seq, seq + 400 AS claim_seq FROM first WHERE seq %
 )
 def _superseded(t):
     requests = stage(ev.scan_requests(t.repo_events(), t.installations()))
-    first = jb.jobs_from_events(requests)
-    claims = first.filter(F.col("seq") % 2 == 0).select("repo_id", "head_sha", (F.col("seq") + 400).alias("claim_seq"))
-    return jb.supersede(requests, claims, block=1000).select(
+    return jb.supersede(requests, claims_of(requests), block=1000).select(
         "seq", "repo_id", "head_sha", "status", "closed_by_seq", "note"
     )
 
