@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import billing, controls, enrichment as en
-from plumbline.plans import oracle as o
+from plumbline import fixed_values as fv
+from plumbline.operators import billing, controls, enrichment as en, report
+from plumbline.plans import oracle as o, views
 from plumbline.plans import query
 from plumbline.plans.findings import _ENRICHED
 from plumbline.sources import archives, submissions as sub
@@ -275,12 +276,41 @@ def _upsert(t):
 
 
 # ---- archives --------------------------------------------------------------------------------
+_FAULT = "CASE file_seq % 50 " + " ".join(f"WHEN {n} THEN '{fault}'" for n, fault in views.ARCHIVE_FAULTS.items()) + " ELSE 'ok' END"
+_STATUS = f"CASE WHEN {_FAULT} IN ('cut', 'empty') THEN 'ok' ELSE {_FAULT} END"
+
+
+def _unpacked(t):
+    return archives.unpack_archives(t.archives(), max_archive=views.ARCHIVE_LIMIT)
+
+
 @query(
     "expanded_archives",
-    f"""WITH {o.FILES}, {o.CLASSIFIED}, direct AS (SELECT project_id || '-' || file_seq AS project_id, path, content FROM classified WHERE kind IS NOT NULL)
+    f"""WITH {o.FILES}, {o.CLASSIFIED}, direct AS (SELECT project_id || '-' || file_seq AS project_id, path, content FROM classified
+      WHERE kind IS NOT NULL AND {_FAULT} IN ('ok', 'cut'))
     SELECT project_id, path, sha256(content) AS digest, false AS truncated FROM direct
-    UNION ALL SELECT project_id || '-' || file_seq, 'long/' || repeat('d', 120) || '/a.ts', sha256(content), false FROM files""",
+    UNION ALL SELECT project_id || '-' || file_seq, 'long/' || repeat('d', 120) || '/a.ts', sha256(content), false FROM files WHERE {_FAULT} = 'ok'""",
 )
 def _archives(t):
-    expanded = archives.expand_archives(t.archives())
-    return expanded.select("project_id", "path", F.sha2("content", 256).alias("digest"), "truncated")
+    files, _ = _unpacked(t)
+    return files.select("project_id", "path", F.sha2("content", 256).alias("digest"), "truncated")
+
+
+@query("archive_statuses", f"WITH {o.FILES} SELECT project_id || '-' || file_seq AS project_id, {_STATUS} AS status, false AS truncated FROM files")
+def _statuses(t):
+    return _unpacked(t)[1]
+
+
+@query(
+    "archive_check_results",
+    f"""WITH {o.FILES} SELECT project_id || '-' || file_seq AS project_id, CASE WHEN {_STATUS} = 'ok' THEN 'success' ELSE 'neutral' END AS conclusion,
+      CASE WHEN {_STATUS} = 'ok' THEN 'read' ELSE {o.lit(fv.NEUTRAL_TITLE.replace("{tool}", fv.TOOL_NAME))} END AS title,
+      CASE WHEN {_STATUS} = 'ok' THEN '' ELSE replace({o.lit(fv.NEUTRAL_SUMMARY.replace("{tool}", fv.TOOL_NAME))}, '{{reason}}', {_STATUS}) END AS summary
+    FROM files""",
+)
+def _archive_results(t):
+    """Archives that could not be read end in a neutral check with the reason; the others get their report."""
+    _, statuses = _unpacked(t)
+    reports = statuses.select("project_id", F.lit("success").alias("conclusion"), F.lit("read").alias("title"), F.lit("").alias("summary"), F.lit("").alias("text"))
+    results = report.check_results(reports, archives.failed_archives(statuses), ["project_id"])
+    return results.select("project_id", "conclusion", "title", "summary")

@@ -50,6 +50,11 @@ SNIPPETS = [
 ]
 
 
+#: What is wrong with the archive of a document, by its number modulo 50, and the limit that over-long ones break.
+ARCHIVE_FAULTS = {7: "broken", 13: "cut", 21: "too_large", 29: "empty", 33: "not_gzip", 41: "missing"}
+ARCHIVE_LIMIT = 2_000_000
+
+
 def _pick(values: list[str], index: Column, n: Column) -> Column:
     chosen = F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
     return F.replace(chosen, F.lit("{n}"), n.cast("string"))
@@ -301,7 +306,11 @@ class Tables:
         )
 
     def archives(self) -> DataFrame:
-        """documents → one small gzip tar per document: its file, an ignored one and an over-long name."""
+        """documents → one small gzip tar per document: its file, an ignored one, a picture and an over-long name.
+
+        By its number an archive may also be cut within the packed stream, cut within the tar, over-long, empty, no
+        archive at all, or missing (``ARCHIVE_FAULTS``).
+        """
 
         def pack(batches):
             import gzip
@@ -312,18 +321,29 @@ class Tables:
 
             for batch in batches:
                 out = []
-                for project, path, content in zip(batch["project_id"], batch["path"], batch["content"]):
+                for project, number, path, content in zip(batch["project_id"], batch["file_seq"], batch["path"], batch["content"]):
+                    fault = ARCHIVE_FAULTS.get(int(number) % 50)
                     buffer = io.BytesIO()
                     with tarfile.open(fileobj=buffer, mode="w") as archive:
-                        for name in (path.replace("\\", "/"), "node_modules/x/" + path, "long/" + "d" * 120 + "/a.ts"):
-                            data = content.encode()
+                        names = (path.replace("\\", "/"), "node_modules/x/" + path, "logo.png", "long/" + "d" * 120 + "/a.ts")
+                        for name in () if fault == "empty" else names:
+                            data = b"\x89PNG\r\n\xff\x00" * 40 if name == "logo.png" else content.encode()
                             info = tarfile.TarInfo("wrapper-1/" + name)
                             info.size = len(data)
                             archive.addfile(info, io.BytesIO(data))
-                    out.append((project, gzip.compress(buffer.getvalue(), 1)))
+                    plain = buffer.getvalue()
+                    if fault == "cut":
+                        # Up to the middle of the last member: the files before it are whole.
+                        plain = plain[:plain.rindex(b"wrapper-1/long/") // 512 * 512 + 700]
+                    elif fault == "too_large":
+                        plain += bytes(ARCHIVE_LIMIT)
+                    packed = gzip.compress(plain, 1)
+                    if fault == "broken":
+                        packed = packed[:len(packed) // 2]
+                    out.append((project, None if fault == "missing" else b"no archive" if fault == "not_gzip" else packed))
                 yield pd.DataFrame(out, columns=["project_id", "archive"])
 
         files = self.files().select(
-            F.concat("project_id", F.lit("-"), F.col("file_seq").cast("string")).alias("project_id"), "path", "content"
+            F.concat("project_id", F.lit("-"), F.col("file_seq").cast("string")).alias("project_id"), "file_seq", "path", "content"
         )
         return files.mapInPandas(pack, "project_id string, archive binary")

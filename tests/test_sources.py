@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.scan import admit_files, scan_projects
 from plumbline.sources import sinks
-from plumbline.sources.archives import bad_archives, expand_archives
+from plumbline.sources.archives import expand_archives, failed_archives, repo_path, unpack_archives
 from plumbline.sources.tree import read_tree
 
 
@@ -62,17 +62,47 @@ def archive(*entries):
 
 
 def test_archives(spark):
+    whole = archive(("w/b.ts", "1"), ("w/a.sql", "2"), ("w/readme.md", "3"), ("w/link.ts", None), ("w/big.ts", "x" * 100),
+                    ("w/dist/c.ts", "4"), ("w/" + "d" * 150 + ".ts", "5"), ("w/z.ts", "6"), ("top.ts", "7"))
+    plain = gzip.decompress(whole)
+    pax = io.BytesIO()
+    with tarfile.open(fileobj=pax, mode="w", format=tarfile.PAX_FORMAT) as tar:
+        for name, text in (("w/" + "é" * 120 + ".ts", "p"), ("w/twice.ts", "old"), ("w/x.ts", "\udcff"), ("w/twice.ts", "new"), ("w/y.png", "\udc89PNG")):
+            info = tarfile.TarInfo(name)
+            data = text.encode("utf-8", "surrogateescape")
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
     rows = [
-        ("p", archive(("w/b.ts", "1"), ("w/a.sql", "2"), ("w/readme.md", "3"), ("w/link.ts", None), ("w/big.ts", "x" * 100),
-                      ("w/dist/c.ts", "4"), ("w/" + "d" * 150 + ".ts", "5"), ("w/z.ts", "6"), ("top.ts", "7"))),
-        ("bad", b"not an archive"),
+        ("p", whole), ("bad", b"not an archive"), ("none", None), ("nothing", b""), ("empty", archive()), ("half", whole[:len(whole) // 2]),
+        ("damaged", whole[:-8] + bytes(8)), ("cut", gzip.compress(plain[:plain.index(b"w/z.ts") + 512])), ("two", gzip.compress(plain[:700]) + gzip.compress(plain[700:])),
+        ("bomb", gzip.compress(plain + bytes(300_000))), ("pax", gzip.compress(pax.getvalue())), ("text", gzip.compress(b"x" * 600)),
     ]
     archives = spark.createDataFrame(rows, "project_id string, archive binary")
-    every = expand_archives(archives, max_bytes=50)
-    assert [r.path for r in every.orderBy("file_seq").collect()] == ["b.ts", "a.sql", "d" * 150 + ".ts", "z.ts"]
-    capped = expand_archives(archives, max_bytes=50, max_files=2).orderBy("file_seq").collect()
+    files, statuses = unpack_archives(archives, max_bytes=50, max_archive=100_000)
+    names = ["b.ts", "a.sql", "d" * 150 + ".ts", "z.ts"]
+    got = {}
+    for r in files.orderBy("file_seq").collect():
+        got.setdefault(r.project_id, []).append((r.path, r.content))
+    assert {k: [p for p, _ in v] for k, v in got.items() if k != "pax"} == {"p": names, "two": names, "cut": names[:3]}
+    assert got["p"] == list(zip(names, "1256"))
+    assert got["pax"] == [("é" * 120 + ".ts", "p"), ("twice.ts", "new"), ("x.ts", "\ufffd")]
+    assert {r.project_id: r.status for r in statuses.collect()} == {
+        "p": "ok", "bad": "not_gzip", "none": "missing", "nothing": "not_gzip", "empty": "ok", "half": "broken", "damaged": "broken", "cut": "ok",
+        "two": "ok", "bomb": "too_large", "pax": "ok", "text": "ok"}
+    assert sorted(r.project_id for r in failed_archives(statuses).collect()) == ["bad", "bomb", "damaged", "half", "none", "nothing"]
+    capped = expand_archives(archives.filter("project_id = 'p'"), max_bytes=50, max_files=2).orderBy("file_seq").collect()
     assert [(r.path, r.truncated) for r in capped] == [("b.ts", True), ("a.sql", True)]
-    assert [r.project_id for r in bad_archives(archives, every).collect()] == ["bad"]
+    exact, told = unpack_archives(archives.filter("project_id = 'p'"), max_bytes=50, max_files=4)
+    assert exact.count() == 4 and [r.truncated for r in told.collect()] == [False]
+
+
+def test_archive_paths_are_classified_like_columns(spark):
+    from plumbline.functions.paths import is_scannable_path, normalize_path
+
+    names = ["a.ts", "./a.ts", "././a.ts", "a/.ts", "a/b.", "dist/a.ts", "a/dist", "x\\node_modules\\a.js", "A.TS", "a.test.sql", ".env.js", "", "build.ts/x.mjs"]
+    rows = spark.createDataFrame([(n,) for n in names], "path string").select(
+        "path", F.when(is_scannable_path(F.col("path")), normalize_path(F.col("path"))).alias("want"))
+    assert {r.path: r.want for r in rows.collect()} == {n: repo_path("w/" + n) for n in names}
 
 
 def test_admission_of_a_hot_project(spark):
