@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.operators import ranking
+from plumbline.session import stage
 
 COMPARED = ["severity", "confidence", "asvs_category", "title", "file", "line", "detail", "remediation"]
 
@@ -24,13 +25,12 @@ def latest_baseline(scans: DataFrame) -> DataFrame:
     )
 
 
-def baseline_history(scans: DataFrame, period: str = "month") -> DataFrame:
+def baseline_history(scans: DataFrame, bound: int = ranking.BOUND) -> DataFrame:
     """``baseline_scan_id`` of every scan: the latest default-branch scan strictly before it."""
     keyed = F.col("installation_id").isNotNull() & F.col("repo").isNotNull()
     replayed = ranking.last_before(
-        scans.filter(keyed), ["installation_id", "repo"], [F.date_trunc(period, "created_at")],
-        [F.col("created_at"), F.col("scan_id")], F.when(~F.col("is_pull_request"), F.col("scan_id")),
-        "baseline_scan_id",
+        scans.filter(keyed), ["installation_id", "repo"], [F.col("created_at"), F.col("scan_id")],
+        F.when(~F.col("is_pull_request"), F.col("scan_id")), "baseline_scan_id", bound,
     )
     unkeyed = scans.filter(~keyed).withColumn("baseline_scan_id", F.lit(None).cast("long"))
     return replayed.unionByName(unkeyed)
@@ -64,31 +64,40 @@ def resolved_findings(findings: DataFrame, pairs: DataFrame) -> DataFrame:
     return _of_baseline(findings, pairs).join(current, ["scan_id", "id"], "left_anti")
 
 
-def persisted_posture(findings: DataFrame, scans: DataFrame, period: str = "month") -> DataFrame:
+def persisted_posture(findings: DataFrame, scans: DataFrame, bound: int = ranking.BOUND) -> DataFrame:
     """The persisted set of every scan, as a bag: new findings and carried-over ones, with ``status``.
 
     Carried rows are those of ``origin_scan_id``, the scan that began the unbroken run of default-branch scans
     with that id, so they keep its multiplicity and enrichment. A persisted set has the ids of its own scan;
-    the baseline's ids alone tell where a run begins, and nothing is folded scan by scan.
+    nothing is folded scan by scan. The default-branch scans of a repository are numbered; ``turn`` is a scan's own
+    number, or for a pull request that of its baseline. Along (repository, id) a run is unbroken while turns follow
+    each other by one, so both ordered passes over an id share one shuffle and one sort.
     """
-    place = ["installation_id", "repo", "is_pull_request", "created_at", "baseline_scan_id"]
-    history = baseline_history(scans, period).select("scan_id", *place)
-    present = findings.select("scan_id", "id").distinct().join(history, "scan_id")
-    known = present.filter(~F.col("is_pull_request")).select(
-        F.col("scan_id").alias("baseline_scan_id"), "id", F.lit(True).alias("__known")
-    )
-    status = F.when(F.col("__known"), "carried").otherwise("new")
-    marked = present.join(known, ["baseline_scan_id", "id"], "left").withColumn("status", status)
-    began = F.when(~F.col("is_pull_request") & (F.col("status") == "new"), F.col("scan_id"))
+    repo = ["installation_id", "repo"]
     keyed = F.col("installation_id").isNotNull() & F.col("repo").isNotNull()
+    default = ~F.col("is_pull_request")
+    place = scans.filter(keyed).select("scan_id", *repo, "created_at", "is_pull_request")
+    hot = ranking.hot_keys(place, repo, bound)
+    # The numbers 1, 2, ... of default-branch scans; a pull request stands behind the last one before it.
+    own = ranking.row_number(place.filter(default), repo, [F.col("created_at"), F.col("scan_id")], "turn", hot=hot)
+    pulls = place.filter(~default).withColumn("turn", F.lit(None).cast("long"))
+    timeline = stage(ranking.last_before(
+        own.unionByName(pulls), repo, [F.col("created_at"), F.col("scan_id")], F.col("turn"), "before", hot=hot
+    ).select("scan_id", *repo, "is_pull_request", F.coalesce("turn", "before", F.lit(0)).alias("turn")))
+    present = findings.select("scan_id", "id").distinct().join(timeline, "scan_id", "left")
+    keys = [*repo, "id"]
+    # Null-keyed scans have no baseline: all their findings are new.
+    marked = present.filter("repo IS NOT NULL") if hot is None else stage(present.filter("repo IS NOT NULL"))
+    order = [F.col("turn"), F.col("is_pull_request"), F.col("scan_id")]
+    seen = ranking.last_before(marked, keys, order, F.when(default, F.col("turn")), "__seen", hot=hot)
+    expected = F.when(default, F.col("turn") - 1).otherwise(F.col("turn"))
+    fresh = ~F.col("__seen").eqNullSafe(expected)
     runs = ranking.last_before(
-        marked.filter(keyed), ["installation_id", "repo", "id"], [F.date_trunc(period, "created_at")],
-        [F.col("created_at"), F.col("scan_id")], began, "__began",
-    )
-    origin = F.when(F.col("status") == "new", F.col("scan_id")).otherwise(F.col("__began")).alias("origin_scan_id")
-    origins = runs.select("scan_id", "id", "status", origin).unionByName(
-        marked.filter(~keyed).select("scan_id", "id", "status", F.col("scan_id").alias("origin_scan_id"))
-    )
+        seen.withColumn("__new", fresh), keys, order, F.when(default & F.col("__new"), F.col("scan_id")), "__began", hot=hot)
+    status = F.when(F.col("__new"), "new").otherwise("carried").alias("status")
+    origin = F.when(F.col("__new"), F.col("scan_id")).otherwise(F.col("__began")).alias("origin_scan_id")
+    alone = present.filter("repo IS NULL").select("scan_id", "id", F.lit("new").alias("status"), F.col("scan_id").alias("origin_scan_id"))
+    origins = runs.select("scan_id", "id", status, origin).unionByName(alone)
     return findings.withColumnRenamed("scan_id", "origin_scan_id").join(origins, ["origin_scan_id", "id"])
 
 

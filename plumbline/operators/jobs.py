@@ -19,22 +19,22 @@ def jobs_from_events(requests: DataFrame) -> DataFrame:
     return first.select("repo_id", "head_sha", "j.*")
 
 
-def next_other_commit(arrivals: DataFrame, block: int = 100_000) -> DataFrame:
+def next_other_commit(arrivals: DataFrame, bound: int = ranking.BOUND) -> DataFrame:
     """``superseded_by(seq, head_sha)`` of every arrival: the next arrival of its ref with another commit.
 
-    Runs over ALL arrivals, redelivered ones included. The sequence is cut into blocks, so one busy ref
-    does not end up in a single task. The two ordered passes read their input twice, so it is staged.
+    Runs over ALL arrivals, redelivered ones included. A ref with more than ``bound`` of them does not end up in a
+    single task. The two ordered passes read their input twice, so it is staged.
     """
-    bucket = [F.floor(F.col("seq") / block)]
     order = [F.col("seq")]
+    hot = ranking.hot_keys(arrivals, REF_KEYS, bound)
     here = F.struct("seq", "head_sha")
-    stepped = stage(ranking.last_before(arrivals, REF_KEYS, bucket, order, F.col("head_sha"), "__previous"))
+    stepped = stage(ranking.last_before(arrivals, REF_KEYS, order, F.col("head_sha"), "__previous", hot=hot))
     change = F.when(~F.col("head_sha").eqNullSafe(F.col("__previous")), here)
-    return ranking.first_after(stepped, REF_KEYS, bucket, order, change, "superseded_by").drop("__previous")
+    return ranking.first_after(stepped, REF_KEYS, order, change, "superseded_by", hot=hot).drop("__previous")
 
 
 def supersede(
-    arrivals: DataFrame, claims: DataFrame | None = None, ignore_redelivery: bool = False, block: int = 100_000
+    arrivals: DataFrame, claims: DataFrame | None = None, ignore_redelivery: bool = False, bound: int = ranking.BOUND
 ) -> DataFrame:
     """Jobs with the arrival that closed them while still queued.
 
@@ -42,7 +42,7 @@ def supersede(
     ``ignore_redelivery`` (a deviation) a repeated delivery of an old commit closes nothing.
     """
     arrivals = stage(jobs_from_events(arrivals) if ignore_redelivery else arrivals)
-    jobs = jobs_from_events(next_other_commit(arrivals, block))
+    jobs = jobs_from_events(next_other_commit(arrivals, bound))
     if claims is None:
         open_at = F.lit(True)
         joined = jobs
@@ -128,12 +128,9 @@ def next_claimable(jobs: DataFrame, as_of: str, limit: int = 1) -> DataFrame:
     return claimable(jobs, as_of).orderBy("created_at", "job_id").limit(limit)
 
 
-def fair_order(ready: DataFrame, period: str = "day") -> DataFrame:
+def fair_order(ready: DataFrame, bound: int = ranking.BOUND) -> DataFrame:
     """``round`` of each job: at most one job per installation per round, oldest first."""
-    return ranking.row_number(
-        ready, ["installation_id"], [F.date_trunc(period, "created_at")],
-        [F.col("created_at"), F.col("job_id")], "round",
-    )
+    return ranking.row_number(ready, ["installation_id"], [F.col("created_at"), F.col("job_id")], "round", bound)
 
 
 def run_totals(job_events: DataFrame, keys) -> DataFrame:

@@ -20,19 +20,15 @@ def window_counts(calls: DataFrame, seconds: int = fv.RATE_WINDOW_SECONDS) -> Da
 
 
 def rate_limit(
-    calls: DataFrame, seconds: int = fv.RATE_WINDOW_SECONDS, limit: int = fv.RATE_LIMIT, slices: int = 60
+    calls: DataFrame, seconds: int = fv.RATE_WINDOW_SECONDS, limit: int = fv.RATE_LIMIT, bound: int = ranking.BOUND
 ) -> DataFrame:
     """Verdict per call: the nth of its window, ``ok`` and the seconds until the next window.
 
-    A window is numbered in time slices, so a subject that floods one window is spread over tasks.
+    A subject that floods one window with more than ``bound`` calls is spread over tasks.
     """
     ts = F.col("ts")
-    width = max(seconds * 1000 // slices, 1)
     keyed = calls.withColumn("window_index", window_index(ts, seconds))
-    numbered = ranking.row_number(
-        keyed, ["subject", "window_index"], [F.floor(F.unix_millis(ts.cast("timestamp")) / width)],
-        [ts, F.col("call_id")], "nth",
-    )
+    numbered = ranking.row_number(keyed, ["subject", "window_index"], [ts, F.col("call_id")], "nth", bound)
     ok = F.col("nth") <= limit
     return numbered.withColumns(
         {"ok": ok, "retry_after_sec": F.when(ok, 0).otherwise(retry_seconds(ts, seconds)).cast("long")}

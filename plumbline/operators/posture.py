@@ -71,9 +71,9 @@ def overall_posture(areas: DataFrame, keys=("scan_id",)) -> DataFrame:
     )
 
 
-def area_findings(findings: DataFrame, keys=("scan_id",), block: int = 4096) -> DataFrame:
+def area_findings(findings: DataFrame, keys=("scan_id",), bound: int = ranking.BOUND) -> DataFrame:
     """The findings of each area in their order, numbered from 1."""
     return ranking.row_number(
         findings.filter(F.col("asvs_category").isin(fv.CATEGORIES)), [*keys, "asvs_category"],
-        [F.floor(F.col("ord") / block)], [F.col("ord"), F.col("id"), F.col("detail")], "position",
+        [F.col("ord"), F.col("id"), F.col("detail")], "position", bound,
     )

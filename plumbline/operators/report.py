@@ -31,23 +31,15 @@ def rule_order() -> Column:
 
 
 def number_findings(
-    findings: DataFrame, keys: Sequence[str], by_severity: bool = True, name: str = "position", block: int = 4096
+    findings: DataFrame, keys: Sequence[str], by_severity: bool = True, name: str = "position", bound: int = ranking.BOUND
 ) -> DataFrame:
     """1-based position per key: severity descending (stable) or plain order.
 
     ``ord`` is a number, or the struct ``rule_order``.
     """
     rank = 3 - severity_rank(F.col("severity"))
-    buckets = [rank] if by_severity else []
-    if isinstance(findings.schema["ord"].dataType, T.StructType):
-        text = isinstance(findings.schema["ord"].dataType["file_seq"].dataType, T.StringType)
-        file = F.col("ord.file_seq")
-        bucket = F.substring(F.coalesce(file, F.lit("")), 1, 16) if text else F.floor(F.coalesce(file, F.lit(-1)) / block)
-        buckets += [F.col("ord.check_no"), F.col("ord.phase"), bucket]
-    else:
-        buckets.append(F.floor(F.col("ord") / block))
     order = [rank] if by_severity else []
-    return ranking.row_number(findings, keys, buckets, [*order, *_tie(findings)], name)
+    return ranking.row_number(findings, keys, [*order, *_tie(findings)], name, bound)
 
 
 def annotations(findings: DataFrame, keys: Sequence[str], batch: int = fv.ANNOTATION_BATCH) -> DataFrame:

@@ -32,24 +32,21 @@ def classify(files: DataFrame) -> DataFrame:
 
 
 def admit_files(
-    files: DataFrame, max_bytes: int = fv.MAX_FILE_BYTES, max_files: int = fv.MAX_PROJECT_FILES, block: int = 4096
+    files: DataFrame, max_bytes: int = fv.MAX_FILE_BYTES, max_files: int = fv.MAX_PROJECT_FILES, bound: int = ranking.BOUND
 ) -> DataFrame:
     """Scannable files up to the size limit, the first ``max_files`` per project, with ``truncated``.
 
-    Contents are never shuffled: only projects above the limit are numbered, in ``file_seq`` blocks, and
-    the last admitted ``file_seq`` of each of them is joined back. A text ``file_seq`` is bucketed by its
-    first characters, which keep its order.
+    Only projects above the limit are numbered, and the last admitted ``file_seq`` of each of them is joined back.
+    There are at most files / ``max_files`` of these, so the planner mostly broadcasts them and the contents stay
+    where they are; beyond the broadcast threshold contents are shuffled by project, and AQE splits a hot one.
     """
-    text_key = isinstance(files.schema["file_seq"].dataType, StringType)
-    bucket = F.substring("file_seq", 1, 16) if text_key else F.floor(F.col("file_seq") / block)
     scannable = classify(files).filter(
         F.col("kind").isNotNull() & (F.octet_length("content") <= max_bytes)
     )
     places = stage(scannable.select("project_id", "file_seq"))
     crowded = places.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_files)
     numbered = ranking.row_number(
-        places.join(crowded.select("project_id"), "project_id", "left_semi"), ["project_id"],
-        [bucket], [F.col("file_seq")], "__rn",
+        places.join(crowded.select("project_id"), "project_id", "left_semi"), ["project_id"], [F.col("file_seq")], "__rn", bound,
     )
     last = stage(numbered.filter(F.col("__rn") == max_files).select("project_id", F.col("file_seq").alias("__last")))
     joined = scannable.join(last, "project_id", "left")

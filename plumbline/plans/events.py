@@ -53,7 +53,7 @@ def claims_of(requests):
 )
 def _superseded(t):
     requests = stage(ev.scan_requests(t.repo_events(), t.installations()))
-    return jb.supersede(requests, claims_of(requests), block=1000).select(
+    return jb.supersede(requests, claims_of(requests)).select(
         "seq", "repo_id", "head_sha", "status", "closed_by_seq", "note"
     )
 
@@ -63,7 +63,7 @@ def _superseded(t):
     f"{_SUPERSEDED} SELECT by_seq AS closed_by_seq, count(*) AS closed FROM closer GROUP BY by_seq",
 )
 def _superseded_counts(t):
-    return jb.superseded_counts(jb.supersede(ev.scan_requests(t.repo_events(), t.installations()), block=1000))
+    return jb.superseded_counts(jb.supersede(ev.scan_requests(t.repo_events(), t.installations())))
 
 
 @query(
@@ -74,7 +74,7 @@ def _superseded_counts(t):
 )
 def _superseded_once(t):
     requests = ev.scan_requests(t.repo_events(), t.installations())
-    return jb.supersede(requests, ignore_redelivery=True, block=1000).select("seq", "closed_by_seq")
+    return jb.supersede(requests, ignore_redelivery=True).select("seq", "closed_by_seq")
 
 
 @query(

@@ -112,7 +112,7 @@ def _scanned_counts(t):
     "SELECT project_id, file_seq, path, kind, CAST(bytes AS BIGINT) AS bytes, truncated FROM ranked WHERE rn <= 20",
 )
 def _admitted(t):
-    return admit_files(t.files(), max_bytes=20000, max_files=20, block=1000).select(
+    return admit_files(t.files(), max_bytes=20000, max_files=20).select(
         "project_id", "file_seq", "path", "kind",
         F.octet_length("content").cast("long").alias("bytes"), "truncated",
     )

@@ -85,7 +85,7 @@ def _released(t):
 def _jobs(t):
     requests = ev.scan_requests(t.repo_events(), t.installations())
     claims = stage(events.claims_of(requests))
-    store = drain(t.spark, arriving(t, requests, "seq"), lambda s: sj.jobs_step(s, block=1000, claims=lambda: claims))
+    store = drain(t.spark, arriving(t, requests, "seq"), lambda s: sj.jobs_step(s, claims=lambda: claims))
     return sj.jobs_with_status(store).select("seq", "repo_id", "head_sha", "status", "closed_by_seq", "note")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.operators import jobs as jb
+from plumbline.operators import jobs as jb, ranking
 from plumbline.session import stage
 from plumbline.streaming.ledger import unseen
 from plumbline.streaming.store import BatchStore, KeyedLog
@@ -30,7 +30,7 @@ def open_jobs(store: BatchStore, width: int = 8, buckets: int = 64) -> KeyedLog:
 
 
 def jobs_step(
-    store: BatchStore, block: int = 100_000, claims: Callable[[], DataFrame] | None = None, width: int = 8, buckets: int = 64,
+    store: BatchStore, bound: int = ranking.BOUND, claims: Callable[[], DataFrame] | None = None, width: int = 8, buckets: int = 64,
 ):
     """New commits become jobs; every arrival, redelivered or not, closes older queued jobs of its ref.
 
@@ -48,7 +48,7 @@ def jobs_step(
         # Only queued jobs of the refs that arrived can be closed now.
         refs = arrivals.select(*jb.REF_KEYS).distinct()
         older = stage(waiting.read(number, waiting.touched(arrivals)).select(*columns).join(refs, jb.REF_KEYS, "left_semi"))
-        after = jb.next_other_commit(older.unionByName(arrivals), block).filter(F.col("superseded_by").isNotNull())
+        after = jb.next_other_commit(older.unionByName(arrivals), bound).filter(F.col("superseded_by").isNotNull())
         now_open = older.unionByName(created)
         closing = now_open.join(after.select("seq", "superseded_by"), "seq", "left")
         if claims is not None:

@@ -38,7 +38,7 @@ def live_windows(store: BatchStore, width: int = 8, buckets: int = 64) -> KeyedL
 
 
 def verdict_step(
-    store: BatchStore, seconds: int = fv.RATE_WINDOW_SECONDS, limit: int = fv.RATE_LIMIT, slices: int = 60,
+    store: BatchStore, seconds: int = fv.RATE_WINDOW_SECONDS, limit: int = fv.RATE_LIMIT,
     grace_windows: int = 10, width: int = 8, buckets: int = 64,
 ):
     """Number each call of its window after the counts of earlier batches; rejected calls count too.
@@ -48,7 +48,7 @@ def verdict_step(
     their own window with the count that it has reached. A call of an expired window is let through, as its count
     starts anew there, and is listed in the side table ``late``.
 
-    A window is numbered in time slices, so a subject that floods one window is spread over tasks.
+    A subject that floods one window of a batch is spread over tasks (see ``ranking``).
     """
     counts, clock = live_windows(store, width, buckets), KeyedLog(store, "clock", CLOCK, ["name"], width=width, buckets=1)
     length = seconds * 1000
@@ -62,10 +62,8 @@ def verdict_step(
         late = F.lit(False) if horizon is None else end < horizon
         live = calls.filter(~late)
         earlier = counts.read(number, counts.touched(live), horizon).select("subject", "window_index", F.col("n").alias("before"))
-        numbered = ranking.row_number(
-            live, ["subject", "window_index"], [F.floor(F.unix_millis(ts.cast("timestamp")) / max(length // slices, 1))],
-            [ts, F.col("call_id")], "nth",
-        ).join(earlier, ["subject", "window_index"], "left")
+        numbered = ranking.row_number(live, ["subject", "window_index"], [ts, F.col("call_id")], "nth").join(
+            earlier, ["subject", "window_index"], "left")
         nth = F.col("nth") + F.coalesce("before", F.lit(0))
         ok = nth <= limit
         verdicts = numbered.select(

@@ -57,14 +57,14 @@ def test_diff_keeps_multiplicity(spark):
          finding(3, 0, "x"), finding(3, 1, "n"), finding(3, 2, "n"), finding(5, 0, "n")],
         FINDING,
     )
-    history = diff.baseline_history(scans, "minute")
+    history = diff.baseline_history(scans, bound=1)
     assert rows(history, "scan_id", "baseline_scan_id") == [(1, None), (2, 1), (3, 1), (4, None), (5, 3)]
     assert rows(diff.latest_baseline(scans), "installation_id", "repo", "baseline_scan_id") == [(7, "o/r", 5)]
     assert rows(diff.new_findings(found, history).filter("scan_id = 3"), "id") == [("n",), ("n",)]
     carried = diff.carried_findings(found, history)
     assert rows(carried.filter("scan_id = 3"), "id", "detail") == [("x", "old"), ("x", "old2")]
     assert rows(diff.resolved_findings(found, history).filter("scan_id = 3"), "id") == [("gone",)]
-    kept = diff.persisted_posture(found, scans, "minute")
+    kept = diff.persisted_posture(found, scans, bound=1)
     assert rows(kept.filter("scan_id = 5"), "id", "status") == [("n", "carried")] * 2
     assert diff.compare_sets(found, found.orderBy("id")).count() == 0
     assert diff.compare_sets(found, found.limit(6)).count() == 1
@@ -84,7 +84,7 @@ def test_persisted_posture_over_a_history(spark):
          finding(9, 0, "x", detail="alone")],
         FINDING,
     )
-    kept = diff.persisted_posture(found, scans, "minute")
+    kept = diff.persisted_posture(found, scans, bound=1)
     runs = [(s, i, f"{d}{o}", t) for s, i, d, o, t in rows(kept, "scan_id", "id", "detail", "origin_scan_id", "status")
             if i not in ("p", "y")]
     assert sorted(runs) == sorted(
@@ -217,13 +217,13 @@ def test_supersede_and_redelivery(spark):
     arrivals = spark.createDataFrame(
         [request(1, "a"), request(2, "b"), request(3, "b"), request(4, "c", "x", True), request(5, "a"), request(6, "c")], REQUEST
     )
-    got = jb.supersede(arrivals, block=2)
+    got = jb.supersede(arrivals, bound=2)
     # The late delivery of "a" closes "b" and queues nothing; "c" was first seen as a pull request.
     assert rows(got, "head_sha", "status", "closed_by_seq") == [("a", "done", 2), ("b", "done", 5), ("c", "queued", None)]
     assert rows(jb.superseded_counts(got), "closed_by_seq", "closed") == [(2, 1), (5, 1)]
     claims = spark.createDataFrame([(5, "b", 4)], "repo_id bigint, head_sha string, claim_seq bigint")
-    assert rows(jb.supersede(arrivals, claims, block=2).filter("head_sha = 'b'"), "status") == [("queued",)]
-    once = jb.supersede(arrivals, ignore_redelivery=True, block=2)
+    assert rows(jb.supersede(arrivals, claims, bound=2).filter("head_sha = 'b'"), "status") == [("queued",)]
+    once = jb.supersede(arrivals, ignore_redelivery=True, bound=2)
     assert rows(once, "head_sha", "closed_by_seq") == [("a", 2), ("b", None), ("c", None)]
 
 
@@ -253,7 +253,7 @@ def test_job_state_and_backlog(spark):
 def test_fair_order(spark):
     data = [(f"j{n}", 1 if n < 3 else 2, at(n)) for n in range(4)]
     ready = spark.createDataFrame(data, "job_id string, installation_id bigint, created_at timestamp_ntz")
-    ordered = jb.fair_order(ready, "minute").orderBy("round", "created_at").collect()
+    ordered = jb.fair_order(ready, bound=1).orderBy("round", "created_at").collect()
     assert [r.job_id for r in ordered] == ["j0", "j3", "j1", "j2"]
 
 

@@ -110,7 +110,7 @@ def test_admission_of_a_hot_project(spark):
         F.when(F.col("id") % 3 == 0, "cold").otherwise("hot").alias("project_id"), F.col("id").alias("file_seq"),
         F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".ts")).alias("path"), F.lit("x").alias("content"),
     )
-    got = admit_files(files, max_files=150, block=16)
+    got = admit_files(files, max_files=150, bound=50)
     counts = {r.project_id: (r.n, r.last, r.t) for r in got.groupBy("project_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("file_seq").alias("last"), F.max("truncated").alias("t")).collect()}
     assert counts == {"cold": (100, 297, False), "hot": (150, 224, True)}

@@ -132,9 +132,9 @@ def test_jobs_stream(spark, tmp_path):
     claims = jb.jobs_from_events(requests).filter(F.col("seq") % 3 == 0).select("repo_id", "head_sha", (F.col("seq") + 4).alias("claim_seq"))
     for name, given in (("free", None), ("claimed", claims)):
         store = BatchStore(spark, str(tmp_path / name))
-        step = sj.jobs_step(store, block=8, claims=None if given is None else lambda given=given: given, width=2, buckets=4)
+        step = sj.jobs_step(store, bound=8, claims=None if given is None else lambda given=given: given, width=2, buckets=4)
         run(stream(spark, requests, tmp_path / "in"), step, str(tmp_path / f"cp-{name}")).awaitTermination()
-        want = jb.supersede(requests, given, block=8)
+        want = jb.supersede(requests, given, bound=8)
         assert same(sj.all_jobs(store, 2, 4).read().withColumn("status", F.when(F.col("closed_by_seq").isNotNull(), "done").otherwise("queued")).select(*columns),
                     want.select(*columns))
     left = sj.open_jobs(store, 2, 4).read()
