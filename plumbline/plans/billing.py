@@ -70,7 +70,7 @@ def _flags(t):
 
 
 # ---- submissions -----------------------------------------------------------------------------
-_SUBMITTED = """WITH s AS (SELECT event_id AS submission_id, user_id, CASE WHEN event_id % 19 = 0 THEN 'not_json'
+_SUBMITTED = """WITH s AS (SELECT event_id AS submission_id, user_id, CASE WHEN event_id % 997 = 5 THEN 'too_large' WHEN event_id % 19 = 0 THEN 'not_json'
     WHEN event_id % 17 = 0 THEN 'no_findings_list' ELSE 'ok' END AS status FROM events),
 f AS (SELECT submission_id, i, row_number() OVER (PARTITION BY submission_id ORDER BY i) - 1 AS ord
   FROM s, UNNEST(range(1, submission_id % 130 + 2)) AS r(i) WHERE status = 'ok' AND i % 7 <> 3),
@@ -79,8 +79,8 @@ kept AS (SELECT * FROM f WHERE ord < 100)"""
 
 @query(
     "submission_headers",
-    f"""{_SUBMITTED} SELECT submission_id, status, CASE WHEN status <> 'not_json' AND submission_id % 3 <> 0 THEN 'org/r' END AS repo,
-    CASE WHEN status <> 'not_json' THEN 'main' END AS ref, coalesce(n, 0) AS valid
+    f"""{_SUBMITTED} SELECT submission_id, status, CASE WHEN status IN ('ok', 'no_findings_list') AND submission_id % 3 <> 0 THEN 'org/r' END AS repo,
+    CASE WHEN status IN ('ok', 'no_findings_list') THEN 'main' END AS ref, coalesce(n, 0) AS valid
     FROM s LEFT JOIN (SELECT submission_id, count(*) AS n FROM f GROUP BY submission_id) USING (submission_id)""",
 )
 def _headers(t):

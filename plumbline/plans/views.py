@@ -287,7 +287,7 @@ class Tables:
         )
 
     def submissions(self) -> DataFrame:
-        """events → JSON bodies with up to 129 findings; some fields are numbers, some bodies broken."""
+        """events → JSON bodies with up to 129 findings; some fields are numbers, some bodies broken or over-long."""
         n = F.col("event_id")
         finding = lambda i: F.concat(
             F.lit('{"id":"f'), i.cast("string"), F.lit('","title":"t","severity":"'),
@@ -300,7 +300,8 @@ class Tables:
             F.lit('{"repo":'), F.when(n % 3 == 0, F.lit("5")).otherwise(F.lit('"org/r"')), F.lit(',"ref":"main","findings":'),
             F.when(n % 17 == 0, F.lit("{}")).otherwise(F.concat(F.lit("["), items, F.lit("]"))), F.lit("}"),
         )
-        value = F.when(n % 19 == 0, F.lit("{broken")).otherwise(body)
+        padded = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(',"pad":"'), F.expr("repeat('x', 600000)"), F.lit('"}'))
+        value = F.when(n % 997 == 5, padded).when(n % 19 == 0, F.lit("{broken")).otherwise(body)
         return spread_small_input(self.table("events"), "event_id").select(
             n.alias("submission_id"), F.col("user_id"), F.col("ts"), value.alias("value")
         )

@@ -19,19 +19,20 @@ def _string(json: str, field: str) -> str:
 def parse_submissions(bodies: DataFrame, max_bytes: int = fv.MAX_SUBMISSION_BYTES) -> DataFrame:
     """``value`` JSON → header, ``status`` and the first 100 VALID findings as an array.
 
-    A finding is valid when its eight fields are JSON strings. The body is parsed once, strictly typed.
+    A finding is valid when its eight fields are JSON strings. The body is parsed once; all findings are typed in one
+    step, as bytes: only a JSON string turns into bytes, so a field is null unless it was one, and the bytes of the
+    valid ones are the text.
     """
-    items = "try_variant_get(v, '$.findings', 'array<variant>')"
-    typed = ", ".join(f"'{f}', {_string('f', f)}" for f in FIELDS)
-    line = "try_variant_get(f, '$.line', 'int')"
-    snippet = _string("f", "codeSnippet")
-    row = f"named_struct({typed}, 'line', {line}, 'code_snippet', {snippet})"
+    fields = ", ".join(f"{f}: binary" for f in FIELDS)
+    items = f"try_variant_get(v, '$.findings', 'array<struct<{fields}, line: int, codeSnippet: binary>>')"
+    texts = ", ".join(f"'{f}', cast(f.{f} AS string)" for f in FIELDS)
+    row = f"named_struct({texts}, 'line', f.line, 'code_snippet', cast(f.codeSnippet AS string))"
     valid = " AND ".join(f"f.{f} IS NOT NULL" for f in FIELDS)
     size = F.octet_length("value")
     # One-element arrays exploded: a generator's outcome is computed once, where a plain column would be
     # parsed again for every filter the optimizer moves below it.
     document = F.array(F.when(size <= max_bytes, F.try_parse_json("value")))
-    accepted = F.array(F.expr(f"filter(transform({items}, f -> {row}), f -> {valid})"))
+    accepted = F.array(F.expr(f"filter({items}, f -> {valid})"))
     parsed = bodies.select("*", F.explode(document).alias("v")).select("*", F.explode(accepted).alias("__all"))
     status = (
         F.when(size > max_bytes, "too_large").when(F.col("v").isNull(), "not_json")
@@ -43,7 +44,7 @@ def parse_submissions(bodies: DataFrame, max_bytes: int = fv.MAX_SUBMISSION_BYTE
             "repo": F.expr(_string("v", "repo")), "ref": F.expr(_string("v", "ref")),
             "commit_sha": F.expr(_string("v", "commitSha")),
             "valid": F.coalesce(F.size("__all"), F.lit(0)),
-            "findings": F.slice("__all", 1, fv.MAX_SUBMISSION_FINDINGS),
+            "findings": F.expr(f"transform(slice(__all, 1, {fv.MAX_SUBMISSION_FINDINGS}), f -> {row})"),
         }
     ).drop("v", "__all", "value")
 
