@@ -1,6 +1,6 @@
 """Annotations, report bodies, report documents and request texts.
 
-A scan may hold any number of findings. Numbering is bucketed; a body that is cut at N characters takes
+A scan may hold any number of findings. Numbering spreads hot keys; a body that is cut at N characters takes
 only the findings that can reach those characters; documents come in pages, each of a fixed size.
 """
 
@@ -9,16 +9,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
 
 from plumbline import fixed_values as fv
 from plumbline.functions.keys import annotation_level, category_label, severity_rank
 from plumbline.operators import ranking
 from plumbline.operators.gate import gate, severity_count_columns
 
-_SEPARATOR = "\\n\\n---\\n\\n"
-# A rendered finding has at least 18 characters of its own and 7 of separator.
-_MIN_RENDERED = 25
+SEPARATOR = "\n\n---\n\n"
+_SEPARATOR = SEPARATOR.replace("\n", "\\n")  # as a SQL literal spells it
 
 
 def _tie(df: DataFrame) -> list[Column]:
@@ -96,15 +95,19 @@ def report_text(
 ) -> DataFrame:
     """Findings in severity order joined into one text per key, cut at ``limit`` characters.
 
-    Only the first ``limit / 25`` findings can reach the cut, so no larger group is ever assembled.
+    A finding takes part when it or the separator before it begins below the limit, by the sum of the lengths. Separators alone reach the limit
+    after ``limit / 7`` findings, whatever ``rendered`` gives (null counts as empty), so every map task passes on at
+    most so many of a key, and no larger group is ever sorted or assembled.
     """
-    numbered = number_findings(findings, keys)
-    reach = math.ceil(limit / _MIN_RENDERED)
-    shown = numbered.filter(F.col("position") <= reach).withColumn(
-        "__md", rendered_finding() if rendered is None else rendered
-    )
-    joined = F.expr(f"listagg(__md, '{_SEPARATOR}') WITHIN GROUP (ORDER BY position)")
-    return shown.groupBy(*keys).agg(F.substring(joined, 1, limit).alias("text"))
+    order = [3 - severity_rank(F.col("severity")), *_tie(findings)]
+    window = Window.partitionBy(*keys).orderBy(*order)
+    reach = math.ceil(limit / len(SEPARATOR)) + 2
+    shown = findings.withColumn("__position", F.row_number().over(window)).filter(F.col("__position") <= reach).withColumn(
+        "__md", F.coalesce(rendered_finding() if rendered is None else rendered, F.lit("")))
+    before = F.sum(F.length("__md") + len(SEPARATOR)).over(window.rowsBetween(Window.unboundedPreceding, -1))
+    reaching = shown.withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") < limit + len(SEPARATOR))
+    joined = F.expr(f"listagg(__md, '{_SEPARATOR}') WITHIN GROUP (ORDER BY __position)")
+    return reaching.groupBy(*keys).agg(F.substring(joined, 1, limit).alias("text"))
 
 
 def _verdict(mode: str, fail_on: str) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators import diff, gate
+from plumbline.operators.report import rule_order
 from plumbline.operators.scan import FINDING_COLUMNS, scan_projects
 from plumbline.session import stage
 from plumbline.streaming.store import BatchStore
@@ -16,7 +17,7 @@ SCANS = (
     "findings_count bigint, high_count bigint, new_count bigint, would_block boolean, conclusion string"
 )
 FINDINGS = (
-    "scan_id bigint, ord bigint, id string, severity string, confidence string, asvs_category string, title string, "
+    "scan_id bigint, ord struct<check_no:int,phase:int,file_seq:bigint,step:int,pos:int>, id string, severity string, confidence string, asvs_category string, title string, "
     "file string, line int, detail string, remediation string, code_snippet string, status string"
 )
 
@@ -34,9 +35,7 @@ def scan_step(store: BatchStore, load_files: Callable[[DataFrame], DataFrame], m
     def step(batch: DataFrame, number: int) -> None:
         commits = stage(batch)
         found = scan_projects(load_files(commits)).withColumn("scan_id", F.col("project_id").cast("long"))
-        # Rule order as one number; the path keeps files apart.
-        ord_ = (F.col("check_no") * 2 + F.col("phase")).cast("long") * (1 << 56) + F.col("step").cast("long") * (1 << 40) + F.col("pos")
-        current = found.withColumn("ord", ord_).select("scan_id", "ord", *FINDING_COLUMNS[1:])
+        current = found.withColumn("ord", rule_order()).select("scan_id", "ord", *FINDING_COLUMNS[1:])
         based = diff.latest_baseline(store.read("scans", SCANS, before=number)).join(
             commits, ["installation_id", "repo"], "left_semi"
         )

@@ -160,6 +160,18 @@ def test_report_cut_is_exact(spark):
     )
     one = "### [HIGH] \n``  ·  definitive\n\n\n"
     assert report.report_text(many, ["scan_id"]).first().text == "\n\n---\n\n".join([one] * 5000)[:60000]
+    more = spark.range(12_000).select(
+        (F.col("id") % 2).alias("scan_id"), F.floor(F.col("id") / 2).alias("ord"), F.lit("i").alias("id"), F.lit("HIGH").alias("severity"), F.lit("").alias("detail"))
+    # Renderings of one character, of none, and of very different lengths.
+    shapes = {
+        "one": (F.lit("x"), lambda n: "x"), "none": (F.lit(None).cast("string"), lambda n: ""),
+        "mixed": (F.expr("repeat('y', cast(ord % 50 * (ord % 3) as int))"), lambda n: "y" * (n % 50 * (n % 3))),
+    }
+    for rendered, plain in shapes.values():
+        for limit in (60_000, 100, 7, 1):
+            want = "\n\n---\n\n".join(plain(n) for n in range(6000))[:limit]
+            got = report.report_text(more, ["scan_id"], rendered, limit).collect()
+            assert [r.text for r in got] == [want, want]
 
 
 def test_documents_in_pages(spark):

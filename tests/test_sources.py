@@ -116,13 +116,45 @@ def test_admission_of_a_hot_project(spark):
     assert counts == {"cold": (100, 297, False), "hot": (150, 224, True)}
 
 
+def test_commits_appear_once_or_not_at_all(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    day = lambda n: F.lit("2024-01-02 03:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=n.cast("int"))
+    scans = spark.range(200).select(F.col("id").alias("scan_id"), day(F.col("id") % 5).alias("created_at"))
+    findings = spark.range(4000).select((F.col("id") % 200).alias("scan_id"), F.col("id").cast("string").alias("id")).repartition(40)
+    mark = sinks._mark
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    sinks.write_scans(scans, findings, out, 0)
+    monkeypatch.setattr(sinks, "_mark", killed)
+    with pytest.raises(RuntimeError):
+        sinks.write_scans(scans, findings, out, 1)
+    assert sinks.committed(spark, out, "scan_findings").count() == 4000
+    monkeypatch.setattr(sinks, "_mark", mark)
+    for _ in range(2):
+        sinks.write_scans(scans, findings, out, 1)
+    stored = sinks.committed(spark, out, "scan_findings")
+    assert stored.count() == 8000 and sinks.committed(spark, out, "scans").count() == 400
+    assert stored.groupBy("commit", "scan_date").count().count() == 10
+    files = list((tmp_path / "out" / "scan_findings" / "commit=1").glob("scan_date=*/*.parquet"))
+    assert len(files) <= 2 * 5  # of 40 tasks that each hold all five dates
+
+
+def test_console_text(spark, tmp_path):
+    pages = spark.range(300).select(
+        F.concat(F.lit("p"), (F.col("id") % 100).cast("string")).alias("project_id"), F.floor(F.col("id") / 100).alias("page"),
+        F.lit("head").alias("head"), F.col("id").cast("string").alias("body"), F.lit("end").alias("summary"))
+    sinks.write_console(pages, str(tmp_path), "a", buckets=4)
+    sinks.write_console(pages, str(tmp_path), "a", buckets=4)
+    got = sinks.console_page(spark, str(tmp_path), "p7", buckets=4).orderBy("page").collect()
+    assert [(r["page"], r["value"]) for r in got] == [(n, f"head\n\n{7 + 100 * n}\n\nend") for n in range(3)]
+    assert len(list((tmp_path / "console" / "commit=a").glob("bucket=*"))) <= 4
+    sinks.write_results(pages.select("project_id"), str(tmp_path / "r"), 1)
+    assert sinks.committed(spark, str(tmp_path / "r"), "results").count() == 300
+
+
 def test_sinks(spark, tmp_path):
-    scans = spark.sql("select 1L scan_id, timestamp_ntz'2024-01-02 03:00:00' created_at, 2 findings_count")
-    findings = spark.sql("select 1L scan_id, explode(array('a', 'b')) id")
-    sinks.write_scans(scans, findings, str(tmp_path / "out"))
-    sinks.write_scans(scans, findings, str(tmp_path / "out"))
-    stored = spark.read.parquet(str(tmp_path / "out" / "scan_findings"))
-    assert stored.count() == 4 and "scan_date" in stored.columns
     docs = spark.sql("select '{\"a\":1}' json")
     sinks.write_documents(docs, str(tmp_path / "docs"))
     assert spark.read.text(str(tmp_path / "docs")).first()[0] == '{"a":1}'

@@ -272,3 +272,24 @@ def test_scan_stream(spark, tmp_path):
     scan_step(whole, load)(commits, 0)
     assert same(whole.read("scans", SCANS), store.read("scans", SCANS))
     assert same(whole.read("scan_findings", FINDINGS), store.read("scan_findings", FINDINGS))
+
+
+def test_streamed_findings_keep_rule_order(spark, tmp_path):
+    """Findings of two files, several rules and many matches come out position by position as from the batch scan."""
+    from plumbline.operators.report import number_findings, rule_order
+    from plumbline.operators.scan import scan_projects
+
+    code = "eval(a)\n" * 70 + "const f = new Function('x');\n" + "db.execute('select ' + a);\n" * 3
+    files = spark.createDataFrame(
+        [("1", n, p, t) for n, (p, t) in enumerate([("z.ts", code), ("a.ts", code), ("t.sql", "create table t (id int);\n" * 2), ("m.ts", "eval(b)")])],
+        "project_id string, file_seq bigint, path string, content string")
+    commits = spark.createDataFrame(
+        [(1, 7, "o/r", False, dt.datetime(2024, 1, 1))], "scan_id bigint, installation_id bigint, repo string, is_pull_request boolean, created_at timestamp_ntz")
+    store = BatchStore(spark, str(tmp_path))
+    scan_step(store, lambda c: files)(commits, 0)
+    shown = ["position", "severity", "title", "file", "line"]
+    want = number_findings(scan_projects(files).withColumn("ord", rule_order()), ["project_id"], by_severity=False).select(*shown)
+    got = number_findings(store.read("scan_findings", FINDINGS), ["scan_id"], by_severity=False).select(*shown)
+    assert same(got, want) and got.count() > 140
+    places = [(r.file, r.line) for r in got.orderBy("position").collect()]
+    assert places.index(("a.ts", 1)) > places.index(("z.ts", 70))  # file by file, not by path or id
