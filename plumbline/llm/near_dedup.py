@@ -11,8 +11,11 @@ class and only its smallest id goes on.
    threshold, and is then confirmed on the full sets. Confirmed links give components.
 2. Bands whose members still lie in several components are contested: all their pairs across components are
    compared in place (sizes, an odd sketch of 1,024 bits that bounds the symmetric difference, 128 one-bit
-   registers for large sets), and what can still be a link is confirmed in the same way. Nothing is capped; a pair at the very threshold
-   shares no band with a probability of about 3e-7.
+   registers for large sets), and what can still be a link is confirmed in the same way. Nothing is capped.
+3. Small sets have few bands to share, so sets of four to six shingles are also joined exactly: such a set is linked
+   with each set that it becomes by losing one shingle. All other links have six shingles or more in common: these
+   share no band only if all six lie in the bands of those that differ, with a chance of (2 / 40)^6 = 2e-8; for large
+   sets at the very threshold the chance is about 3e-7.
 
 Defined results: null and empty texts have an empty set, are linked with nothing and are kept; rows that share
 an id are one vertex, so they share a component; rows without an id are not linked, have no component and are
@@ -39,6 +42,7 @@ MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
 #: Expected share of equal registers of unrelated sets, from the HyperMinHash paper: 0.1699 * 2^-r.
 CHANCE = 0.1699 / 2 ** MANTISSA
+SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 ODD_BITS = 1024
 ODD = [f"odd_{i}" for i in range(ODD_BITS // 64)]
 BIT = ["bit_0", "bit_1"]
@@ -73,8 +77,14 @@ def registers(flat: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.where(taken, packed, EMPTY).reshape(rows, REGISTERS)
 
 
-def _sketch(size: int):
-    names = ["id", "n", "same_a", "same_b", "regs", *ODD, *BIT]
+def small_sizes(percent: int) -> range:
+    """Set sizes at which losing one shingle keeps the similarity, but two sets that differ both ways are too far."""
+    fits = [n for n in range(2, 101) if 100 * (n - 1) >= percent * n and 100 * (n - 1) < percent * (n + 1)]
+    return range(fits[0], fits[-1] + 1) if fits else range(0)
+
+
+def _sketch(size: int, small: range):
+    names = ["id", "n", "same_a", "same_b", "regs", "less", *ODD, *BIT]
 
     def run(batches):
         for batch in batches:
@@ -87,10 +97,15 @@ def _sketch(size: int):
                 row, rows = np.repeat(np.arange(b - a), n), b - a
                 regs = registers(flat, row, rows)
                 edge = np.concatenate([[0], np.cumsum(n)])
-                sums = []
-                for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat ^ np.uint64(salt)), dtype=np.uint64)])
+                sums, parts = [], []
+                for salt in SALTS:
+                    parts.append(mix(flat ^ np.uint64(salt)))
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(parts[-1], dtype=np.uint64)])
                     sums.append((total[edge[1:]] - total[edge[:-1]]).view(np.int64))
+                # For a small set the sums of the sets that lack one of its shingles.
+                short = np.isin(n, small)
+                less = (sums[0].view(np.uint64)[row] - parts[0]).view(np.int64)[short[row]]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(short, n, 0))]).astype(np.int32)), pa.array(less))
                 place = (mix(flat + np.uint64(77)) % np.uint64(ODD_BITS)).astype(np.int64)
                 odd = np.bincount(row * ODD_BITS + place, minlength=rows * ODD_BITS).reshape(rows, ODD_BITS) & 1
                 odd = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
@@ -100,7 +115,7 @@ def _sketch(size: int):
                 width = REGISTERS * 2
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, rows), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]),
-                    pa.array([raw[i * width:(i + 1) * width] for i in range(rows)], pa.binary()),
+                    pa.array([raw[i * width:(i + 1) * width] for i in range(rows)], pa.binary()), lists,
                     *[pa.array(np.ascontiguousarray(x)) for x in (*odd.T, *bits.T)],
                 ], names)
 
@@ -149,7 +164,7 @@ def _sets_of(size: int, bitmap):
             for a, b in row_slices(offsets):
                 sets = shingle_sets(Words(data, offsets[a:b + 1], WORD), size)
                 sums = [[int(mix(s ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                        for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+                        for salt in SALTS]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
@@ -174,10 +189,10 @@ def _confirmed(percent: int):
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
                     percent: int = 75, sigmas: float = 5.0) -> DataFrame:
     """One row per document: (id, n, component). Ids must be whole numbers."""
-    spark = docs.sparkSession
+    spark, small = docs.sparkSession, small_sizes(percent)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = stage(texts.mapInArrow(
-        _sketch(size), "id long, n long, same_a long, same_b long, regs binary, " + ", ".join(f"{c} long" for c in (*ODD, *BIT))))
+        _sketch(size, small), "id long, n long, same_a long, same_b long, regs binary, less array<long>, " + ", ".join(f"{c} long" for c in (*ODD, *BIT))))
     filled = sketches.where("n > 0 AND id IS NOT NULL")
     least = filled.groupBy("same_a", "same_b").agg(F.min("id").alias("class"))
     member = stage(filled.select("id", "same_a", "same_b").join(least, ["same_a", "same_b"]).select("id", "class", "same_a", "same_b"))
@@ -185,7 +200,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     one_each = ["id", "same_a", "same_b"]
     reps = stage(
         filled.join(chosen, one_each, "left_semi").dropDuplicates(one_each)
-        .select("id", "n", "same_a", "same_b", "regs", *ODD, *BIT))
+        .select("id", "n", "same_a", "same_b", "regs", "less", *ODD, *BIT))
     bands = reps.select("id", "regs").mapInArrow(_bands, "band long, id long")
     groups = bands.groupBy("band").agg(F.count("*").alias("many"), F.min("id").alias("low"), F.max("id").alias("high")).where("many > 1")
     shared = stage(bands.join(groups, "band").select("band", "id", "low", "high"))
@@ -208,9 +223,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             likely.join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b")
             .select("a", "b", "members_a", "members_b").mapInArrow(_confirmed(percent), "a long, b long").distinct())
 
-    stars = stage(
+    stars = (
         shared.where("low < id").select(F.col("low").alias("a"), F.col("id").alias("b"))
-        .union(shared.where("low < id AND id < high").select(F.col("id").alias("a"), F.col("high").alias("b"))).distinct())
+        .union(shared.where("low < id AND id < high").select(F.col("id").alias("a"), F.col("high").alias("b"))))
+    # Each set has one class, so a shingle's loss leads to one row at most, however many sets it leads there from.
+    whole = reps.where(F.col("n").isin([n - 1 for n in small])).select("same_a", F.col("id").alias("other"))
+    one_less = reps.where(F.size("less") > 0).select("id", F.explode("less").alias("same_a")).join(whole, "same_a").where("id <> other")
+    stars = stage(stars.union(one_less.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))).distinct())
     # Rows that share an id are one vertex: its classes hang together.
     repeated = member.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").drop("z")
     same_id = member.join(repeated, "id").select("a", F.col("class").alias("b")).where("a <> b")

@@ -381,3 +381,30 @@ def test_pipeline(spark, tmp_path):
             assert docs.columns == before.columns
     assert {"doc_id", "n_tokens"} <= set(docs.columns)
     assert isinstance(docs.schema["doc_id"].dataType, T.LongType)
+
+
+def test_small_sets_at_the_threshold_are_linked(spark):
+    """Texts of eight words and their first seven, all four shingles in one band of registers: no band is shared."""
+    from plumbline.llm import near_dedup as nd
+    from plumbline.llm.frames import text_buffers
+    from plumbline.llm.words import Words, mix
+
+    import pyarrow as pa
+
+    assert list(nd.small_sizes(75)) == [4, 5, 6]
+    r = np.random.default_rng(3)
+    texts = [" ".join(map(str, x)) for x in r.integers(0, 10**6, (500_000, 8))]
+    data, offsets = text_buffers(pa.array(texts))
+    sets = np.array(nd.shingle_sets(Words(data, offsets, nd.WORD), 5))
+    band = (mix(sets) % np.uint64(nd.REGISTERS)) // np.uint64(4)
+    alone = np.flatnonzero((band == band[:, :1]).all(axis=1) & (len(texts) > 0))
+    assert len(alone) >= 1
+    rows = [(2 * n + 1, texts[i]) for n, i in enumerate(alone)] + [(2 * n + 2, texts[i].rsplit(" ", 1)[0]) for n, i in enumerate(alone)]
+    # One more pair each of five and four, six and five shingles, a chain, and neighbours that only look alike.
+    rows += [(101, "a b c d e f g h i"), (102, "b c d e f g h i"), (103, "k l m n o p q r s t"), (104, "l m n o p q r s t"),
+             (105, "c d e f g h i"), (106, "u a b c d e f g"), (107, "k l m n o p q r s z")]
+    got = {x["id"]: x["component"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n in range(len(alone)):
+        assert got[2 * n + 2] == 2 * n + 1
+    # 107 and 103 share five of seven shingles, 106 and 101 three of six.
+    assert [got[n] for n in range(101, 108)] == [101, 101, 103, 103, 101, 106, 107]
