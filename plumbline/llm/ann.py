@@ -5,7 +5,8 @@ nor a task. Nodes are dealt to shards of about ``shard_size`` by a hash of the v
 at random; in two passes each node searches greedily for itself, and what it met is pruned: the nearest stays,
 and what lies closer to it by the factor alpha than to the node goes (alpha 1, then 1.2). Reverse edges are
 pruned alike. Then a beam search answers each query in each shard, and the shards' answers are merged. Every
-vector is indexed; scores are cosines of the original vectors in double precision.
+vector is indexed; scores are cosines of the original vectors in double precision, and ties among all that the beam
+holds go to the smaller id.
 
 Defined results: vectors that are null, zero or hold null, NaN or infinite parts take no part, nor do rows
 without an id; equal rows count once; an id with several vectors is a candidate with each, a query with each,
@@ -130,9 +131,14 @@ def _shard(k: int, beam: int):
                 asked = np.stack(queries["vector"].iloc[a:a + 512].to_numpy()).astype(np.float64)
                 lengths = np.linalg.norm(asked, axis=1)
                 found, _, _ = _search(unit, edges, entry, asked / lengths[:, None], beam)
-                for i, row in enumerate(found[:, :k + 1]):
+                for i, row in enumerate(found):
                     row = row[row >= 0]
                     scores = vectors[row] @ asked[i] / (norms[row] * lengths[i])
+                    # All nodes of the beam that tie with the last place stay in: ids decide among them. The vector of
+                    # the query itself may be one of the first.
+                    if len(row) > k + 1:
+                        near = scores >= np.partition(scores, -k - 1)[-k - 1]
+                        row, scores = row[near], scores[near]
                     best = sorted((-s, int(v)) for s, r in zip(scores.tolist(), row) for v in ids_of[r] if v != own[a + i])[:k]
                     columns["query_id"] += [own[a + i]] * len(best)
                     columns["query"] += [name[a + i]] * len(best)

@@ -408,3 +408,13 @@ def test_small_sets_at_the_threshold_are_linked(spark):
         assert got[2 * n + 2] == 2 * n + 1
     # 107 and 103 share five of seven shingles, 106 and 101 three of six.
     assert [got[n] for n in range(101, 108)] == [101, 101, 103, 103, 101, 106, 107]
+
+
+def test_nearest_ties_go_to_the_smaller_id(spark):
+    """Twenty multiples of the query by powers of two: different vectors with exactly equal cosines."""
+    base = np.random.default_rng(1).normal(size=16).astype(np.float32)
+    rows = [(0, base.tolist())] + [(i, (base * np.float32(2.0) ** (i - 10)).tolist()) for i in range(1, 21)]
+    rows += [(100 + i, v.tolist()) for i, v in enumerate(np.random.default_rng(5).normal(size=(300, 16)).astype(np.float32))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.nearest(table, table.where("vec_id = 0")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
