@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one per shard.
 
-Equal vectors are one node (with the few smallest ids that a result can show), so copies neither crowd a graph
-nor a task. Nodes are dealt to shards of about ``shard_size`` by a hash of the vector. A shard's graph starts
+Vectors of one direction (equal when divided by their lengths) are one node, with the few smallest ids that a
+result can show, so copies and exact multiples neither crowd a graph nor a task. Nodes are dealt to shards of about ``shard_size`` by a hash of the vector. A shard's graph starts
 at random; in two passes each node searches greedily for itself, and what it met is pruned: the nearest stays,
 and what lies closer to it by the factor alpha than to the node goes (alpha 1, then 1.2). Reverse edges are
 pruned alike. Then a beam search answers each query in each shard, and the shards' answers are merged. Every
@@ -160,10 +160,15 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def nearest(candidates: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding",
             k: int = 5, beam: int = 128, shard_size: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of each query, nearest first, ties to the smaller id."""
-    first = Window.partitionBy("vector").orderBy("id")
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    rows = usable(candidates, id_col, vector_col).withColumn("length", length)
+    # Vectors of one direction are one node; a length that under- or overflows stands for itself.
+    scaled = (F.col("length") > 0) & (F.col("length") < float("inf"))
+    rows = rows.withColumn("way", F.when(scaled, F.transform("vector", lambda x: x / F.col("length"))).otherwise(F.col("vector")))
+    first = Window.partitionBy("way").orderBy("id")
     nodes = (
-        usable(candidates, id_col, vector_col).withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
-        .groupBy("vector").agg(F.collect_list("id").alias("ids")))
+        rows.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
+        .groupBy("way").agg(F.min_by("vector", "id").alias("vector"), F.collect_list("id").alias("ids")))
     shards = max(1, -(-candidates.count() // shard_size))
     nodes = nodes.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vector"), F.lit(shards)).alias("shard"), "vector", "ids")
     asked = usable(queries, id_col, vector_col).select(
