@@ -1,6 +1,8 @@
 """The registered queries agree with their oracles at the smallest scale."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -54,3 +56,12 @@ def test_query_equals_oracle(spark, duck, name):
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["public_tokenizers", "plumbline.llm", "corpus_pipeline"])
+def test_missing_modules_leave_the_other_queries(name):
+    """A missing dependency of the training-data operators takes only their queries away."""
+    code = f"import sys; sys.modules[{name!r}] = None; import __spark_entry__ as e; print(len(e.queries()), sorted(e.queries())[:1])"
+    folder = os.path.dirname(os.path.abspath(entry.__file__))
+    done = subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True, check=True)
+    assert done.stdout.split()[0] == str(sum(not q.startswith("op") and q != "pipeline" for q in entry.queries())) and name in done.stderr
