@@ -1,5 +1,6 @@
 """The registered queries agree with their oracles at the smallest scale."""
 
+import importlib.util
 import os
 import subprocess
 import sys
@@ -58,6 +59,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="a checkout without these queries")
 @pytest.mark.parametrize("name", ["public_tokenizers", "plumbline.llm", "corpus_pipeline"])
 def test_missing_modules_leave_the_other_queries(name):
     """A missing dependency of the training-data operators takes only their queries away."""
