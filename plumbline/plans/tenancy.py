@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.functions import keys as k
-from plumbline.operators import setups as st, tenancy as tn
+from plumbline.operators import billing, events as ev, jobs as jb, setups as st, tenancy as tn
 from plumbline.plans import oracle as o
 from plumbline.plans import query
 
@@ -46,17 +48,49 @@ def _revoked(t):
     return tn.revoke(t.api_keys(), asked, _NOW).select("id", "revoked_at")
 
 
+# The nine tables that hang on a user and two shared ones, each with the key of its rows.
+_OWNED = {
+    "accounts": "SELECT c_custkey AS user_id, c_name AS key FROM customer",
+    "sessions": "SELECT user_id, CAST(event_id AS VARCHAR) AS key FROM events",
+    "subscriptions": "SELECT c_custkey AS user_id, 'cus_' || c_custkey AS key FROM customer WHERE c_custkey % 7 <> 0",
+    "api_keys": "SELECT user_id, id AS key FROM api_keys",
+    "scans": "SELECT user_id, CAST(scan_id AS VARCHAR) AS key FROM scans",
+    "installations": "SELECT user_id, CAST(installation_id AS VARCHAR) AS key FROM installations",
+    "repo_setups": "SELECT user_id, api_key_id AS key FROM repo_setups",
+    "jobs": "SELECT user_id, CAST(seq AS VARCHAR) AS key FROM requests QUALIFY row_number() OVER (PARTITION BY repo_id, head_sha ORDER BY seq) = 1",
+    "provider_connections": "SELECT c_custkey AS user_id, c_mktsegment || c_custkey AS key FROM customer WHERE c_custkey % 4 = 0",
+}
+_SHARED = {"rate_limits": "SELECT CAST(event_id AS VARCHAR) AS key FROM events", "event_ledger": "SELECT DISTINCT 'evt_' || event_id AS key FROM events"}
+
+
 @query(
     "purged_tables",
-    f"WITH {o.SCANS}, {o.API_KEYS} SELECT 'scans' AS name, count(*) AS rows FROM scans WHERE user_id % 8 <> 3 UNION ALL "
-    "SELECT 'api_keys', count(*) FROM api_keys WHERE user_id % 8 <> 3 UNION ALL SELECT 'rate_limits', count(*) FROM events",
+    f"WITH {o.SCANS}, {o.API_KEYS}, {o.SETUPS}, {o.REQUESTS} "
+    + " UNION ALL ".join(f"SELECT '{name}' AS name, key FROM ({rows}) WHERE user_id % 8 <> 3" for name, rows in _OWNED.items())
+    + "".join(f" UNION ALL SELECT '{name}', key FROM ({rows})" for name, rows in _SHARED.items()),
 )
 def _purged(t):
-    tables = {"scans": t.scans(), "api_keys": t.api_keys(), "rate_limits": t.table("events")}
-    gone = t.table("customer").filter(F.col("c_custkey") % 8 == 3).select(F.col("c_custkey").alias("user_id"))
-    left = tn.purge(tables, gone)
-    counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in left.items()]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    """Row for row: what is left of each table once every eighth user is gone."""
+    customer, events = t.table("customer"), t.table("events")
+    key, text = F.col("c_custkey"), lambda c: F.col(c).cast("string").alias("key")
+    requests = ev.scan_requests(t.repo_events(), t.installations())
+    tables = {
+        "accounts": customer.select(key.alias("user_id"), F.col("c_name").alias("key")),
+        "sessions": events.select("user_id", text("event_id")),
+        "subscriptions": t.subscriptions().select("user_id", F.col("stripe_customer_id").alias("key")),
+        "api_keys": t.api_keys().select("user_id", F.col("id").alias("key")),
+        "scans": t.scans().select("user_id", text("scan_id")),
+        "installations": t.installations().select("user_id", text("installation_id")),
+        "repo_setups": t.repo_setups().select("user_id", F.col("api_key_id").alias("key")),
+        "jobs": jb.jobs_from_events(requests).select("user_id", text("seq")),
+        "provider_connections": customer.filter(key % 4 == 0).select(
+            key.alias("user_id"), F.concat("c_mktsegment", key.cast("string")).alias("key")),
+        "rate_limits": events.select("user_id", text("event_id")),
+        "event_ledger": billing.first_deliveries(t.billing_events()).select(F.lit(3).cast("long").alias("user_id"), F.col("id").alias("key")),
+    }
+    ids = customer.select(F.explode(F.array(key, key + 1_000_000)).alias("user_id"))
+    left = tn.purge(tables, ids.filter(F.col("user_id") % 8 == 3))
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("name"), "key") for name, rows in left.items()])
 
 
 @query(
