@@ -14,7 +14,7 @@ import public_tokenizers
 from plumbline.llm import bpe
 from plumbline.llm.decontaminate import contamination
 from plumbline.llm.frames import read_table, staging_folder
-from plumbline.llm import ann, divergence, hard_negatives, licenses, pii, secrets, url_filter
+from plumbline.llm import ann, divergence, hard_negatives, licenses, oracles, pii, secrets, url_filter
 from plumbline.llm.html_extract import extract
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.substring_dedup import drop_repeated
@@ -38,6 +38,9 @@ def op1_decontamination(spark, sf_dir):
     )
 
 
+ORACLE["op1_decontamination"] = oracles.DECONTAMINATION
+
+
 @query
 def op8_html(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -53,6 +56,9 @@ def op9_near_dedup(spark, sf_dir):
     )
 
 
+ORACLE["op9_near_dedup"] = oracles.NEAR_DUPLICATES
+
+
 @query
 def op2_substring_dedup(spark, sf_dir):
     return drop_repeated(read_table(spark, sf_dir, "documents"), texts=False).withColumnRenamed("id", "doc_id")
@@ -102,6 +108,9 @@ def op6_secrets(spark, sf_dir):
         told(F.col("found")).alias("spans"))
 
 
+ORACLE["op6_secrets"] = oracles.secrets_oracle()
+
+
 @query
 def op10_licenses(spark, sf_dir):
     found = licenses.licences(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
