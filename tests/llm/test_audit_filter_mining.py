@@ -200,13 +200,13 @@ def test_intervals_hold():
     assert ((high - low) < 2.1 * length[::9, None] * length + 1).all()
 
 
-@pytest.mark.parametrize("name", ["op11_divergence", "op12_url_filter", "op13_hard_negatives"])
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_registered_columns(spark, name):
     duckdb = pytest.importorskip("duckdb")
     folder = "/root/testdata/sf0.001"
     connection = duckdb.connect()
     try:
-        for t in ("documents", "pages", "embeddings"):
+        for t in ("documents", "pages", "embeddings", "benchmark"):
             connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     except duckdb.Error:
         pytest.skip("no test data")

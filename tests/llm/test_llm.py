@@ -418,3 +418,30 @@ def test_nearest_ties_go_to_the_smaller_id(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = ann.nearest(table, table.where("vec_id = 0")).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
+
+
+def test_surrogates_never_run_out(spark):
+    """400 of the 676 addresses of one shape, and far more surnames than short surrogates of a gender."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{letters[i // 26]}@{letters[i % 26]}.com" for i in range(400)]
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string"), key="k").collect()
+    new = {r["text"] for r in got}
+    assert len(got) == 400 and len(new) == 400 and not new & set(mails)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.com", t) for t in new)
+    pool = spark.range(300_000).select(F.concat(F.lit("Mr "), F.initcap(F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "abcdefghij"))).alias("text"), F.col("id").alias("doc_id"))
+    names = pii.pseudonymise(pool, key="k")
+    assert names.select("text").distinct().count() == 300_000
+
+
+def test_names_keep_script_and_reference(spark):
+    texts = ["Mr John Smith met Mr Smith; John Smith left. Ms John Smith and Johnny Smith stay.", "Κύριος Γιώργος Παπαδόπουλος, Κυρία Παπαδοπούλου",
+             "السيد محمد علي", "Mr 王小明", "Mrs Smith", "Господин Иванов, Госпожа Иванова"]
+    rows = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Mr (\w+); (\w+) (\w+) left\. Ms (\w+) (\w+) and Johnny Smith stay\.", rows[0]["text"])
+    assert m and m[1] == m[4] and m[2] == m[3] == m[5] == m[7] and m[1] != m[6] and not {"John", "Smith"} & set(m.groups())
+    assert rows[4]["text"] == f"Mrs {m[2]}"
+    assert re.fullmatch("Κύριος [Α-Ωα-ως]+ [Α-Ωα-ως]+, Κυρία [Α-Ωα-ως]+", rows[1]["text"]) and "Γιώργος" not in rows[1]["text"]
+    assert re.fullmatch("السيد [ء-ي]+ [ء-ي]+", rows[2]["text"]) and "محمد" not in rows[2]["text"]
+    assert re.fullmatch("Mr [一-鿿]{3}", rows[3]["text"]) and "王小明" not in rows[3]["text"]
+    assert re.fullmatch("Господин [А-Я][а-я]+, Госпожа [А-Я][а-я]+(?:а|ая)", rows[5]["text"])
+    assert rows[0]["n_entities"] == 4 and rows[0]["n_distinct"] == 3
