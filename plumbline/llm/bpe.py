@@ -224,7 +224,7 @@ def _named(df: DataFrame, drop: str, add: str) -> str:
 
 
 def encode(docs: DataFrame, tokens: list[bytes], pattern: str, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array of int) in place of the text. ``tokens`` is a vocabulary, so of fixed size."""
+    """``docs`` with ``ids`` (array of int) in place of the text, and of a column ``ids``. ``tokens`` is a vocabulary, so of fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
     own = [c for c in docs.columns if c not in (text_col, "ids")]
     rows = docs.select(*own, F.col(text_col).cast("string").alias(text_col))

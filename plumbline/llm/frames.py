@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.session import stage, staging_folder
 
-__all__ = ["read_table", "row_key", "key_bitmap", "test_bits", "text_buffers", "row_slices", "stage", "staging_folder", "parallelism"]
+__all__ = ["read_table", "row_key", "spare_name", "key_bitmap", "test_bits", "text_buffers", "row_slices", "stage", "staging_folder", "parallelism"]
 
 BITMAP_BITS = 1 << 23
 SLICE_BYTES = 2 << 20
@@ -24,6 +24,14 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spare_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(*columns: str) -> Column:
     """A 128-bit key of a row's contents. Equal rows share it, and they also share every result."""
     parts = [p for c in columns for p in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull().cast("string"))]

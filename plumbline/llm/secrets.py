@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.frames import stage
+from plumbline.llm.frames import spare_name, stage
 
 RULE_VERSION = "1"
 
@@ -119,18 +119,21 @@ def addressed(versions: DataFrame, text_col: str = "text", blob_col: str = "blob
 
 
 def spans_of(versions: DataFrame, ledger: Ledger, *, text_col: str = "text", rules: list[Rule] = RULES,
-             rule_version: str = RULE_VERSION, keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns of every row, its blob, and ``found``: its spans by start, then by rule.
+             rule_version: str = RULE_VERSION, keep: list[str] | None = None, found_col: str = "found", blob_col: str = "_blob") -> DataFrame:
+    """The ``keep`` columns of every row, its blob, and ``found_col``: its spans by start, then by rule.
 
-    ``found`` is an array of (start, rank, kind, end), empty if there is none.
+    The spans are an array of (start, rank, kind, end), empty if there is none. Of the two added columns, one that
+    the rows have already is replaced.
     """
-    named = addressed(versions, text_col, "_blob")
-    ledger.update(named.select(F.col("_blob").alias("blob"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), rules, rule_version)
-    by_blob = ledger.findings(rule_version).groupBy(F.col("blob").alias("_blob")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("found"))
-    rows = named.select(*(versions.columns if keep is None else keep), "_blob")
-    return rows.join(by_blob, "_blob", "left").withColumn(
-        "found", F.coalesce("found", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")))
+    own = [c for c in (versions.columns if keep is None else keep) if c.lower() not in (found_col.lower(), blob_col.lower())]
+    inner = spare_name(versions, "_address")
+    named = addressed(versions, text_col, inner)
+    ledger.update(named.select(F.col(inner).alias("blob"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), rules, rule_version)
+    by_blob = ledger.findings(rule_version).groupBy(F.col("blob").alias(blob_col)).agg(
+        F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias(found_col))
+    rows = named.select(*own, F.col(inner).alias(blob_col))
+    return rows.join(by_blob, blob_col, "left").withColumn(
+        found_col, F.coalesce(found_col, F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")))
 
 
 def redact(text: Column, found: Column, mark: str) -> Column:
