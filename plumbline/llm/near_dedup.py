@@ -29,7 +29,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
@@ -43,6 +43,10 @@ EMPTY = np.uint16(0xFFFF)
 #: Expected share of equal registers of unrelated sets, from the HyperMinHash paper: 0.1699 * 2^-r.
 CHANCE = 0.1699 / 2 ** MANTISSA
 SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: Salts that the copies of one set are dealt over.
+SPREAD = 64
+#: The filter over candidate ids has 16 bits an id or more, within these bounds (128 KB to 32 MB a task).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 ODD_BITS = 1024
 ODD = [f"odd_{i}" for i in range(ODD_BITS // 64)]
 BIT = ["bit_0", "bit_1"]
@@ -154,13 +158,21 @@ def _likely(threshold: float, sigmas: float):
     return run
 
 
-def _sets_of(size: int, bitmap):
+def _maybe(bitmap):
+    """Rows (id, h, text) whose hash the filter may hold, without the hash."""
     def run(batches):
         bits = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             hashed = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            batch = batch.filter(pa.array(test_bits(bits, hashed)))
-            data, offsets = text_buffers(batch.column(2))
+            yield batch.filter(pa.array(test_bits(bits, hashed))).select([0, 2])
+
+    return run
+
+
+def _sets_of(size: int):
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
             for a, b in row_slices(offsets):
                 sets = shingle_sets(Words(data, offsets[a:b + 1], WORD), size)
                 sums = [[int(mix(s ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
@@ -194,8 +206,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sketches = stage(texts.mapInArrow(
         _sketch(size, small), "id long, n long, same_a long, same_b long, regs binary, less array<long>, " + ", ".join(f"{c} long" for c in (*ODD, *BIT))))
     filled = sketches.where("n > 0 AND id IS NOT NULL")
-    least = filled.groupBy("same_a", "same_b").agg(F.min("id").alias("class"))
-    member = stage(filled.select("id", "same_a", "same_b").join(least, ["same_a", "same_b"]).select("id", "class", "same_a", "same_b"))
+    # Copies of one set are dealt over salts: at most SPREAD rows a set are ordered together, and no join key holds them all.
+    salted = filled.select("id", "same_a", "same_b", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).alias("salt"))
+    dealt = ["same_a", "same_b", "salt"]
+    least = salted.groupBy(dealt).agg(F.min("id").alias("least")).select(
+        *dealt, F.min("least").over(Window.partitionBy("same_a", "same_b")).alias("class"))
+    member = stage(salted.join(least, dealt).select("id", "class", "same_a", "same_b"))
     chosen = member.where("id = class").select("id", "same_a", "same_b").distinct()
     one_each = ["id", "same_a", "same_b"]
     reps = stage(
@@ -213,11 +229,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             .select("a", "b", "regs_a", "regs_b").mapInArrow(_likely(percent / 100, sigmas), "a long, b long"))
         likely = stage(both.distinct())
         ends = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-        bitmap = spark.sparkContext.broadcast(key_bitmap(ends.select(F.xxhash64("id").alias("h")), "h"))
+        ends = stage(ends)
+        bits = min(max(1 << (16 * ends.count()).bit_length(), LEAST_BITS), MOST_BITS)
+        bitmap = spark.sparkContext.broadcast(key_bitmap(ends.select(F.xxhash64("id").alias("h")), "h", bits))
+        # Sets outgrow their texts, so texts go through the exact join and only those of candidates become sets.
         sets = (
             texts.where("id IS NOT NULL").select("id", F.xxhash64("id").alias("h"), "text")
-            .mapInArrow(_sets_of(size, bitmap), "id long, same_a long, same_b long, members binary")
-            .join(ends, "id", "left_semi").join(chosen, one_each, "left_semi").dropDuplicates(one_each).select("id", "members"))
+            .mapInArrow(_maybe(bitmap), "id long, text string").join(ends, "id", "left_semi")
+            .mapInArrow(_sets_of(size), "id long, same_a long, same_b long, members binary")
+            .join(chosen, one_each, "left_semi").dropDuplicates(one_each).select("id", "members"))
         sets = stage(sets)
         return stage(
             likely.join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b")

@@ -410,6 +410,13 @@ def test_small_sets_at_the_threshold_are_linked(spark):
     assert [got[n] for n in range(101, 108)] == [101, 101, 103, 103, 101, 106, 107]
 
 
+def test_copies_over_many_salts_are_one_class(spark):
+    copies = [(i, "one text that very many pages carry word for word in full") for i in range(1000, 1400)]
+    rows = [*copies, (7, copies[0][1] + " again"), (8, "a text of its own that shares nothing with any of the others")]
+    got = {x["id"]: x["component"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 8 if i == 8 else 7 for i, _ in rows}
+
+
 def test_nearest_ties_go_to_the_smaller_id(spark):
     """Twenty multiples of the query by powers of two: different vectors with exactly equal cosines."""
     base = np.random.default_rng(1).normal(size=16).astype(np.float32)
