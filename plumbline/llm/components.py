@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.frames import stage
 
+#: Salts that the edges of one vertex are dealt over.
+SPREAD = 64
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over (u, v) with u > v: hang neighbours on the least vertex that each vertex knows.
 
-    The least neighbour is an aggregation, so a hub's edges are reduced before the shuffle, and the join
-    back is one that adaptive execution can split.
+    The least neighbour is taken per salt first, so a hub's edges are reduced before the shuffle, at most SPREAD
+    rows a vertex are ordered together, and no key of the join back holds all edges of a hub.
     """
     seen = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = seen.join(least, "u")
+    seen = seen.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SPREAD)))
+    least = seen.groupBy("u", "salt").agg(F.min("v").alias("m")).select(
+        "u", "salt", F.least("u", F.min("m").over(Window.partitionBy("u"))).alias("m"))
+    joined = seen.join(least, ["u", "salt"])
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

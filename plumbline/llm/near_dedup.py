@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.components import components
+from plumbline.llm.components import SPREAD, components
 from plumbline.llm.frames import key_bitmap, row_slices, stage, test_bits, text_buffers
 from plumbline.llm.words import Words, byte_set, distinct, mix
 
@@ -43,8 +43,6 @@ EMPTY = np.uint16(0xFFFF)
 #: Expected share of equal registers of unrelated sets, from the HyperMinHash paper: 0.1699 * 2^-r.
 CHANCE = 0.1699 / 2 ** MANTISSA
 SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-#: Salts that the copies of one set are dealt over.
-SPREAD = 64
 #: The filter over candidate ids has 16 bits an id or more, within these bounds (128 KB to 32 MB a task).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 ODD_BITS = 1024
