@@ -308,6 +308,36 @@ def area_request_text(findings: DataFrame, areas: DataFrame, keys: Sequence[str]
     )
 
 
+def progress_totals(
+    admitted: DataFrame, findings: DataFrame, baseline: DataFrame, enriched: DataFrame | None = None, key: str = "project_id"
+) -> DataFrame:
+    """One row of totals per scanned project, as ``progress_rows`` takes it.
+
+    ``admitted`` comes from ``admit_files``, ``findings`` from the scan of these files, and ``baseline`` holds the rows
+    of the last scan. The persisted rows are the new findings and the baseline's rows that are still there.
+    ``enriched`` lists the projects whose new findings got answers. Projects without findings report zeros.
+    """
+    files = admitted.groupBy(key).agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.col("kind") == "code").alias("code"),
+        F.count_if(F.col("kind") == "sql").alias("sql"), F.bool_or("truncated").alias("truncated"),
+    )
+    new = findings.join(baseline.select(key, "id").distinct(), [key, "id"], "left_anti")
+    carried = baseline.join(findings.select(key, "id").distinct(), [key, "id"], "left_semi")
+    rows = findings.select(key, "severity", F.lit("seen").alias("part"))
+    for part, some in (("new", new), ("carried", carried)):
+        rows = rows.union(some.select(key, "severity", F.lit(part)))
+    stored = F.col("part") != "seen"
+    totals = rows.groupBy(key).agg(
+        F.count_if(~stored).alias("total"), F.count_if(F.col("part") == "new").alias("new"),
+        F.count_if(stored).alias("persisted"), F.count_if(stored & (F.col("severity") == "HIGH")).alias("high"),
+    )
+    joined = files.join(totals, key, "left").fillna(0, ["total", "new", "persisted", "high"])
+    if enriched is None:
+        return joined.withColumn("ai_enriched", F.lit(False))
+    answered = enriched.select(key, F.lit(True).alias("__answered")).distinct()
+    return joined.join(answered, key, "left").withColumn("ai_enriched", F.col("__answered").isNotNull() & (F.col("new") > 0)).drop("__answered")
+
+
 def progress_rows(projects: DataFrame) -> DataFrame:
     """Progress feed of a scan: counts only, never file contents. Input: one row of totals per project."""
     plural = lambda n: F.when(F.col(n) == 1, "").otherwise("s")

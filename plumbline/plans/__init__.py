@@ -25,4 +25,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from plumbline.plans import billing, events, files, findings, reports, streams, tenancy  # noqa: F401
+    from plumbline.plans import billing, edges, events, files, findings, reports, streams, tenancy  # noqa: F401

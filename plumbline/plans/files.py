@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.functions import paths
-from plumbline.operators.rules import rules_named
+from plumbline.functions.text import contains_any
+from plumbline.operators import report
+from plumbline.operators.rules import Rule, every_match, rules_named
 from plumbline.operators.scan import admit_files, apply_rules, classify, scan_projects, scanned_counts
 from plumbline.plans import oracle as o
 from plumbline.plans import query
+from plumbline.session import stage
 
 
 def _shown(findings):
@@ -54,21 +57,33 @@ def _scan(t):
 
 @query(
     "scan_in_rule_order",
-    f"WITH {o.findings_ctes()} SELECT project_id, rule, CAST(count(*) AS BIGINT) AS n, CAST(min(file_seq) AS BIGINT) AS first_file, "
-    "CAST(sum(coalesce(line, 0)) AS BIGINT) AS line_sum, CAST(max(pos) AS BIGINT) AS last_pos FROM findings "
-    "WHERE rule NOT LIKE 'A%' GROUP BY project_id, rule",
+    f"WITH {o.findings_ctes()} SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY {o.RULE_ORDER}) AS place, "
+    "rule, file, line, title FROM findings",
 )
 def _scan_order(t):
-    return (
-        scan_projects(t.files()).filter(~F.col("rule").like("A%")).groupBy("project_id", "rule")
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.min("file_seq").alias("first_file"),
-            F.sum(F.coalesce("line", F.lit(0))).alias("line_sum"),
-            F.max(F.when(F.col("rule").like("E%"), F.col("step")).otherwise(F.col("pos"))).cast("long").alias("last_pos"),
-        )
+    found = stage(scan_projects(t.files()).withColumn("ord", report.rule_order()))
+    return report.number_findings(found, ["project_id"], by_severity=False, name="place").select(
+        "project_id", "place", "rule", "file", F.col("line").cast("long").alias("line"), "title"
     )
 
 
+_EXPORTED = r"export const (\w+)"
+
+
+@query(
+    "scan_with_own_rule",
+    f"""WITH {o.FILES}, {o.CLASSIFIED}, hits AS ({o.every("'X1'", "code", _EXPORTED, 1, "groups[i]")})
+    SELECT project_id, 'pf_' || substr(sha256(path || '|Exported constant ' || arg || '|' || line), 1, 12) AS id, rule, path AS file,
+      CAST(line AS BIGINT) AS line, 'Exported constant ' || arg AS title FROM hits""",
+)
+def _own_rule(t):
+    """A rule of the user's own, registered beside the built-in ones."""
+    texts = (("X1", ("INFO", "CONFIG", "definitive", "Exported constant {arg}", "Exports {arg}.", "")),)
+    own = Rule("exported_constant", "code", every_match("X1", 9, _EXPORTED, 1), contains_any(["export const"]), texts)
+    found = apply_rules(t.files(), (*rules_named("dynamic_execution"), own)).filter("rule = 'X1'")
+    return found.select("project_id", "id", "rule", "file", F.col("line").cast("long").alias("line"), "title")
+
+
 @query(
     "classify_files",
     f"WITH {o.FILES}, {o.CLASSIFIED} SELECT project_id, file_seq, path, base, kind, "

@@ -166,6 +166,12 @@ findings AS (SELECT project_id,
   FROM titled)"""
 
 
+# Check by check, project-level findings first, tables without row security after the other SQL findings.
+RULE_ORDER = (
+    "ascii(rule), rule = 'B1', file_seq NULLS FIRST, "
+    "CASE WHEN rule = 'A2' THEN 1 WHEN rule = 'A3' THEN 2 WHEN rule LIKE 'E%' THEN pos ELSE 0 END, pos"
+)
+
 FINDING_SELECT = (
     "SELECT project_id, id, severity, confidence, asvs_category, title, file, line, detail, remediation FROM findings"
 )

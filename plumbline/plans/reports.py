@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.operators import controls, posture, report
-from plumbline.operators.scan import scan_projects, scanned_counts
-from plumbline.plans import oracle as o
+from plumbline.operators.scan import admit_files, scan_projects, scanned_counts
+from plumbline.plans import ORACLE, oracle as o
 from plumbline.plans import query
 from plumbline.plans.findings import _AREA_SQL, _ENRICHED, _SF
 from plumbline.session import stage
@@ -87,23 +87,23 @@ def _text_cut(t):
     return report.report_text(found, ["level"])
 
 
+_BLOCKED, _REPORTED = (o.lit(x.replace("{fail_on}", "HIGH")) for x in (fv.GATE_FAILED, fv.GATE_REPORT_ONLY))
+_NEUTRAL = [o.lit(x.replace("{tool}", fv.TOOL_NAME).replace("{reason}", "scan_error")) for x in (fv.NEUTRAL_TITLE, fv.NEUTRAL_SUMMARY, fv.NEUTRAL_TEXT)]
+
+
 @query(
     "check_results",
-    f"""{_SF}, c AS (SELECT scan_id, max({o.RANK}) AS r FROM scan_findings GROUP BY scan_id)
-    SELECT scan_id, CASE WHEN user_id % 17 = 0 THEN 'neutral' WHEN r >= 3 THEN 'neutral' ELSE 'success' END AS conclusion,
-      user_id % 17 = 0 AS failed, CASE WHEN user_id % 17 = 0 THEN '{fv.TOOL_NAME} could not complete this scan' ELSE 'ok' END AS title
-    FROM scans LEFT JOIN c USING (scan_id)""",
+    f"""SELECT b.scan_id, CASE WHEN failed OR would_block THEN 'neutral' ELSE 'success' END AS conclusion,
+      CASE WHEN failed THEN {_NEUTRAL[0]} ELSE title END AS title,
+      CASE WHEN failed THEN {_NEUTRAL[1]} ELSE replace(summary, {_BLOCKED}, {_REPORTED}) END AS summary,
+      CASE WHEN failed THEN {_NEUTRAL[2]} ELSE text END AS text
+    FROM ({ORACLE["report_bodies"]}) b
+    JOIN (SELECT o_orderkey AS scan_id, o_custkey % 17 = 0 AS failed FROM orders) u ON u.scan_id = b.scan_id""",
 )
 def _check_results(t):
     keys = ["scan_id"]
     failed = t.scans().filter(F.col("user_id") % 17 == 0).select("scan_id", F.lit("scan_error").alias("reason"))
-    results = report.check_results(
-        report.render_report(t.scan_findings(), keys, universe=t.scans()), failed, keys
-    )
-    broken = F.col("title").contains("could not complete")
-    return results.select(
-        "scan_id", "conclusion", broken.alias("failed"), F.when(broken, F.col("title")).otherwise("ok").alias("title")
-    )
+    return report.check_results(report.render_report(t.scan_findings(), keys, universe=t.scans()), failed, keys)
 
 
 @query(
@@ -185,28 +185,39 @@ def _console(t):
     return pages.groupBy("project_id", "head", "summary").agg(F.sum(entries).alias("entries"))
 
 
+# The scan of the admitted files only: at most 30 of a project, of 20,000 bytes at most.
+_ADMITTED_FINDINGS = o.findings_ctes().replace("classified AS (", "admissible AS (", 1).replace(
+    "hits AS (",
+    """ranked AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY file_seq) AS rn, count(*) OVER (PARTITION BY project_id) AS n
+  FROM admissible WHERE kind IS NOT NULL AND strlen(content) <= 20000),
+classified AS (SELECT * EXCLUDE (rn, n), n > 30 AS truncated FROM ranked WHERE rn <= 30),
+hits AS (""", 1)
+
+
 @query(
     "progress_feed",
-    f"""WITH {o.findings_ctes()}, s AS (SELECT p.project_id, count(c.path) AS files, count(*) FILTER (c.kind = 'code') AS code,
-        count(*) FILTER (c.kind = 'sql') AS sql FROM files p LEFT JOIN classified c USING (file_seq) GROUP BY p.project_id),
-    g AS (SELECT project_id, count(*) AS n, count(*) FILTER (severity = 'HIGH') AS h FROM findings GROUP BY project_id),
-    j AS (SELECT * FROM s JOIN g USING (project_id))
-    SELECT project_id, CAST(0 AS BIGINT) AS step, 'log' AS type, 'Downloaded ' || files || ' scannable file' || CASE WHEN files = 1 THEN '' ELSE 's' END || '.' AS message,
-      NULL::BIGINT AS findings, NULL::BIGINT AS high FROM j
-    UNION ALL SELECT project_id, 1, 'log', 'Scanned ' || code || ' code + ' || sql || ' SQL files — ' || n || ' finding'
-      || CASE WHEN n = 1 THEN '' ELSE 's' END || ' total.', NULL, NULL FROM j
-    UNION ALL SELECT project_id, 2, 'log', n || ' new since last scan.', NULL, NULL FROM j
-    UNION ALL SELECT project_id, 3, 'done', NULL, n, h FROM j""",
+    f"""WITH {_ADMITTED_FINDINGS}, s AS (SELECT project_id, count(*) AS files, count(*) FILTER (kind = 'code') AS code,
+        count(*) FILTER (kind = 'sql') AS sql, bool_or(truncated) AS truncated FROM classified GROUP BY project_id),
+    base AS (SELECT * FROM findings WHERE file_seq % 3 <> 0),
+    marked AS (SELECT *, (project_id, id) IN (SELECT (project_id, id) FROM base) AS known FROM findings),
+    kept AS (SELECT project_id, severity, true AS fresh FROM marked WHERE NOT known
+      UNION ALL SELECT project_id, severity, false FROM base),
+    g AS (SELECT project_id, count(*) AS total FROM findings GROUP BY project_id),
+    k AS (SELECT project_id, count(*) AS persisted, count(*) FILTER (fresh) AS new, count(*) FILTER (severity = 'HIGH') AS high FROM kept GROUP BY project_id),
+    j AS (SELECT s.project_id, files, code, sql, truncated, coalesce(total, 0) AS total, coalesce(persisted, 0) AS persisted,
+        coalesce(new, 0) AS new, coalesce(high, 0) AS high FROM s LEFT JOIN g USING (project_id) LEFT JOIN k USING (project_id))
+    SELECT project_id, CAST(0 AS BIGINT) AS step, 'log' AS type, 'Downloaded ' || files || ' scannable file' || CASE WHEN files = 1 THEN '' ELSE 's' END
+      || CASE WHEN truncated THEN ' (file cap reached)' ELSE '' END || '.' AS message, NULL::BIGINT AS findings, NULL::BIGINT AS high FROM j
+    UNION ALL SELECT project_id, 1, 'log', 'Scanned ' || code || ' code + ' || sql || ' SQL files — ' || total || ' finding'
+      || CASE WHEN total = 1 THEN '' ELSE 's' END || ' total.', NULL, NULL FROM j
+    UNION ALL SELECT project_id, 2, 'log', new || ' new since last scan.', NULL, NULL FROM j
+    UNION ALL SELECT project_id, 3, 'done', NULL, persisted, high FROM j""",
 )
 def _progress(t):
-    found = scan_projects(t.files()).groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("severity") == "HIGH").alias("high")
-    )
-    totals = scanned_counts(t.files()).join(found, "project_id").withColumns(
-        {
-            "truncated": F.lit(False), "new": F.col("total"), "persisted": F.col("total"), "ai_enriched": F.lit(False),
-        }
-    )
+    admitted = stage(admit_files(t.files(), max_bytes=20000, max_files=30))
+    found = stage(scan_projects(admitted.select("project_id", "file_seq", "path", "content")))
+    # The last scan saw the files that were there then: all but every third.
+    totals = report.progress_totals(admitted, found, found.filter("file_seq % 3 <> 0"))
     return report.progress_rows(totals).select(
         "project_id", F.col("step").cast("long").alias("step"), "type", "message", "findings", "high"
     )
