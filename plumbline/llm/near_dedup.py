@@ -9,7 +9,8 @@ class and only its smallest id goes on.
    copies gives 2 n pairs.
    A pair goes on if its register similarity, less the expected chance collisions, is not clearly below the
    threshold, and is then confirmed on the full sets. Confirmed links give components.
-2. Bands whose members still lie in several components are contested: all their pairs across components are
+2. Bands whose members still lie in several components are contested. Their members are compared with four further
+   ones in the same way (4 n pairs), which joins most large groups. Where several components are left, all pairs across components are
    compared in place (sizes, an odd sketch of 1,024 bits that bounds the symmetric difference, 128 one-bit
    registers for large sets), and what can still be a link is confirmed in the same way. Nothing is capped.
 3. Small sets have few bands to share, so sets of four to six shingles are also joined exactly: such a set is linked
@@ -43,6 +44,8 @@ EMPTY = np.uint16(0xFFFF)
 #: Expected share of equal registers of unrelated sets, from the HyperMinHash paper: 0.1699 * 2^-r.
 CHANCE = 0.1699 / 2 ** MANTISSA
 SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: Further members of a contested band that all others are compared with before any pairs are.
+PIVOTS = 4
 #: The filter over candidate ids has 16 bits an id or more, within these bounds (128 KB to 32 MB a task).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 ODD_BITS = 1024
@@ -252,10 +255,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     repeated = member.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").drop("z")
     same_id = member.join(repeated, "id").select("a", F.col("class").alias("b")).where("a <> b")
     links = confirm(stars).union(same_id)
-    labels = components(links)
 
-    labelled = shared.select("band", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").select(
-        "band", "id", F.coalesce("component", "id").alias("component"))
+    def by_component(labels: DataFrame) -> DataFrame:
+        return shared.select("band", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").select(
+            "band", "id", F.coalesce("component", "id").alias("component"))
+
+    # Stars around further members of each contested band: most large groups hang together after them.
+    labelled = by_component(components(links))
+    member_of = F.struct("id", "component")
+    pivots = stage(labelled.groupBy("band").agg(
+        (F.min("component") < F.max("component")).alias("split"),
+        F.array(*[F.min_by(member_of, F.xxhash64("id", F.lit(n))) for n in range(PIVOTS)]).alias("pivots"),
+    ).where("split").select("band", F.explode(F.array_distinct("pivots")).alias("pivot")))
+    more = labelled.join(pivots, "band").where("component <> pivot.component").select(
+        F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
+    more = stage(more.join(stars, ["a", "b"], "left_anti"))
+    links, stars = links.union(confirm(more)), stars.union(more)
+    labels = components(links)
+    labelled = by_component(labels)
     contested = labelled.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
     rows = stage(
