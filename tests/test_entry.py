@@ -17,6 +17,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = [
     "scan_projects", "admitted_files", "baseline_history", "findings_carried", "persisted_posture_history", "area_posture", "report_bodies",
     "superseded_jobs", "job_state", "rate_limit", "subscription_state", "cache_upsert", "setup_upserts",
+    "scan_in_rule_order", "progress_feed", "findings_from_enricher",
 ]
 
 
