@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.functions.keys import finding_id
-from plumbline.session import spread_small_input
+from plumbline.session import spread_by_key, spread_small_input
 
 PATHS = [
     "app/d{n}/route.ts", "pages/api/d{n}.js", "lib/m{n}.ts", "db/{n}.sql", "config/{n}/next.config.js",
@@ -117,7 +117,7 @@ class Tables:
         )
         title = text("Rule ", (part % 5).cast("string"))
         number = F.when(supp % 7 != 0, line.cast("int"))
-        return spread_small_input(self.table("lineitem"), "l_orderkey").select(
+        return spread_by_key(self.table("lineitem"), "l_orderkey").select(
             F.col("l_orderkey").alias("scan_id"),
             (line.cast("long") * 100000 + part % 100000).alias("ord"),
             finding_id(file, title, number).alias("id"),
@@ -302,7 +302,7 @@ class Tables:
         )
         padded = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(',"pad":"'), F.expr("repeat('x', 600000)"), F.lit('"}'))
         value = F.when(n % 997 == 5, padded).when(n % 19 == 0, F.lit("{broken")).otherwise(body)
-        return spread_small_input(self.table("events"), "event_id").select(
+        return spread_by_key(self.table("events"), "event_id").select(
             n.alias("submission_id"), F.col("user_id"), F.col("ts"), value.alias("value")
         )
 

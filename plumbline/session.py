@@ -51,6 +51,23 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Input bytes for one task of ``spread_by_key``.
+SPREAD_BYTES = 2 << 20
+
+
+def spread_by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread narrow rows by key into tasks of a fixed input size, by the planner's own size estimate.
+
+    For tables of short rows that grow on their way (texts, JSON bodies, sorted or hashed by the same key): the number
+    of tasks follows the table, so what one of them sorts, hashes or spills does not. Rows are shuffled while they are
+    narrow, and later steps by the same key need no further shuffle.
+    """
+    if df.isStreaming:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES)), *keys)
+
+
 def spread_small_input(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-spread an input with too few splits to keep the cores busy ahead of CPU-heavy rules.
 
