@@ -318,12 +318,12 @@ def request_text(findings: DataFrame, keys: Sequence[str], page_size: int = 100)
 def area_request_text(findings: DataFrame, areas: DataFrame, keys: Sequence[str], page_size: int = 100) -> DataFrame:
     """Request text of each (scan, area) with findings; ``areas`` comes from ``area_posture``."""
     paged = _paged_text(findings, [*keys, "asvs_category"], _request_block(False), page_size)
-    named = areas.select(
-        *keys, F.col("category").alias("asvs_category"), "label", "chapter", F.col("findings").alias("__all")
-    )
-    head = F.format_string("ASVS area: %s (%s)\nFindings in this area: %d\n\n", "label", "chapter", "__all")
-    return paged.join(named, [*keys, "asvs_category"]).select(
-        *keys, "asvs_category", "page", "findings", F.concat(head, "__body").alias("text")
+    # Joined by the scan alone: the pages already lie so, and their texts are not shuffled again.
+    head = F.format_string("ASVS area: %s (%s)\nFindings in this area: %d\n\n", "label", "chapter", "findings")
+    named = areas.groupBy(*keys).agg(F.collect_list(F.struct(F.col("category").alias("__area"), head.alias("__head"))).alias("__heads"))
+    own = F.filter("__heads", lambda a: a["__area"] == F.col("asvs_category"))
+    return paged.join(named, list(keys)).select("*", F.inline(own)).select(
+        *keys, "asvs_category", "page", "findings", F.concat("__head", "__body").alias("text")
     )
 
 
