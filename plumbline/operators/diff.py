@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline import fixed_values as fv
 from plumbline.operators import ranking
-from plumbline.session import stage
+from plumbline.session import spread_by_key, stage
 
 COMPARED = ["severity", "confidence", "asvs_category", "title", "file", "line", "detail", "remediation"]
 
@@ -84,10 +84,12 @@ def persisted_posture(findings: DataFrame, scans: DataFrame, bound: int = rankin
     timeline = stage(ranking.last_before(
         own.unionByName(pulls), repo, [F.col("created_at"), F.col("scan_id")], F.col("turn"), "before", hot=hot
     ).select("scan_id", *repo, "is_pull_request", F.coalesce("turn", "before", F.lit(0)).alias("turn")))
-    present = findings.select("scan_id", "id").distinct().join(timeline, "scan_id", "left")
+    present = stage(findings.select("scan_id", "id").distinct().join(timeline, "scan_id", "left"))
     keys = [*repo, "id"]
     # Null-keyed scans have no baseline: all their findings are new.
-    marked = present.filter("repo IS NOT NULL") if hot is None else stage(present.filter("repo IS NOT NULL"))
+    marked = present.filter("repo IS NOT NULL")
+    if hot is None:
+        marked = spread_by_key(marked, *keys)
     order = [F.col("turn"), F.col("is_pull_request"), F.col("scan_id")]
     seen = ranking.last_before(marked, keys, order, F.when(default, F.col("turn")), "__seen", hot=hot)
     expected = F.when(default, F.col("turn") - 1).otherwise(F.col("turn"))
