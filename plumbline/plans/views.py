@@ -313,38 +313,33 @@ class Tables:
         archive at all, or missing (``ARCHIVE_FAULTS``).
         """
 
-        def pack(batches):
+        def pack(number, path, content):
             import gzip
             import io
             import tarfile
 
-            import pandas as pd
-
-            for batch in batches:
-                out = []
-                for project, number, path, content in zip(batch["project_id"], batch["file_seq"], batch["path"], batch["content"]):
-                    fault = ARCHIVE_FAULTS.get(int(number) % 50)
-                    buffer = io.BytesIO()
-                    with tarfile.open(fileobj=buffer, mode="w") as archive:
-                        names = (path.replace("\\", "/"), "node_modules/x/" + path, "logo.png", "long/" + "d" * 120 + "/a.ts")
-                        for name in () if fault == "empty" else names:
-                            data = b"\x89PNG\r\n\xff\x00" * 40 if name == "logo.png" else content.encode()
-                            info = tarfile.TarInfo("wrapper-1/" + name)
-                            info.size = len(data)
-                            archive.addfile(info, io.BytesIO(data))
-                    plain = buffer.getvalue()
-                    if fault == "cut":
-                        # Up to the middle of the last member: the files before it are whole.
-                        plain = plain[:plain.rindex(b"wrapper-1/long/") // 512 * 512 + 700]
-                    elif fault == "too_large":
-                        plain += bytes(ARCHIVE_LIMIT)
-                    packed = gzip.compress(plain, 1)
-                    if fault == "broken":
-                        packed = packed[:len(packed) // 2]
-                    out.append((project, None if fault == "missing" else b"no archive" if fault == "not_gzip" else packed))
-                yield pd.DataFrame(out, columns=["project_id", "archive"])
+            fault = ARCHIVE_FAULTS.get(int(number) % 50)
+            buffer = io.BytesIO()
+            with tarfile.open(fileobj=buffer, mode="w") as archive:
+                names = (path.replace("\\", "/"), "node_modules/x/" + path, "logo.png", "long/" + "d" * 120 + "/a.ts")
+                for name in () if fault == "empty" else names:
+                    data = b"\x89PNG\r\n\xff\x00" * 40 if name == "logo.png" else content.encode()
+                    info = tarfile.TarInfo("wrapper-1/" + name)
+                    info.size = len(data)
+                    archive.addfile(info, io.BytesIO(data))
+            plain = buffer.getvalue()
+            if fault == "cut":
+                # Up to the middle of the last member: the files before it are whole.
+                plain = plain[:plain.rindex(b"wrapper-1/long/") // 512 * 512 + 700]
+            elif fault == "too_large":
+                plain += bytes(ARCHIVE_LIMIT)
+            packed = gzip.compress(plain, 1)
+            if fault == "broken":
+                packed = packed[:len(packed) // 2]
+            return None if fault == "missing" else b"no archive" if fault == "not_gzip" else packed
 
         files = self.files().select(
             F.concat("project_id", F.lit("-"), F.col("file_seq").cast("string")).alias("project_id"), "file_seq", "path", "content"
         )
-        return files.mapInPandas(pack, "project_id string, archive binary")
+        # Pickled a hundred rows at a time, so Python never holds an Arrow batch of texts with their archives.
+        return files.select("project_id", F.udf(pack, "binary", useArrow=False)("file_seq", "path", "content").alias("archive"))
