@@ -174,10 +174,11 @@ cache AS (SELECT DISTINCT cache_key, CASE WHEN substr(cache_key, 1, 1) < '8' THE
   FROM keyed WHERE substr(cache_key, 2, 1) < '8')"""
 
 
-def _cache(t):
-    keyed = en.with_cache_key(t.scan_findings()).select("cache_key").distinct()
+def _cache(t, keep=lambda keys: keys):
+    """The cache; ``keep`` may stage its keys."""
     first, second = F.substring("cache_key", 1, 1), F.substring("cache_key", 2, 1)
-    return keyed.filter(second < "8").select(
+    keyed = keep(en.with_cache_key(t.scan_findings()).select("cache_key").filter(second < "8").distinct())
+    return keyed.select(
         "cache_key", F.lit("cached").alias("req_id"), F.lit("cached title").alias("req_title"), F.lit("low").alias("likely"),
         F.concat(F.lit("cached "), F.col("cache_key")).alias("explanation"), F.array(F.lit("s")).alias("steps"),
         F.lit(None).cast("string").alias("example"),
