@@ -84,7 +84,7 @@ kept AS (SELECT * FROM f WHERE ord < 100)"""
     FROM s LEFT JOIN (SELECT submission_id, count(*) AS n FROM f GROUP BY submission_id) USING (submission_id)""",
 )
 def _headers(t):
-    parsed = sub.parse_submissions(t.submissions())
+    parsed = sub.parse_submissions(t.submissions(), kept=[])
     return parsed.select("submission_id", "status", "repo", "ref", F.col("valid").cast("long").alias("valid"))
 
 
@@ -94,7 +94,7 @@ def _headers(t):
     "CAST(i AS BIGINT) AS line FROM kept",
 )
 def _submitted(t):
-    rows = sub.submitted_findings(sub.parse_submissions(t.submissions()))
+    rows = sub.submitted_findings(sub.parse_submissions(t.submissions(), kept=["id", "severity", "line"]))
     return rows.select("submission_id", "ord", "id", "severity", F.col("line").cast("long").alias("line"))
 
 
@@ -107,7 +107,7 @@ def _submitted(t):
     FROM s LEFT JOIN c USING (submission_id) WHERE status = 'ok'""",
 )
 def _results(t):
-    parsed = sub.parse_submissions(t.submissions())
+    parsed = sub.parse_submissions(t.submissions(), kept=["severity"])
     result = sub.submission_result(parsed, F.col("user_id") % 3 != 0, F.col("submission_id") % 2 == 0)
     return result.select(
         "submission_id", "enrichment", "enrichment_error", "ai_enriched", "findings_count", "high_count"

@@ -315,6 +315,36 @@ def test_submissions(spark):
     ]
 
 
+def test_submissions_are_typed_outside_the_plan(spark):
+    good = {f: "x" for f in sub.FIELDS}
+    whole = json.dumps(good)[:-1]
+    lines = {"3": 3, "3.9": 3, "2147483648": None, '" 5 "': 5, '"5.0"': None, "true": 1, "1e3": 1000, "[1]": None}
+    texts = {
+        **{f'{{"findings":[{whole},"line":{text}}}]}}': ("ok", 1) for text in lines},
+        f'{{"findings":[{whole},"id":"y"}}]}}': ("not_json", 0), f'{{"findings":[{whole},"q" :"a:b"}}]}}': ("ok", 1),
+        '{"findings":[],"a":{"b":1,"b":2}}': ("not_json", 0), '{"findings":[]} x': ("ok", 0), '{"findings":[],"a":NaN}': ("not_json", 0),
+        '{"a":' + "[" * 999 + "]" * 999 + "}": ("no_findings_list", 0), '{"a":' + "[" * 1000 + "]" * 1000 + "}": ("not_json", 0),
+        '{"a":' + "1" * 1000 + "}": ("no_findings_list", 0), '{"a":' + "1" * 1001 + "}": ("not_json", 0),
+        f'{{"findings":[{whole},"codeSnippet":"\\ud800"}}]}}': ("ok", 1), "5 x": ("no_findings_list", 0), "5x": ("not_json", 0), "": ("not_json", 0),
+    }
+    bodies = spark.createDataFrame(list(enumerate([*texts, None])), "submission_id bigint, value string")
+    parsed = sub.parse_submissions(bodies)
+    outcome = lambda df: {r["submission_id"]: (r["status"], r["valid"]) for r in df.collect()}
+    assert outcome(parsed) == dict(enumerate([*texts.values(), ("not_json", 0)]))
+    found = {r["submission_id"]: r for r in sub.submitted_findings(parsed).collect()}
+    assert [found[i]["line"] for i in range(len(lines))] == list(lines.values())
+    assert "?" in {r["code_snippet"] for r in found.values()}
+    # What the caller does not read is checked but not returned.
+    few = sub.parse_submissions(bodies, kept=["severity", "line"])
+    assert few.schema["findings"].dataType.elementType.names == ["severity", "line"]
+    none = sub.parse_submissions(bodies, kept=[])
+    assert "findings" not in none.columns
+    for other in (few, none):
+        assert outcome(other) == outcome(parsed)
+    plan = parsed.filter("status = 'ok'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "variant" not in plan and plan.count("MapInArrow") == 1
+
+
 def test_scan_requests(spark):
     repo = {"id": 5, "full_name": "o/r", "default_branch": "main"}
     push = {"installation": {"id": 1}, "repository": repo, "after": "abc", "ref": "refs/heads/main"}
