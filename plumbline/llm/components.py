@@ -29,23 +29,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every vertex hangs on one vertex only, and that one on none: the outcome of the steps."""
+    ends = edges.select(F.col("u").alias("vertex"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(
+        edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("vertex").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where(
+        "hangs > 1 OR (hangs = 1 AND holds = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, component) for every vertex of ``edges`` (a, b); the component is its least vertex.
+    """(v, component) for every vertex of ``edges`` (a, b), as a written table; the component is its least vertex.
 
-    Each round is a written table; the loop ends when a round changes nothing, and only counts reach the driver.
+    Each round is a written table, too; the loop ends with stars, so edges that are stars already take no round.
+    Labels are stars: given back as edges with further ones, only what these join takes rounds.
     """
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = _state(now)
-    while True:
+    while not _are_stars(now):
         now = stage(_star(_star(now, large=True), large=False))
-        after = _state(now)
-        if after == state:
-            break
-        state = after
     own = now.select(F.col("v").alias("u"), "v").distinct()
-    return now.union(own).select(F.col("u").alias("v"), F.col("v").alias("component"))
+    return stage(now.union(own).select(F.col("u").alias("v"), F.col("v").alias("component")))

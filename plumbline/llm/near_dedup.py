@@ -254,14 +254,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Rows that share an id are one vertex: its classes hang together.
     repeated = member.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").drop("z")
     same_id = member.join(repeated, "id").select("a", F.col("class").alias("b")).where("a <> b")
-    links = confirm(stars).union(same_id)
+
+    def with_links(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The components after the links among staged pairs; without pairs they stay, and nothing is run."""
+        if pairs.isEmpty():
+            return labels
+        return components(labels.select(F.col("v").alias("a"), F.col("component").alias("b")).union(confirm(pairs)))
 
     def by_component(labels: DataFrame) -> DataFrame:
         return shared.select("band", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").select(
             "band", "id", F.coalesce("component", "id").alias("component"))
 
     # Stars around further members of each contested band: most large groups hang together after them.
-    labelled = by_component(components(links))
+    labels = components(confirm(stars).union(same_id))
+    labelled = by_component(labels)
     member_of = F.struct("id", "component")
     pivots = stage(labelled.groupBy("band").agg(
         (F.min("component") < F.max("component")).alias("split"),
@@ -270,8 +276,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = labelled.join(pivots, "band").where("component <> pivot.component").select(
         F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
     more = stage(more.join(stars, ["a", "b"], "left_anti"))
-    links, stars = links.union(confirm(more)), stars.union(more)
-    labels = components(links)
+    labels, stars = with_links(labels, more), stars.union(more)
     labelled = by_component(labels)
     contested = labelled.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
@@ -293,7 +298,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
     rest = x.join(y, possible).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(
         stars, ["a", "b"], "left_anti")
-    labels = components(links.union(confirm(stage(rest))))
+    labels = with_links(labels, stage(rest))
 
     joined = sketches.join(member.select("id", "class", "same_a", "same_b").distinct(), one_each, "left")
     return joined.join(labels.withColumnRenamed("v", "class"), "class", "left").select(
