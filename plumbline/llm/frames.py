@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from plumbline.session import stage, staging_folder
 
-__all__ = ["read_table", "row_key", "spare_name", "key_bitmap", "test_bits", "text_buffers", "row_slices", "stage", "staging_folder", "parallelism"]
+__all__ = ["read_table", "row_key", "spare_name", "key_bitmap", "test_bits", "text_buffers", "row_slices", "SMALL_SLICE_BYTES", "stage", "staging_folder", "parallelism"]
 
 BITMAP_BITS = 1 << 23
 SLICE_BYTES = 2 << 20
+#: For passes that hold many arrays over a slice: a Python worker keeps the most that it ever took.
+SMALL_SLICE_BYTES = 256 << 10
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

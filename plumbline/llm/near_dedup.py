@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import SPREAD, components
-from plumbline.llm.frames import key_bitmap, row_slices, stage, test_bits, text_buffers
+from plumbline.llm.frames import SMALL_SLICE_BYTES, key_bitmap, row_slices, stage, test_bits, text_buffers
 from plumbline.llm.words import Words, byte_set, distinct, mix
 
 WORD = ~byte_set((0x20, 0x20), (0x09, 0x0D))
@@ -46,7 +46,7 @@ CHANCE = 0.1699 / 2 ** MANTISSA
 SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Further members of a contested band that all others are compared with before any pairs are.
 PIVOTS = 4
-#: The filter over candidate ids has 16 bits an id or more, within these bounds (128 KB to 32 MB a task).
+#: The filter over candidate ids has 32 bits an id or more, within these bounds (128 KB to 32 MB a task).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 ODD_BITS = 1024
 ODD = [f"odd_{i}" for i in range(ODD_BITS // 64)]
@@ -94,7 +94,7 @@ def _sketch(size: int, small: range):
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for a, b in row_slices(offsets):
+            for a, b in row_slices(offsets, SMALL_SLICE_BYTES):
                 words = Words(data, offsets[a:b + 1], WORD)
                 sets = shingle_sets(words, size)
                 n = np.array([len(s) for s in sets])
@@ -159,22 +159,18 @@ def _likely(threshold: float, sigmas: float):
     return run
 
 
-def _maybe(bitmap):
-    """Rows (id, h, text) whose hash the filter may hold, without the hash."""
+def _sets_of(size: int, bitmap):
+    """The full sets of the rows (id, h, text) whose hash the filter may hold.
+
+    Filter and sets are one function: a task that chains two holds two Python workers, and an executor keeps them.
+    """
     def run(batches):
         bits = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             hashed = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            yield batch.filter(pa.array(test_bits(bits, hashed))).select([0, 2])
-
-    return run
-
-
-def _sets_of(size: int):
-    def run(batches):
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for a, b in row_slices(offsets):
+            batch = batch.filter(pa.array(test_bits(bits, hashed)))
+            data, offsets = text_buffers(batch.column(2))
+            for a, b in row_slices(offsets, SMALL_SLICE_BYTES):
                 sets = shingle_sets(Words(data, offsets[a:b + 1], WORD), size)
                 sums = [[int(mix(s ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                         for salt in SALTS]
@@ -231,14 +227,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         likely = stage(both.distinct())
         ends = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
         ends = stage(ends)
-        bits = min(max(1 << (16 * ends.count()).bit_length(), LEAST_BITS), MOST_BITS)
+        bits = min(max(1 << (32 * ends.count()).bit_length(), LEAST_BITS), MOST_BITS)
         bitmap = spark.sparkContext.broadcast(key_bitmap(ends.select(F.xxhash64("id").alias("h")), "h", bits))
-        # Sets outgrow their texts, so texts go through the exact join and only those of candidates become sets.
+        # The filter lets few other texts become sets (1 in 32 at most, until it has reached its bound); these end at the exact join.
         sets = (
             texts.where("id IS NOT NULL").select("id", F.xxhash64("id").alias("h"), "text")
-            .mapInArrow(_maybe(bitmap), "id long, text string").join(ends, "id", "left_semi")
-            .mapInArrow(_sets_of(size), "id long, same_a long, same_b long, members binary")
-            .join(chosen, one_each, "left_semi").dropDuplicates(one_each).select("id", "members"))
+            .mapInArrow(_sets_of(size, bitmap), "id long, same_a long, same_b long, members binary")
+            .join(ends, "id", "left_semi").join(chosen, one_each, "left_semi").dropDuplicates(one_each).select("id", "members"))
         sets = stage(sets)
         return stage(
             likely.join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b")

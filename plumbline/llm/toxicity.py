@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.frames import key_bitmap, row_slices, stage, test_bits, text_buffers
+from plumbline.llm.frames import SMALL_SLICE_BYTES, key_bitmap, row_slices, stage, test_bits, text_buffers
 from plumbline.llm.words import _BYTE, Words, byte_set, mix, powers
 
 TOKEN = ~byte_set((0x20, 0x20), (0x09, 0x0D))
@@ -126,7 +126,7 @@ def _vectors(lexicon, strong: float):
         persons = np.sort(hashes(SECOND_PERSON))
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for a, b in row_slices(offsets):
+            for a, b in row_slices(offsets, SMALL_SLICE_BYTES):
                 flat = _features(data, offsets[a:b + 1], keys, values, strong, persons)
                 ends = np.arange(0, flat.size + 1, FEATURES, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -143,7 +143,7 @@ def _vocabularies(bitmap):
             hashed = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             batch = batch.filter(pa.array(test_bits(bits, hashed)))
             data, offsets = text_buffers(batch.column(2))
-            for a, b in row_slices(offsets):
+            for a, b in row_slices(offsets, SMALL_SLICE_BYTES):
                 tokens = Words(data, offsets[a:b + 1], TOKEN)
                 bare, first, last = _folded(tokens, np.arange(256, dtype=np.uint8))
                 left = tokens.text[ALNUM[tokens.text]].tobytes()

@@ -6,6 +6,8 @@ import numpy as np
 
 _RATE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
+#: The powers that are kept grow by whole steps of so many.
+POWER_STEP = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,7 +54,7 @@ def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash rate and their inverses modulo 2^64, at least ``n`` of each."""
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 21)
+        n = -(-n // POWER_STEP) * POWER_STEP
         both = []
         for rate in (_RATE, pow(_RATE, -1, 1 << 64)):
             steps = np.full(n, rate, np.uint64)
