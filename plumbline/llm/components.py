@@ -15,17 +15,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over (u, v) with u > v: hang neighbours on the least vertex that each vertex knows.
 
     The least neighbour is taken per salt first, so a hub's edges are reduced before the shuffle, at most SPREAD
-    rows a vertex are ordered together, and no key of the join back holds all edges of a hub.
+    rows a vertex are ordered together, and no key of the join back holds all edges of a hub. Both take the edges from
+    one shuffle.
     """
-    seen = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    seen = seen.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SPREAD)))
+    seen = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))) if large else edges
+    seen = seen.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SPREAD))).repartition("u", "salt")
     least = seen.groupBy("u", "salt").agg(F.min("v").alias("m")).select(
         "u", "salt", F.least("u", F.min("m").over(Window.partitionBy("u"))).alias("m"))
     joined = seen.join(least, ["u", "salt"])
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
+        moved = joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return moved.where("u <> v").distinct()
 
 

@@ -5,12 +5,11 @@ per shingle picks one of 160 buckets; each bucket keeps its least hash as a regi
 leading zeros and the 10 bits behind the leading one. Four registers are a band. Texts with equal sets are one
 class and only its smallest id goes on.
 
-1. Members of a band are compared with the band's least and greatest id only (two stars), so a group of n
-   copies gives 2 n pairs.
+1. Members of a band are compared with the band's least and greatest id and four further members only (six stars),
+   so a group of n copies gives 6 n pairs.
    A pair goes on if its register similarity, less the expected chance collisions, is not clearly below the
    threshold, and is then confirmed on the full sets. Confirmed links give components.
-2. Bands whose members still lie in several components are contested. Their members are compared with four further
-   ones in the same way (4 n pairs), which joins most large groups. Where several components are left, all pairs across components are
+2. Bands whose members still lie in several components are contested. All pairs of their members across components are
    compared in place (sizes, an odd sketch of 1,024 bits that bounds the symmetric difference, 128 one-bit
    registers for large sets), and what can still be a link is confirmed in the same way. Nothing is capped.
 3. Small sets have few bands to share, so sets of four to six shingles are also joined exactly: such a set is linked
@@ -44,9 +43,9 @@ EMPTY = np.uint16(0xFFFF)
 #: Expected share of equal registers of unrelated sets, from the HyperMinHash paper: 0.1699 * 2^-r.
 CHANCE = 0.1699 / 2 ** MANTISSA
 SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-#: Further members of a contested band that all others are compared with before any pairs are.
+#: Members of a band, besides its least and greatest id, that all others are compared with.
 PIVOTS = 4
-#: The filter over candidate ids has 32 bits an id or more, within these bounds (128 KB to 32 MB a task).
+#: The filter over candidate ids has 16 bits an id or more, within these bounds (128 KB to 32 MB a task).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 ODD_BITS = 1024
 ODD = [f"odd_{i}" for i in range(ODD_BITS // 64)]
@@ -215,33 +214,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         filled.join(chosen, one_each, "left_semi").dropDuplicates(one_each)
         .select("id", "n", "same_a", "same_b", "regs", "less", *ODD, *BIT))
     bands = reps.select("id", "regs").mapInArrow(_bands, "band long, id long")
-    groups = bands.groupBy("band").agg(F.count("*").alias("many"), F.min("id").alias("low"), F.max("id").alias("high")).where("many > 1")
-    shared = stage(bands.join(groups, "band").select("band", "id", "low", "high"))
+    hubs = F.array(F.min("id"), F.max("id"), *[F.min_by("id", F.xxhash64("id", F.lit(n))) for n in range(PIVOTS)])
+    groups = bands.groupBy("band").agg(F.count("*").alias("many"), F.array_distinct(hubs).alias("hubs")).where("many > 1")
+    shared = stage(bands.join(groups, "band").select("band", "id", "hubs"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links: first by registers, then on the full sets."""
+        """The pairs (a, b) that are links, some more than once: first by registers, then on the full sets."""
         registers_of = reps.select("id", "regs")
         both = (
             pairs.join(registers_of.toDF("a", "regs_a"), "a").join(registers_of.toDF("b", "regs_b"), "b")
             .select("a", "b", "regs_a", "regs_b").mapInArrow(_likely(percent / 100, sigmas), "a long, b long"))
         likely = stage(both.distinct())
-        ends = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-        ends = stage(ends)
-        bits = min(max(1 << (32 * ends.count()).bit_length(), LEAST_BITS), MOST_BITS)
+        ends = likely.select(F.explode(F.array("a", "b")).alias("id"))
+        bits = min(max(1 << (32 * likely.count()).bit_length(), LEAST_BITS), MOST_BITS)
         bitmap = spark.sparkContext.broadcast(key_bitmap(ends.select(F.xxhash64("id").alias("h")), "h", bits))
-        # The filter lets few other texts become sets (1 in 32 at most, until it has reached its bound); these end at the exact join.
+        # The filter lets few other texts become sets (1 in 16 at most, until it has reached its bound); no pair joins these.
         sets = (
             texts.where("id IS NOT NULL").select("id", F.xxhash64("id").alias("h"), "text")
             .mapInArrow(_sets_of(size, bitmap), "id long, same_a long, same_b long, members binary")
-            .join(ends, "id", "left_semi").join(chosen, one_each, "left_semi").dropDuplicates(one_each).select("id", "members"))
+            .join(chosen, one_each, "left_semi").dropDuplicates(one_each).select("id", "members"))
         sets = stage(sets)
-        return stage(
+        return (
             likely.join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b")
-            .select("a", "b", "members_a", "members_b").mapInArrow(_confirmed(percent), "a long, b long").distinct())
+            .select("a", "b", "members_a", "members_b").mapInArrow(_confirmed(percent), "a long, b long"))
 
-    stars = (
-        shared.where("low < id").select(F.col("low").alias("a"), F.col("id").alias("b"))
-        .union(shared.where("low < id AND id < high").select(F.col("id").alias("a"), F.col("high").alias("b"))))
+    stars = shared.select("id", F.explode("hubs").alias("hub")).where("id <> hub").select(
+        F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     # Each set has one class, so a shingle's loss leads to one row at most, however many sets it leads there from.
     whole = reps.where(F.col("n").isin([n - 1 for n in small])).select("same_a", F.col("id").alias("other"))
     one_less = reps.where(F.size("less") > 0).select("id", F.explode("less").alias("same_a")).join(whole, "same_a").where("id <> other")
@@ -260,19 +258,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return shared.select("band", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").select(
             "band", "id", F.coalesce("component", "id").alias("component"))
 
-    # Stars around further members of each contested band: most large groups hang together after them.
+    # Most large groups hang together after the stars.
     labels = components(confirm(stars).union(same_id))
     labelled = by_component(labels)
-    member_of = F.struct("id", "component")
-    pivots = stage(labelled.groupBy("band").agg(
-        (F.min("component") < F.max("component")).alias("split"),
-        F.array(*[F.min_by(member_of, F.xxhash64("id", F.lit(n))) for n in range(PIVOTS)]).alias("pivots"),
-    ).where("split").select("band", F.explode(F.array_distinct("pivots")).alias("pivot")))
-    more = labelled.join(pivots, "band").where("component <> pivot.component").select(
-        F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
-    more = stage(more.join(stars, ["a", "b"], "left_anti"))
-    labels, stars = with_links(labels, more), stars.union(more)
-    labelled = by_component(labels)
     contested = labelled.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
     rows = stage(
